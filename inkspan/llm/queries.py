@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from inkspan.llm.components import connected_groups, related_links
 from inkspan.llm.cooccurrence import basket_items, frequent_pairs
+from inkspan.llm.neighbours import nearest_vectors, neighbour_pairs, usable_vectors
 from inkspan.sources.tables import table
 
 
@@ -14,6 +15,12 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     return connected_groups(related_links(table(spark, folder, "graph_relationships")))
 
 
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Pairs of chunks of which at least one is among the 10 nearest of the other."""
+    vectors = usable_vectors(table(spark, folder, "document_chunks"), "chunk_id", "embedding", 384)
+    return neighbour_pairs(nearest_vectors(vectors)).selectExpr("first AS chunk_a", "second AS chunk_b").distinct()
+
+
 def _pairs(spark: SparkSession, folder: str) -> DataFrame:
     return frequent_pairs(basket_items(table(spark, folder, "indicator_mentions"), "document_id", "indicator_id"))
 
@@ -51,7 +58,7 @@ kept AS (SELECT a, b, n_ab, p.n_i AS n_a, q.n_i AS n_b, n FROM pair JOIN margina
   WHERE n_ab * n >= 5 * p.n_i * q.n_i)
 """
 
-QUERIES = {"p2_found": p2_found, "p5_found": p5_found, "p5_pair_measures": p5_pair_measures}
+QUERIES = {"p2_found": p2_found, "p3_found": p3_found, "p5_found": p5_found, "p5_pair_measures": p5_pair_measures}
 SQL = {
     "p2_found": _LINKS + "SELECT u AS record_id, min(v) AS group_id FROM reach GROUP BY u",
     "p5_found": _PAIRS + "SELECT a AS indicator_a, b AS indicator_b FROM kept",
