@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,9 +14,27 @@ HOT_SHARE = 1 / 1000
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df written to the shared checkpoint folder and read from there: its lineage ends here."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """df as a table written to the shared checkpoint folder: its lineage ends here, executors may be lost.
+
+    A written table, unlike a checkpoint, brings its real size and no inherited constraints to the next plan, so loops
+    don't grow. The folder is deleted with the application; forget() deletes it as soon as it isn't needed.
+    """
+    spark = df.sparkSession
+    root = f"{ensure_checkpoint_dir(spark)}/inkspan-{spark.sparkContext.applicationId}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+    at = f"{root}/{uuid.uuid4().hex}"
+    df.write.parquet(at)
+    table = spark.read.schema(df.schema).parquet(at)
+    table._written_at = at
+    return table
+
+
+def forget(df: DataFrame) -> None:
+    """Deletes what cut() wrote for df."""
+    spark = df.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(df._written_at)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def hot(keys: DataFrame, count: str, total: int, share: float = HOT_SHARE) -> DataFrame:
