@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkspan.skew import cut, key_of, split_join
+from inkspan.skew import cut, forget, key_of, split_join
 
 
 def related_links(relationships: DataFrame, kind: str = "related to") -> DataFrame:
@@ -30,15 +30,19 @@ def related_links(relationships: DataFrame, kind: str = "related to") -> DataFra
     return relationships.filter(written == kind).select(key_of("source_id").alias("u"), key_of("target_id").alias("v")).dropna()
 
 
-def _collapse(parents: DataFrame) -> DataFrame:
+def _collapse(forest: DataFrame) -> DataFrame:
     """(id, parent, degree) of a forest whose roots are their own parents -> the same with root as parent."""
     while True:
-        up = parents.select(F.col("id").alias("parent"), F.col("parent").alias("grand"))
-        parents = cut(
-            parents.join(up, "parent").select("id", F.col("grand").alias("parent"), "degree", (F.col("grand") != F.col("parent")).alias("moved"))
-        )
-        if parents.filter("moved").isEmpty():
-            return parents.select("id", "parent", "degree")
+        first = forest.select(F.col("id").alias("parent"), F.col("parent").alias("second"))
+        third = forest.select(F.col("id").alias("second"), F.col("parent").alias("third"))
+        last = forest.select(F.col("id").alias("third"), F.col("parent").alias("root"))
+        # two doublings a job: three steps up
+        up = forest.join(first, "parent").join(third, "second").join(last, "third")
+        higher = cut(up.select("id", F.col("root").alias("parent"), "degree", (F.col("root") != F.col("second")).alias("moved")))
+        forget(forest)
+        if higher.filter("moved").isEmpty():
+            return higher
+        forest = higher
 
 
 def _relabel(edges: DataFrame, side: str, roots: DataFrame, total: int) -> DataFrame:
