@@ -7,54 +7,78 @@ Defined results of odd input: null and blank items are left out, as are null and
 basket count once; baskets of one item give no pair but count in n; empty input gives an empty result; other
 columns are never read.
 
-Plan: distinct (basket, item) rows; marginals per item with map-side combine. Two exact prunings follow from the
-thresholds before any pair is made: n_ab >= t needs n_a >= t and n_b >= t, and n_ab * n >= f * n_a * n_b with
-n_ab <= min(n_a, n_b) needs n_a <= n / f. The second removes every item that lies in a large share of all baskets.
-A basket's items are put into blocks of about BLOCK items, and pairs are joined per pair of blocks, so a huge basket
-spreads over many tasks; pair counts are combined map-side before they are shuffled as one long per pair.
+Plan: keys become numbers by joins with their dictionaries, so that strings are shuffled once. Two exact prunings follow
+from the thresholds before any pair is made: n_ab >= t needs n_a >= t and n_b >= t, and n_ab * n >= f * n_a * n_b with
+n_ab <= min(n_a, n_b) needs n_a <= n / f; the second removes every item that lies in a large share of all baskets. Items
+are numbered by rising frequency, and a pair belongs to its rarer item: an item held by many baskets then owns few pairs.
+A basket's items are put into blocks of about BLOCK, so a huge basket is many rows. Ordered pairs are emitted combined on the
+map side, one row per basket block and item with the list of its partners (4 bytes a pair), and are counted behind one
+shuffle by the rarer item.
 """
 
 from __future__ import annotations
 
+from itertools import accumulate
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from inkspan.skew import cut, key_of
 
-#: Items of one basket that meet in one join key.
+#: Items of one basket in one block.
 BLOCK = 512
 
 
 def basket_items(rows: DataFrame, basket: str, item: str) -> DataFrame:
-    """(basket, item): the distinct non-blank pairs of normalised keys."""
-    return rows.select(key_of(basket).alias("basket"), key_of(item).alias("item")).dropna().distinct()
+    """(basket, item): normalised keys of the rows in which neither is blank."""
+    return rows.select(key_of(basket).alias("basket"), key_of(item).alias("item")).dropna()
+
+
+def numbered(rows: DataFrame, *order: str) -> DataFrame:
+    """rows with no, counting from 0 in the given order; only one count per partition reaches the driver."""
+    placed = cut(rows.sort(*order).withColumn("part", F.spark_partition_id()).withColumn("at", F.monotonically_increasing_id()))
+    sizes = placed.groupBy("part").count().sort("part").collect()
+    begins = accumulate([0, *[s[1] for s in sizes]])
+    offsets = rows.sparkSession.createDataFrame([(s[0], b) for s, b in zip(sizes, begins)], "part int, begin long")
+    no = F.col("begin") + F.col("at").bitwiseAND((1 << 33) - 1)
+    return placed.join(F.broadcast(offsets), "part").withColumn("no", no).drop("part", "at", "begin")
 
 
 def frequent_pairs(items: DataFrame, min_together: int = 4, min_lift: float = 5.0, block: int = BLOCK) -> DataFrame:
-    """(item_a, item_b, n_ab, n_a, n_b, n, lift, pmi) with item_a < item_b, of distinct (basket, item) rows."""
-    items = cut(items)
-    n = items.agg(F.count_distinct("basket")).first()[0]
-    marginal = items.groupBy("item").agg(F.count(F.lit(1)).alias("n_item"))
-    marginal = marginal.filter((F.col("n_item") >= min_together) & (F.col("n_item") * F.lit(min_lift) <= F.lit(n)))
-    # numbered in the order of the keys within each range partition, so that a < b of numbers is a < b of keys
-    marginal = cut(marginal.sort("item").withColumn("no", F.monotonically_increasing_id()))
-
-    kept = items.join(marginal.select("item", "no"), "item").select("basket", "no")
-    sizes = kept.groupBy("basket").agg(F.count(F.lit(1)).alias("size")).filter(F.col("size") > 1)
+    """(item_a, item_b, n_ab, n_a, n_b, n, lift, pmi) with item_a < item_b, of (basket, item) rows."""
+    baskets = cut(items.select("basket").distinct().withColumn("b", F.monotonically_increasing_id()))
+    dictionary = cut(items.select("item").distinct().withColumn("i", F.monotonically_increasing_id()))
+    rows = cut(items.join(baskets, "basket").select("b", "item").join(dictionary, "item").select("b", "i").distinct())
+    n = baskets.count()
+    often = rows.groupBy("i").agg(F.count(F.lit(1)).alias("n_item"))
+    often = often.filter((F.col("n_item") >= min_together) & (F.col("n_item") * F.lit(min_lift) <= F.lit(n)))
+    items_no = cut(numbered(often, "n_item", "i").join(dictionary, "i"))
+    n_kept = items_no.count()
+    kind = "int" if n_kept < 1 << 31 else "long"
+
+    kept = rows.join(items_no.select("i", F.col("no").cast(kind).alias("no")), "i").select("b", "no")
+    sizes = kept.groupBy("b").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
     blocks = F.ceil(F.col("size") / block).cast("int")
-    kept = cut(kept.join(sizes, "basket").select("basket", "no", blocks.alias("blocks"), F.pmod(F.xxhash64("no"), blocks).cast("int").alias("own")))
-    left = kept.select("basket", F.col("no").alias("x"), F.col("own").alias("i"), F.explode(F.sequence("own", F.col("blocks") - 1)).alias("j"))
-    right = kept.select("basket", F.col("no").alias("y"), F.col("own").alias("j"), F.explode(F.sequence(F.lit(0), F.col("own"))).alias("i"))
-    pairs = left.join(right, ["basket", "i", "j"]).filter((F.col("i") != F.col("j")) | (F.col("x") < F.col("y")))
-    counts = (
-        pairs.groupBy(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).agg(F.count(F.lit(1)).alias("n_ab")).filter(F.col("n_ab") >= min_together)
-    )
-    first = marginal.select(F.col("no").alias("a"), F.col("item").alias("item_a"), F.col("n_item").alias("n_a"))
-    second = marginal.select(F.col("no").alias("b"), F.col("item").alias("item_b"), F.col("n_item").alias("n_b"))
-    lift = F.col("n_ab") * F.lit(n) / (F.col("n_a") * F.col("n_b"))
+    placed = kept.join(sizes, "b").select("b", "no", blocks.alias("blocks"), F.pmod(F.xxhash64("no"), blocks.cast("long")).cast("int").alias("own"))
+    grouped = cut(placed.groupBy("b", "own", "blocks").agg(F.sort_array(F.collect_list("no")).alias("nos")))
+    inside = grouped.select(F.posexplode("nos").alias("at", "x"), "nos").select("x", F.expr("slice(nos, at + 2, size(nos))").alias("ys"))
+    many = grouped.filter("blocks > 1")
+    others = many.select("b", F.col("own").alias("other"), F.col("nos").alias("there"))
+    across = many.join(others, "b").filter("own != other").select(F.explode("nos").alias("x"), "there").select("x", F.expr("filter(there, y -> y > x)").alias("ys"))
+    stripes = inside.unionByName(across).filter(F.size("ys") > 0).repartition("x")
+    counts = stripes.select("x", F.explode("ys").alias("y")).groupBy("x", "y").agg(F.count(F.lit(1)).alias("n_ab"))
+    counts = cut(counts.filter(F.col("n_ab") >= min_together))
+    first = items_no.select(F.col("no").cast(kind).alias("x"), F.col("item").alias("item_x"), F.col("n_item").alias("n_x"))
+    second = items_no.select(F.col("no").cast(kind).alias("y"), F.col("item").alias("item_y"), F.col("n_item").alias("n_y"))
+    lift = F.col("n_ab") * F.lit(n) / (F.col("n_x") * F.col("n_y"))
+    ordered = F.col("item_x") < F.col("item_y")
+    pick = lambda yes, no: F.when(ordered, F.col(yes)).otherwise(F.col(no))
     return (
-        counts.join(first, "a")
-        .join(second, "b")
-        .filter(F.col("n_ab") * F.lit(n) >= F.col("n_a") * F.col("n_b") * F.lit(min_lift))
-        .select("item_a", "item_b", "n_ab", "n_a", "n_b", F.lit(n).alias("n"), lift.alias("lift"), F.log2(lift).alias("pmi"))
+        counts.join(first, "x")
+        .join(second, "y")
+        .filter(F.col("n_ab") * F.lit(n) >= F.col("n_x") * F.col("n_y") * F.lit(min_lift))
+        .select(
+            pick("item_x", "item_y").alias("item_a"), pick("item_y", "item_x").alias("item_b"), "n_ab", pick("n_x", "n_y").alias("n_a"), pick("n_y", "n_x").alias("n_b"),
+            F.lit(n).alias("n"), lift.alias("lift"), F.log2(lift).alias("pmi"),
+        )
     )
