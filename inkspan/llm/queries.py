@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from inkspan.llm.components import connected_groups, related_links
 from inkspan.llm.cooccurrence import basket_items, frequent_pairs
+from inkspan.llm.leaks import find_leaks
+from inkspan.llm.list_pages import list_pages
 from inkspan.llm.neighbours import nearest_vectors, neighbour_pairs, usable_vectors
 from inkspan.sources.tables import table
 
@@ -36,6 +38,16 @@ def p5_pair_measures(spark: SparkSession, folder: str) -> DataFrame:
     return _pairs(spark, folder).selectExpr(*names)
 
 
+def p7_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents that hold at least 15 words of a test item, with the item."""
+    return find_leaks(table(spark, folder, "documents"), table(spark, folder, "eval_items")).select("doc_id", "item_id").distinct()
+
+
+def p9_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents of which more than half of the characters are list text."""
+    return list_pages(table(spark, folder, "documents")).selectExpr("id AS doc_id").distinct()
+
+
 _TRIM = r"E' \t\n\r\f\v'"
 
 _LINKS = rf"""
@@ -58,7 +70,7 @@ kept AS (SELECT a, b, n_ab, p.n_i AS n_a, q.n_i AS n_b, n FROM pair JOIN margina
   WHERE n_ab * n >= 5 * p.n_i * q.n_i)
 """
 
-QUERIES = {"p2_found": p2_found, "p3_found": p3_found, "p5_found": p5_found, "p5_pair_measures": p5_pair_measures}
+QUERIES = {"p2_found": p2_found, "p3_found": p3_found, "p5_found": p5_found, "p5_pair_measures": p5_pair_measures, "p7_found": p7_found, "p9_found": p9_found}
 SQL = {
     "p2_found": _LINKS + "SELECT u AS record_id, min(v) AS group_id FROM reach GROUP BY u",
     "p5_found": _PAIRS + "SELECT a AS indicator_a, b AS indicator_b FROM kept",
