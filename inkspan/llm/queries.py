@@ -9,9 +9,22 @@ from inkspan.llm.cooccurrence import basket_items, frequent_pairs
 from inkspan.llm.leaks import find_leaks
 from inkspan.llm.list_pages import list_pages
 from inkspan.llm.neighbours import nearest_vectors, neighbour_pairs, usable_vectors
+from inkspan.llm.scan_repair import lexicon_of, page_defects, page_paragraphs
 from inkspan.sources.tables import table
 
 
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Lines of pages that are running heads or page numbers, end inside a word, or have a misread word."""
+    pages = table(spark, folder, "pdf_pages")
+    return page_defects(pages, lexicon_of(pages)).distinct()
+
+
+def p1_paragraphs(spark: SparkSession, folder: str) -> DataFrame:
+    """The pages' text as repaired continuous paragraphs."""
+    pages = table(spark, folder, "pdf_pages")
+    return page_paragraphs(pages, lexicon_of(pages))
+
+
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     """The group of every record linked by RELATED_TO."""
     return connected_groups(related_links(table(spark, folder, "graph_relationships")))
@@ -70,7 +83,7 @@ kept AS (SELECT a, b, n_ab, p.n_i AS n_a, q.n_i AS n_b, n FROM pair JOIN margina
   WHERE n_ab * n >= 5 * p.n_i * q.n_i)
 """
 
-QUERIES = {"p2_found": p2_found, "p3_found": p3_found, "p5_found": p5_found, "p5_pair_measures": p5_pair_measures, "p7_found": p7_found, "p9_found": p9_found}
+QUERIES = {"p1_found": p1_found, "p1_paragraphs": p1_paragraphs, "p2_found": p2_found, "p3_found": p3_found, "p5_found": p5_found, "p5_pair_measures": p5_pair_measures, "p7_found": p7_found, "p9_found": p9_found}
 SQL = {
     "p2_found": _LINKS + "SELECT u AS record_id, min(v) AS group_id FROM reach GROUP BY u",
     "p5_found": _PAIRS + "SELECT a AS indicator_a, b AS indicator_b FROM kept",
