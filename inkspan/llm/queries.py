@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from inkspan.llm.components import connected_groups, related_links
 from inkspan.llm.cooccurrence import basket_items, frequent_pairs
+from inkspan.llm.languages import chunk_languages, document_languages, fit, page_languages, wrong_labels
 from inkspan.llm.leaks import find_leaks
 from inkspan.llm.list_pages import list_pages
+from inkspan.llm.mixing import mixture, shares
 from inkspan.llm.neighbours import nearest_vectors, neighbour_pairs, usable_vectors
 from inkspan.llm.scan_repair import lexicon_of, page_defects, page_paragraphs
+from inkspan.skew import cut
 from inkspan.sources.tables import table
 
 
@@ -36,6 +40,24 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     return neighbour_pairs(nearest_vectors(vectors)).selectExpr("first AS chunk_a", "second AS chunk_b").distinct()
 
 
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Wrong labels of pages and chunks, segments of mixed pages, languages amiss of documents."""
+    model = fit(table(spark, folder, "lang_samples"))
+    pages = cut(page_languages(table(spark, folder, "pdf_pages"), model))
+    return wrong_labels(pages, chunk_languages(table(spark, folder, "document_chunks"), model), table(spark, folder, "pdf_documents"))
+
+
+def p4_languages(spark: SparkSession, folder: str) -> DataFrame:
+    """The language of every page, paragraph and chunk with its confidence (4 decimals), and the languages of every document."""
+    model = fit(table(spark, folder, "lang_samples"))
+    pages = cut(page_languages(table(spark, folder, "pdf_pages"), model))
+    of_pages = pages.selectExpr("'page' AS kind", "string(page_id) AS record_key", "0 AS segment_no", "lang", "round(confidence, 4) AS confidence")
+    segments = pages.selectExpr("page_id", "explode(paragraphs) AS p").selectExpr("'segment'", "string(page_id)", "p.no", "p.lang", "round(p.confidence, 4)")
+    chunks = chunk_languages(table(spark, folder, "document_chunks"), model).selectExpr("'chunk'", "chunk_id", "0", "lang", "round(confidence, 4)")
+    documents = document_languages(pages).selectExpr("'document'", "document_id", "0", "explode(used)", "double(null)")
+    return of_pages.union(segments).union(chunks).union(documents).filter("lang IS NOT NULL").distinct()
+
+
 def _pairs(spark: SparkSession, folder: str) -> DataFrame:
     return frequent_pairs(basket_items(table(spark, folder, "indicator_mentions"), "document_id", "indicator_id"))
 
@@ -56,6 +78,16 @@ def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     return find_leaks(table(spark, folder, "documents"), table(spark, folder, "eval_items")).select("doc_id", "item_id").distinct()
 
 
+def p8_mixture(spark: SparkSession, folder: str) -> DataFrame:
+    """The texts of the mixture in the order of their slots."""
+    return mixture(table(spark, folder, "documents"), table(spark, folder, "mix_targets"))
+
+
+def p8_shares(spark: SparkSession, folder: str) -> DataFrame:
+    """Target and actual share of every source of the mixture."""
+    return shares(p8_mixture(spark, folder), table(spark, folder, "mix_targets")).withColumn("actual_share", F.round("actual_share", 6))
+
+
 def p9_found(spark: SparkSession, folder: str) -> DataFrame:
     """Documents of which more than half of the characters are list text."""
     return list_pages(table(spark, folder, "documents")).selectExpr("id AS doc_id").distinct()
@@ -83,7 +115,7 @@ kept AS (SELECT a, b, n_ab, p.n_i AS n_a, q.n_i AS n_b, n FROM pair JOIN margina
   WHERE n_ab * n >= 5 * p.n_i * q.n_i)
 """
 
-QUERIES = {"p1_found": p1_found, "p1_paragraphs": p1_paragraphs, "p2_found": p2_found, "p3_found": p3_found, "p5_found": p5_found, "p5_pair_measures": p5_pair_measures, "p7_found": p7_found, "p9_found": p9_found}
+QUERIES = {"p1_found": p1_found, "p1_paragraphs": p1_paragraphs, "p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p4_languages": p4_languages, "p5_found": p5_found, "p5_pair_measures": p5_pair_measures, "p7_found": p7_found, "p8_mixture": p8_mixture, "p8_shares": p8_shares, "p9_found": p9_found}
 SQL = {
     "p2_found": _LINKS + "SELECT u AS record_id, min(v) AS group_id FROM reach GROUP BY u",
     "p5_found": _PAIRS + "SELECT a AS indicator_a, b AS indicator_b FROM kept",
