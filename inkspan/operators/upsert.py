@@ -49,12 +49,13 @@ def merge_counts(events: DataFrame, key: str, at: str, first: list[str] = (), co
 
 def linked(edges: DataFrame, sources: DataFrame, source_key: str, targets: DataFrame, target_key: str) -> DataFrame:
     """The edges of which both ends exist: what a MATCH of both ends lets through."""
-    return edges.join(sources.select(F.col(source_key).alias("source")).distinct(), "source", "left_semi").join(targets.select(F.col(target_key).alias("target")).distinct(), "target", "left_semi")
+    first, second = sources.select(F.col(source_key).alias("source")).distinct(), targets.select(F.col(target_key).alias("target")).distinct()
+    return edges.join(first, "source", "left_semi").join(second, "target", "left_semi").select(*edges.columns)
 
 
 def delete_where(rows: DataFrame, key: str, gone: DataFrame) -> DataFrame:
     """rows without those whose key is in the one-column table gone."""
-    return rows.join(gone.select(F.col(gone.columns[0]).alias(key)).dropna(), key, "left_anti")
+    return rows.join(gone.select(F.col(gone.columns[0]).alias(key)).dropna(), key, "left_anti").select(*rows.columns)
 
 
 def update_where(rows: DataFrame, condition, **new) -> DataFrame:

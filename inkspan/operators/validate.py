@@ -136,6 +136,8 @@ def rate_admitted(events: DataFrame, client: str, at: str, order: str, limit: in
 
         now, recent = None, deque()
         for batch in batches:
+            if len(batch) == 0:
+                continue
             out = []
             for who, t in zip(batch["client"], batch["micros"]):
                 if who != now:

@@ -127,6 +127,6 @@ SQL = {
     "rate_window": """SELECT event_id, count(*) OVER w AS recent, count(*) OVER w > 5 AS "over" FROM events
       WINDOW w AS (PARTITION BY user_id ORDER BY epoch_us(ts) RANGE BETWEEN 59999999 PRECEDING AND CURRENT ROW)""",
     "route_queries": f"""SELECT doc_id, {_INTENT} AS intent, CASE {_INTENT} WHEN 'indicator_lookup' THEN 'indicator' WHEN 'graph_traversal' THEN 'graph' WHEN 'pattern_analysis' THEN 'pattern' ELSE 'semantic' END AS path,
-      {_TYPE} AS indicator_type, coalesce(least(TRY_CAST(nullif(regexp_extract({_LOW}, '(\\d+)\\s*hop', 1), '') AS BIGINT), 5), 2)::INT AS hops FROM documents WHERE title IS NOT NULL""",
+      {_TYPE} AS indicator_type, CASE WHEN regexp_matches({_LOW}, '\\d+\\s*hop') THEN coalesce(least(TRY_CAST(regexp_extract({_LOW}, '(\\d+)\\s*hop', 1) AS BIGINT), 5), 5) ELSE 2 END::INT AS hops FROM documents WHERE title IS NOT NULL""",
     "stream_timeline": "SELECT strftime(time_bucket(INTERVAL 1 HOUR, ts), '%Y-%m-%d %H:%M:%S') AS window_start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events WHERE ts IS NOT NULL GROUP BY 1, 2",
 }

@@ -57,7 +57,7 @@ def node_id(query: Column) -> Column:
 
 def max_hops(query: Column) -> Column:
     given = F.nullif(F.regexp_extract(F.lower(query), r"(\d+)\s*hop", 1), F.lit("")).try_cast("bigint")
-    return F.coalesce(F.least(given, F.lit(MOST_HOPS)), F.when(F.lower(query).rlike(r"\d+\s*hop"), MOST_HOPS), F.lit(DEFAULT_HOPS)).cast("int")
+    return F.coalesce(F.when(given.isNotNull(), F.least(given, F.lit(MOST_HOPS))), F.when(F.lower(query).rlike(r"\d+\s*hop"), MOST_HOPS), F.lit(DEFAULT_HOPS)).cast("int")
 
 
 def routed(queries: DataFrame, column: str = "query") -> DataFrame:
