@@ -207,6 +207,8 @@ def page_languages(pages: DataFrame, model: PieceModel) -> DataFrame:
         judge = Judge(model)
         names = model.languages
         for batch in batches:
+            if len(batch) == 0:
+                continue
             blocks = [page_paragraphs(t) for t in batch["text"]]
             scores, letters, words = judge.sums([b for own in blocks for b in own])
             sure = judge.confidence(scores, words)
@@ -246,6 +248,8 @@ def chunk_languages(chunks: DataFrame, model: PieceModel) -> DataFrame:
         judge = Judge(model)
         names = model.languages
         for batch in batches:
+            if len(batch) == 0:
+                continue
             parts = [_SENTENCE.split(t) if t else [] for t in batch["content"]]
             scores, letters, words = judge.sums([p for own in parts for p in own])
             langs, confidences = [], []

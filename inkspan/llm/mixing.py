@@ -49,6 +49,8 @@ def counted_texts(documents: DataFrame, tokenizer_file: str = TOKENIZER) -> Data
             ranks = {base64.b64decode(piece): int(rank) for piece, rank in map(bytes.split, lines)}
         tokenizer = tiktoken.Encoding("public", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
         for batch in batches:
+            if len(batch) == 0:
+                continue
             sizes = [len(tokenizer.encode_ordinary(text)) for text in batch["text"]]
             yield pd.DataFrame({"doc_id": batch["doc_id"], "source": batch["source"], "key": batch["key"], "tokens": sizes})
 

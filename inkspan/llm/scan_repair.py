@@ -72,7 +72,8 @@ def lexicon_of(pages: DataFrame, size: int = LEXICON) -> dict[str, int]:
             if len(counts) > 500_000:
                 yield pd.DataFrame({"word": list(counts), "n": list(counts.values())})
                 counts = Counter()
-        yield pd.DataFrame({"word": list(counts), "n": list(counts.values())})
+        if counts:
+            yield pd.DataFrame({"word": list(counts), "n": list(counts.values())})
 
     words = pages.select("text").filter(F.col("text").isNotNull()).mapInPandas(count, "word string, n long")
     words = words.groupBy("word").agg(F.sum("n").alias("n")).filter((F.col("n") > 1) & (F.length("word") <= 40))
@@ -279,7 +280,7 @@ def paragraphs(lines: list[str], body: list[int], pieces: list[tuple[str, int, i
     result: list[str] = []
     glue = " "
     for j, i in enumerate(body):
-        text = texts[i].strip()
+        text = texts[i].strip() if glue else texts[i].rstrip()
         if j in begins or not result:
             result.append(text)
         else:
