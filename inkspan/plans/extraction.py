@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from inkspan.functions import text as T
 from inkspan.functions.patterns import HASHES, LOOSE, PATTERNS, RESERVED_IPV4, SOCIAL, SUFFIXES, WHITELIST, CALLING_CODES
 from inkspan.operators import extract as X
+from inkspan.skew import spread
 from inkspan.sources.tables import table
 
 #: The reserved names that the hosts of the test tables end in count as public suffixes here.
@@ -60,14 +61,14 @@ def extract_crypto(spark, folder):
 
 def page_indicators(spark, folder):
     """All types over the pages' text, deduplicated per page, with context."""
-    pages = table(spark, folder, "pdf_pages").select("page_id", "document_id", "text").filter("text IS NOT NULL")
+    pages = spread(table(spark, folder, "pdf_pages").select("page_id", "document_id", "text").filter("text IS NOT NULL"))
     found = X.extract(pages, "page_id", "text", X.all_indicators(F.col("text"), HOSTS), source="document_id")
     return X.with_ids(found).select("page_id", "indicator_id", "type", "value", "normalized_value", "start", "confidence", "context", F.col("metadata")["source_document"].alias("source_document"))
 
 
 def document_indicators(spark, folder):
     """All types over the whole corpus of documents, deduplicated per document."""
-    texts = table(spark, folder, "documents").select("doc_id", "text").filter("text IS NOT NULL")
+    texts = spread(table(spark, folder, "documents").select("doc_id", "text").filter("text IS NOT NULL"))
     return X.with_ids(X.extract(texts, "doc_id", "text", X.all_indicators(F.col("text"), HOSTS))).select("doc_id", "indicator_id", "type", "value", "normalized_value", "start", "confidence", "context")
 
 

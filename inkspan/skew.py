@@ -57,6 +57,12 @@ def split_join(left: DataFrame, keys: DataFrame, on: list[str], count: str, tota
     return heavy.unionByName(light)
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """A scan for heavy work per row: over all cores where its files give fewer partitions than there are cores, else as it is."""
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+
+
 #: Characters that are cut from both ends of keys.
 BLANKS = " \t\n\r\f\v "
 
