@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from inkspan.llm.page_lines import edge_lines
+from inkspan.skew import spread
 
 #: The public vocabulary, and most labelled sentences that the model is fitted on.
 VOCABULARY, SAMPLE_ROWS = "/opt/tokenizers/piece_bpe_32k.model", 20_000
@@ -238,7 +239,7 @@ def page_languages(pages: DataFrame, model: PieceModel) -> DataFrame:
 
     kind = pages.schema["page_id"].dataType.simpleString()
     schema = f"page_id {kind}, document_id string, label string, lang string, confidence double, paragraphs array<struct<no: int, lang: string, confidence: double>>"
-    return pages.select("page_id", "document_id", "language", "text").mapInPandas(judge, schema)
+    return spread(pages.select("page_id", "document_id", "language", "text")).mapInPandas(judge, schema)
 
 
 def chunk_languages(chunks: DataFrame, model: PieceModel) -> DataFrame:
@@ -268,7 +269,7 @@ def chunk_languages(chunks: DataFrame, model: PieceModel) -> DataFrame:
                 confidences.append(float(sure * letters[k][mine].sum() / letters[k].sum()))
             yield pd.DataFrame({"chunk_id": batch["chunk_id"], "label": batch["language"], "lang": langs, "confidence": confidences})
 
-    return chunks.select("chunk_id", "language", "content").mapInPandas(judge, "chunk_id string, label string, lang string, confidence double")
+    return spread(chunks.select("chunk_id", "language", "content")).mapInPandas(judge, "chunk_id string, label string, lang string, confidence double")
 
 
 def _runs(scores: np.ndarray) -> np.ndarray:

@@ -26,6 +26,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from inkspan.skew import spread
+
 #: Words of an item that must be found in order, and how many altered or added words are allowed for each of them.
 MIN_WORDS, EDITS = 15, 0.25
 #: The same for a stretch in which no word is rare.
@@ -143,7 +145,7 @@ def leaked_items(words: list[str], items: dict[int, list[str | None]], seeds: di
 def find_leaks(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """(doc_id, item_id, matched, edits) of every document and test item that it leaks."""
     spark = documents.sparkSession
-    rows = documents.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).filter(F.length(F.trim("text")) > 0)
+    rows = spread(documents.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).filter(F.length(F.trim("text")) > 0))
     schema = f"doc_id {documents.schema[doc_id].dataType.simpleString()}, item_id {items.schema[item_id].dataType.simpleString()}, matched int, edits int"
     slices = _slices(items.select(F.col(item_id).alias("id"), F.col(item_text).alias("text")).dropna().distinct())
     parts = []

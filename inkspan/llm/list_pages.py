@@ -21,6 +21,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from inkspan.skew import spread
+
 #: Function words (en, fr, de, es, it, pt, nl, ru) whose mix marks a clause.
 FUNCTION_WORDS = frozenset(
     """the a an and of to in that which was were is are been had has have by for with on at from as it this these if not while although what before after
@@ -135,7 +137,7 @@ def list_shares(pages: DataFrame, id_column: str = "doc_id", text_column: str =
             yield pd.DataFrame({"id": batch["id"], "list_share": [s[0] for s in shares], "repeat_share": [s[1] for s in shares]})
 
     rows = pages.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"))
-    return rows.mapInPandas(judge, f"id {kind}, list_share double, repeat_share double")
+    return spread(rows).mapInPandas(judge, f"id {kind}, list_share double, repeat_share double")
 
 
 def list_pages(pages: DataFrame, id_column: str = "doc_id", text_column: str = "text", above: float = 0.5) -> DataFrame:

@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from inkspan.skew import cut
+from inkspan.skew import cut, spread
 
 #: Tokens of a block, slots of a period, and buckets of a source.
 BLOCK, PERIOD, BUCKETS = 4096, 10_000, 1024
@@ -57,7 +57,7 @@ def counted_texts(documents: DataFrame, tokenizer_file: str = TOKENIZER) -> Data
     rows = documents.select("doc_id", source_name("source").alias("source"), F.md5("text").alias("key"), "text")
     rows = rows.filter((F.length(F.trim("text")) > 0) & F.col("source").isNotNull() & F.col("doc_id").isNotNull())
     kind = documents.schema["doc_id"].dataType.simpleString()
-    sizes = rows.mapInPandas(count, f"doc_id {kind}, source string, key string, tokens long")
+    sizes = spread(rows).mapInPandas(count, f"doc_id {kind}, source string, key string, tokens long")
     return sizes.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.min_by("source", "doc_id").alias("source"), F.max("tokens").alias("tokens"))
 
 

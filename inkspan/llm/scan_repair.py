@@ -20,12 +20,14 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import combinations
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from inkspan.llm.page_lines import edge_lines
+from inkspan.skew import spread
 
 #: Most frequent words that are shipped to the tasks.
 LEXICON = 200_000
@@ -75,7 +77,7 @@ def lexicon_of(pages: DataFrame, size: int = LEXICON) -> dict[str, int]:
         if counts:
             yield pd.DataFrame({"word": list(counts), "n": list(counts.values())})
 
-    words = pages.select("text").filter(F.col("text").isNotNull()).mapInPandas(count, "word string, n long")
+    words = spread(pages.select("text").filter(F.col("text").isNotNull())).mapInPandas(count, "word string, n long")
     words = words.groupBy("word").agg(F.sum("n").alias("n")).filter((F.col("n") > 1) & (F.length("word") <= 40))
     return {r["word"]: r["n"] for r in words.orderBy(F.desc("n"), "word").limit(size).collect()}
 
@@ -106,28 +108,27 @@ class Reader:
         sites += [(i, a, b, REPAIR["confusion"]) for a, b in CONFUSIONS if a in word for i in _places(word, a)]
         sites.sort()
         odd_places = {m.start() for m in _ODD.finditer(word)}
-        # edits from left to right, at most three; every odd glyph has to be among them
-        stack: list[tuple[str, int, float, int, int, int]] = [("", 0, 0.0, -1, 0, 0)]
-        steps = 0
-        while stack and steps < 4000:
-            steps += 1
-            done, at, cost, first, used, k = stack.pop()
-            rest = word[at:]
-            if used:
-                if not _ODD.search(rest):
-                    reading = done + rest
-                    if reading in self.lexicon:
-                        value = self.score(reading) + cost
-                        if value > best[0]:
-                            best = (value, reading, first)
-            if used < 3:
-                for j in range(k, len(sites)):
-                    i, a, b, price = sites[j]
+        # as few edits as give a known word; every odd glyph has to be among them
+        for k in range(max(1, len(odd_places)), 4):
+            if k == 3 and len(odd_places) < 2:
+                break
+            for edits in combinations(sites, k):
+                at, reading, cost, rest = 0, "", 0.0, len(odd_places)
+                for i, scanned, printed, price in edits:
                     if i < at:
-                        continue
-                    if any(p < i for p in odd_places if p >= at):
                         break
-                    stack.append((done + word[at:i] + b, i + len(a), cost + price, i if first < 0 else first, used + 1, j + 1))
+                    reading += word[at:i] + printed
+                    at = i + len(scanned)
+                    cost += price
+                    rest -= i in odd_places
+                else:
+                    reading += word[at:]
+                    if not rest and reading in self.lexicon:
+                        value = self.score(reading) + cost
+                        if value > best[0]:
+                            best = (value, reading, edits[0][0])
+            if best[2] >= 0:
+                break
         return best
 
     def _judge(self, word: str) -> tuple[float, str, int]:
@@ -301,7 +302,7 @@ def page_defects(pages: DataFrame, lexicon: dict[str, int], page_id: str = "page
 
     kind = pages.schema[page_id].dataType.simpleString()
     rows = pages.select(F.col(page_id).alias("page_id"), F.col(text).alias("text")).filter(F.col("text").isNotNull())
-    return rows.mapInPandas(find, f"page_id {kind}, line_no int, defect string")
+    return spread(rows).mapInPandas(find, f"page_id {kind}, line_no int, defect string")
 
 
 def page_paragraphs(pages: DataFrame, lexicon: dict[str, int], page_id: str = "page_id", text: str = "text") -> DataFrame:
@@ -315,4 +316,4 @@ def page_paragraphs(pages: DataFrame, lexicon: dict[str, int], page_id: str = "p
 
     kind = pages.schema[page_id].dataType.simpleString()
     rows = pages.select(F.col(page_id).alias("page_id"), F.col(text).alias("text")).filter(F.col("text").isNotNull())
-    return rows.mapInPandas(repair, f"page_id {kind}, paragraph_no int, text string")
+    return spread(rows).mapInPandas(repair, f"page_id {kind}, paragraph_no int, text string")
