@@ -11,7 +11,9 @@ Plan: keys become numbers by joins with their dictionaries, so that strings are
 from the thresholds before any pair is made: n_ab >= t needs n_a >= t and n_b >= t, and n_ab * n >= f * n_a * n_b with
 n_ab <= min(n_a, n_b) needs n_a <= n / f; the second removes every item that lies in a large share of all baskets. Items
 are numbered by rising frequency, and a pair belongs to its rarer item: an item held by many baskets then owns few pairs.
-A basket's items are put into blocks of about BLOCK, so a huge basket is many rows. Ordered pairs are emitted combined on the
+A pair needs t baskets, so the t - 1 largest ones alone never suffice: where they would make most of the pairs, pairs are made in the
+other baskets only, and the largest add to the counts of these by a bit per basket and item. A third exact saving, whatever one basket
+holds. A basket's items are put into blocks of about BLOCK, so a huge basket is many rows. Ordered pairs are emitted combined on the
 map side, one row per basket block and item with the list of its partners (4 bytes a pair), and are counted behind one
 shuffle by the rarer item.
 """
@@ -57,7 +59,15 @@ def frequent_pairs(items: DataFrame, min_together: int = 4, min_lift: float = 5.
     kind = "int" if n_kept < 1 << 31 else "long"
 
     kept = rows.join(items_no.select("i", F.col("no").cast(kind).alias("no")), "i").select("b", "no")
-    sizes = kept.groupBy("b").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
+    sizes = cut(kept.groupBy("b").agg(F.count(F.lit(1)).alias("size")).filter("size > 1"))
+    square = F.col("size").cast("double") * F.col("size")
+    largest = sizes.orderBy(F.desc("size"), "b").limit(min_together - 1).select("b", square.alias("pairs")).collect()
+    whole = sizes.agg(F.sum(square)).first()[0] or 0.0
+    huge = [r["b"] for r in largest] if sum(r["pairs"] for r in largest) > 0.5 * whole else []
+    bit = F.coalesce(*[F.when(F.col("b") == b, F.lit(1 << k)) for k, b in enumerate(huge)], F.lit(0))
+    in_huge = kept.filter(F.col("b").isin(huge)).groupBy("no").agg(F.bit_or(bit).alias("bits")) if huge else None
+    if huge:
+        sizes = sizes.filter(~F.col("b").isin(huge))
     blocks = F.ceil(F.col("size") / block).cast("int")
     placed = kept.join(sizes, "b").select("b", "no", blocks.alias("blocks"), F.pmod(F.xxhash64("no"), blocks.cast("long")).cast("int").alias("own"))
     grouped = cut(placed.groupBy("b", "own", "blocks").agg(F.sort_array(F.collect_list("no")).alias("nos")))
@@ -67,7 +77,12 @@ def frequent_pairs(items: DataFrame, min_together: int = 4, min_lift: float = 5.
     across = many.join(others, "b").filter("own != other").select(F.explode("nos").alias("x"), "there").select("x", F.expr("filter(there, y -> y > x)").alias("ys"))
     stripes = inside.unionByName(across).filter(F.size("ys") > 0).repartition("x")
     counts = stripes.select("x", F.explode("ys").alias("y")).groupBy("x", "y").agg(F.count(F.lit(1)).alias("n_ab"))
-    counts = cut(counts.filter(F.col("n_ab") >= min_together))
+    counts = counts.filter(F.col("n_ab") >= min_together - len(huge))
+    if in_huge is not None:
+        both = counts.join(in_huge.select(F.col("no").alias("x"), F.col("bits").alias("bits_x")), "x", "left").join(in_huge.select(F.col("no").alias("y"), F.col("bits").alias("bits_y")), "y", "left")
+        more = F.coalesce(F.bit_count(F.col("bits_x").bitwiseAND(F.col("bits_y"))), F.lit(0))
+        counts = both.select("x", "y", (F.col("n_ab") + more).alias("n_ab")).filter(F.col("n_ab") >= min_together)
+    counts = cut(counts)
     first = items_no.select(F.col("no").cast(kind).alias("x"), F.col("item").alias("item_x"), F.col("n_item").alias("n_x"))
     second = items_no.select(F.col("no").cast(kind).alias("y"), F.col("item").alias("item_y"), F.col("n_item").alias("n_y"))
     lift = F.col("n_ab") * F.lit(n) / (F.col("n_x") * F.col("n_y"))

@@ -92,6 +92,16 @@ def test_pairs_equal_brute_force(spark, block):
     assert got == expected and len(expected) > 30
 
 
+@pytest.mark.parametrize("n_huge", [1, 3, 4])
+def test_pairs_with_huge_baskets(spark, n_huge):
+    rng = np.random.default_rng(n_huge)
+    items = [f"i{k}" for k in range(60)]
+    rows = [(f"huge{h}", i) for h in range(n_huge) for i in items if rng.random() < 0.9]
+    rows += [(f"b{b}", f"i{(7 * (b % 20) + k) % 60}") for b in range(400) for k in range(2)] + [(f"s{b}", f"z{b}") for b in range(300)]
+    got = {(r["item_a"], r["item_b"]): r["n_ab"] for r in frequent_pairs(spark.createDataFrame(rows, "basket string, item string"), 4, 2.0).collect()}
+    assert got == {k: v[0] for k, v in brute_pairs(rows, 4, 2.0).items()} and got
+
+
 def test_pairs_of_nothing(spark):
     raw = spark.createDataFrame([(" B ", "\tX", "other"), ("b", "x", None), (None, "y", None), ("b", " ", None)], "d string, i string, basket string")
     assert {tuple(r) for r in basket_items(raw, "d", "i").collect()} == {("b", "x")}
