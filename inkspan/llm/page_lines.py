@@ -6,7 +6,7 @@ import re
 
 #: Glyphs that scanning puts in place of letters, undone before a line's shape is judged.
 LOOKALIKES = str.maketrans({"†": "t", "ɑ": "a", "|": "I", "$": "S", "ﬁ": "fi", "ﬂ": "fl", "ﬀ": "ff", "ﬃ": "ffi", "ﬄ": "ffl"})
-_DIGIT_LETTERS = str.maketrans("014593", "olasge")
+_DIGIT_LETTERS = str.maketrans("0145938", "olasgeB")
 #: Words of titles that stay in lower case.
 _SMALL = frozenset("a an and at by for from in of on or the to with de la le les des du et der die das und von el los y di del e do da dos van het en".split())
 _SEASON = r"(?:spring|summer|autumn|fall|winter|january|february|march|april|may|june|july|august|september|october|november|december|q[1-4])"
@@ -25,7 +25,7 @@ _LETTERS = re.compile(r"[^\W\d_]+")
 def _plain(line: str) -> str:
     """The line with lookalikes undone, and digits inside words read as letters."""
     line = line.translate(LOOKALIKES)
-    return re.sub(r"(?<=[^\W\d_])[014593](?=[^\W\d_]|\b)|(?<!\S)[014593](?=[^\W\d_]{2,})", lambda m: m.group().translate(_DIGIT_LETTERS), line)
+    return re.sub(r"(?<=[^\W\d_])[0145938](?=[^\W\d_]|\b)|(?<!\S)[0145938](?=[^\W\d_]{2,})", lambda m: m.group().translate(_DIGIT_LETTERS), line)
 
 
 def _unscanned(line: str) -> str:
@@ -50,7 +50,7 @@ def is_marked_head(line: str) -> bool:
     plain = _plain(line)
     if ("19" in line or "20" in line) and (_DATED.search(plain) or _DATED.search(_unscanned(plain))):
         return True
-    if _CHAPTER.match(plain) or _CHAPTER.match(re.sub(r"(?<=[^\W\d_]) (?=[a-z])", "", plain, count=1)):
+    if _CHAPTER.match(plain) or _CHAPTER.match(_unscanned(plain).replace("b", "h")) or _CHAPTER.match(re.sub(r"(?<=[^\W\d_]) (?=[a-z])", "", plain, count=1)):
         return True
     letters = "".join(_LETTERS.findall(plain))
     return not _ENDS.search(line) and len(line.split()) >= 2 and len(letters) >= 8 and sum(c.isupper() for c in letters) >= 0.8 * len(letters)
@@ -60,17 +60,19 @@ def is_running_head(line: str) -> bool:
     """A line whose shape is that of a running head or foot: marked as such, or in title case, or a title cut off."""
     if is_marked_head(line):
         return True
-    if not line.strip() or len(line) > 110 or _ENDS.search(line):
+    if not line.strip() or len(line) > 110 or _ENDS.search(line) or line.rstrip()[-1] in "-‐¬\xad":
         return False
     plain = _plain(line)
     words = _LETTERS.findall(plain)
-    if len(words) < 2:
+    if len(words) < 2 or not words[0][0].isupper():
         return False
     big = [w for w in words if w.lower() not in _SMALL]
-    if len(big) >= 2 and all(w[0].isupper() for w in big) and len(words) <= 8 and not any(c.isdigit() for c in plain):
+    capitals = sum(w[0].isupper() for w in big)
+    # one part of a word in lower case may have come off it
+    if len(big) >= 2 and words[-1][0].isupper() and (capitals == len(big) or (capitals >= 3 and capitals == len(big) - 1 and big[0][0].isupper())) and len(words) <= 8 and not any(c.isdigit() for c in plain):
         return True
     # a title cut off after a small word
-    return words[-1].lower() in ("of", "and", "ancl", "0f") and words[0][0].isupper() and len(words) <= 9 and plain.rstrip()[-1].isalpha()
+    return words[-1].lower() in ("of", "and", "ancl", "0f") and len(words) <= 9 and plain.rstrip()[-1].isalpha()
 
 
 def _flows(line: str, following: str, width: int) -> bool:
@@ -102,7 +104,7 @@ def edge_lines(lines: list[str]) -> dict[int, str]:
                 before = lines[i - 1] if i else ""
                 label = order is not filled and before.strip() and len(before.split()) <= 2 and not is_running_head(before) and not _ENDS.search(before) and not before.strip()[-1] in "-¬­‐" and len(before.strip()) < 0.5 * width and line.strip().isdigit()
                 after = lines[i + 1] if i + 1 < len(lines) else ""
-                table = line.strip().isdigit() and (re.fullmatch(r"[\d\s]*\d[\d\s]*", after) or (order is not filled and re.fullmatch(r"[\d\s]*\d[\d\s]*", before)))
+                table = line.strip().isdigit() and (after if order is filled else before).strip().isdigit()
                 if not label and not table:
                     found[i] = "page_number"
                     continue
