@@ -44,7 +44,8 @@ def context(text: Column, start: Column, length: Column, window: int = 100) -> C
 
 def collapse(text: Column) -> Column:
     """Runs of white space as one blank, none at the ends."""
-    return F.btrim(F.regexp_replace(text, r"[\s\x1c-\x1f\x85\xa0 -     　]+", " "))
+    blanks = r"[\s\x1c-\x1f\x85\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"
+    return F.btrim(F.regexp_replace(text, blanks, " "))
 
 
 def decoded(url: Column) -> Column:
