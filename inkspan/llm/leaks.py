@@ -113,32 +113,32 @@ def leaked_items(words: list[str], items: dict[int, list[str | None]], seeds: di
     found = []
     for item, places in hits.items():
         places.sort()
-        size = len(items[item])
+        size, known = len(items[item]), set(items[item])
         runs: list[list[tuple[int, int]]] = []
+        open_runs: list[list[tuple[int, int]]] = []
         for at, i in places:
-            for run in runs:
+            open_runs = [run for run in open_runs if at - run[-1][0] <= size]
+            for run in open_runs:
                 a, b = run[-1]
                 # about as far apart in the document as in the item
-                if i > b and at - a <= size and abs((at - a) - (i - b)) <= 2 + 0.4 * (i - b):
+                if i > b and abs((at - a) - (i - b)) <= 2 + 0.4 * (i - b):
                     run.append((at, i))
                     break
             else:
-                runs.append([(at, i)])
-        leaks = []
+                open_runs.append([(at, i)])
+                runs.append(open_runs[-1])
         for run in runs:
             if len(run) < 2:
                 continue
             (a, b), (y, z) = run[0], run[-1]
             around = words[max(0, a - int(1.3 * b) - 3) : y + int(1.3 * (size - z)) + 4]
-            known = set(items[item])
             if sum(w in known for w in around) < MIN_WORDS:
                 continue
             matched, edits = align(around, items[item])
             allowed = EDITS if any(words[at] in seeds for at, _ in run) else EDITS_COMMON
             if matched >= MIN_WORDS and edits <= allowed * matched:
-                leaks.append((matched, edits))
-        if leaks:
-            found.append((item, *max(leaks)))
+                found.append((item, matched, edits))
+                break
     return found
 
 
