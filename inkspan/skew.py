@@ -64,7 +64,7 @@ def spread(scan: DataFrame) -> DataFrame:
 
 
 #: Characters that are cut from both ends of keys.
-BLANKS = " \t\n\r\f\v "
+BLANKS = " \t\n\r\f\v\u00a0"
 
 
 def key_of(column: Column | str) -> Column:
