@@ -45,22 +45,19 @@ _TOKEN = re.compile(r"(?:[^\W_]|[†|$])+")
 _LETTER = re.compile(r"[^\W\d_]")
 _ODD = re.compile(r"[†ɑ|$ﬁ-ﬄ0-9]")
 _HYPHEN_END = re.compile(r"(?<=[^\W_])([-‐¬­])[ \t\r]*$")
+_BROKEN = re.compile(r"[^\W_]+[-‐¬\xad][ \t\r]*\n\s*(?:[^\W_]|[†|$])+")
+_HANGING = re.compile(r"(?<![^\W_])[^\W\d_]+- (?=\S)")
 _NUMBERLIKE = re.compile(r"[0-9IlOo|]+")
 
 
 def count_words(lines: list[str], counts: Counter) -> None:
     """Adds the whole words of a page's body lines, and parts left hanging within a line as `part-`."""
     heads = edge_lines(lines)
-    broken = False
-    for i, line in enumerate(lines):
-        if i in heads or not line.strip():
-            continue
-        words = [w.lower() for w in _TOKEN.findall(line)]
-        ends = _HYPHEN_END.search(line) is not None
-        counts.update(words[1 if broken else 0 : -1 if ends else None])
-        if "- " in line:
-            counts.update(m.lower() for m in re.findall(r"(?<![^\W_])[^\W\d_]+- (?=\S)", line))
-        broken = ends
+    body = "\n".join(line for i, line in enumerate(lines) if i not in heads)
+    body = _BROKEN.sub(" ", body).lower()
+    counts.update(_TOKEN.findall(body))
+    if "- " in body:
+        counts.update(_HANGING.findall(body))
 
 
 def lexicon_of(pages: DataFrame, size: int = LEXICON) -> dict[str, int]:
@@ -90,6 +87,7 @@ class Reader:
         self.total = math.log(sum(lexicon.values()) + 1)
         #: A piece met at most so often may be half a word.
         self.rare = max(2, sum(lexicon.values()) // 50_000)
+        self.fine: set[str] = set()
         self.correct = lru_cache(maxsize=200_000)(self._correct)
         self.judge = lru_cache(maxsize=200_000)(self._judge)
 
@@ -147,6 +145,17 @@ class Reader:
         return value, reading, place
 
 
+    def all_fine(self, words: set[str]) -> bool:
+        """Whether every word is read as it stands and is too frequent to be half a word."""
+        if len(self.fine) > 500_000:
+            self.fine.clear()
+        for word in words - self.fine:
+            if _LETTER.search(word) and (self.lexicon.get(word.lower(), 0) <= self.rare or self.judge(word)[2] >= 0):
+                return False
+            self.fine.add(word)
+        return True
+
+
 def _places(word: str, part: str) -> list[int]:
     return [i for i in range(len(word) - len(part) + 1) if word.startswith(part, i)]
 
@@ -159,6 +168,8 @@ def read_page(text: str | None, reader: Reader, repair: bool = True) -> tuple[li
     heads = edge_lines(lines)
     defects = {(i, kind) for i, kind in heads.items()}
     body = [i for i, line in enumerate(lines) if i not in heads and line.strip()]
+    if not repair and not any(_HYPHEN_END.search(lines[i]) for i in body) and reader.all_fine({w for i in body for w in _TOKEN.findall(lines[i])}):
+        return [(i + 1, kind) for i, kind in sorted(defects)], []
     pieces: list[tuple[str, int, int, int]] = []  # word, line, start, end
     for i in body:
         pieces += [(m.group(), i, m.start(), m.end()) for m in _TOKEN.finditer(lines[i])]
