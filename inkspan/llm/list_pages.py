@@ -8,13 +8,16 @@ length; repeated rows are judged each by itself; other columns are not read.
 
 Method: the page's suffix automaton over its words gives, for every position, the longest string ending there that occurs elsewhere on
 the page; the union of these maximal repeats is what is covered. The page is cut into units (sentences within lines). A unit
-without clause structure - no sentence end after several words, and no mix of function words - counts as list text if
-repeats cover enough of it, or if it is a link or tag. Each page is one narrow step in a map over Arrow batches: no shuffle.
+without clause structure counts as list text if repeats cover enough of it, or if it is a link or tag. Signs of a clause are a mix of
+function words and, after several words, a sentence end; the end alone is none where repeats cover nearly all of an enumeration. A unit
+stuffed with head words - the same content words again and again, in it or in the page's different units - has no clause, whatever ends
+it. Each page is one narrow step in a map over Arrow batches: no shuffle.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -36,10 +39,17 @@ FUNCTION_WORDS = frozenset(
 )
 #: A unit is covered from this share of repeated characters on; repeats shorter than MIN_REPEAT characters don't count.
 COVERED, MIN_REPEAT = 0.25, 4
+#: The same share for a unit of which only the sentence end speaks for a clause, with at most so many words between two
+#: separators on average, and for one stuffed with head words.
+COVERED_CLOSED, ENTRY_WORDS, COVERED_STUFFED = 0.8, 2.5, 0.5
+#: A content word is a head word of a unit from so many places in it on, and of the page from so many in its different units, if these
+#: are these shares of the words. A unit is stuffed if head words are that share of its words.
+HEAD_IN_UNIT, UNIT_SHARE, HEAD_IN_PAGE, PAGE_SHARE, STUFFED = 3, 0.04, 5, 0.08, 0.3
 
 _WORD = re.compile(r"[^\W_]+")
-_UNIT = re.compile(r"(?<=[.!?…])[\"”»')\]]*\s+(?=[^\Wa-zà-ÿа-я_]|[\"“«(\[])|\n+")
+_UNIT = re.compile(r"(?<=[.!?…])[\"”»')\]]*\s+(?=[^\Wa-zà-ÿа-я_]|[\"“«(\[])|(?<=[a-zà-ÿа-я][.!?…])(?=[A-ZÀ-ÞА-Я])|\n+")
 _SENTENCE_END = re.compile(r"[.!?…][\"”»')\]]*\s*$")
+_ENTRY = re.compile(r"[^,;:|/•·>\n]*[^\W_][^,;:|/•·>\n]*")
 _LINK = re.compile(r"\w+://|<a\b|(?<![\w.])#\w|\b[\w-]+\.(?:com|org|net|info|example|test|invalid)\b|\S@\S")
 
 
@@ -86,6 +96,20 @@ def repeat_ends(words: list[str]) -> list[int]:
     return [length[s] if s in inner else length[link[s]] for s in state_of]
 
 
+def head_words(by_unit: list[list[str]]) -> set[str]:
+    """Content words that fill the page's units; a unit met again, as a repeated sentence, counts once."""
+    places = Counter(w for unit in dict.fromkeys(map(tuple, by_unit)) for w in unit)
+    least = max(HEAD_IN_PAGE, PAGE_SHARE * places.total())
+    return {w for w, n in places.items() if n >= least and w not in FUNCTION_WORDS}
+
+
+def stuffed(inside: list[str], heads: set[str]) -> bool:
+    """Whether head words of the page or of the unit itself make most of its content."""
+    places = Counter(w for w in inside if w not in FUNCTION_WORDS)
+    least = max(HEAD_IN_UNIT, UNIT_SHARE * len(inside))
+    return sum(n for w, n in places.items() if n >= least or w in heads) >= STUFFED * len(inside)
+
+
 def list_share(text: str | None) -> tuple[float, float]:
     """(share of characters in list text, share of characters that repeats cover), blanks not counted."""
     if not text or not text.strip():
@@ -105,6 +129,7 @@ def list_share(text: str | None) -> tuple[float, float]:
             covered[i] = sizes[i]
         else:
             first = len(words)
+    heads = head_words(by_unit)
     total = listed = at = 0
     for unit, inside in zip(units, by_unit):
         size = len(unit) - unit.count(" ")
@@ -112,16 +137,20 @@ def list_share(text: str | None) -> tuple[float, float]:
         count = len(inside)
         end = at + count
         link = _LINK.search(unit) is not None
-        if count >= 4 and not link and _SENTENCE_END.search(unit):
-            at = end
-            continue
         functional = [x for x in inside if x in FUNCTION_WORDS]
         kinds = len(set(functional))
+        repeated = sum(covered[at:end]) / max(sum(sizes[at:end]), 1)
         if link:
-            clause = count >= 9 and kinds >= 3
+            list_text = not (count >= 9 and kinds >= 3)
+        elif count >= 4 and repeated >= COVERED_STUFFED and stuffed(inside, heads):
+            list_text = True
+        elif count >= 4 and kinds >= 2 and len(functional) * 6 >= count:
+            list_text = False
+        elif count >= 4 and _SENTENCE_END.search(unit):
+            list_text = kinds == 0 and repeated >= COVERED_CLOSED and count <= ENTRY_WORDS * len(_ENTRY.findall(unit))
         else:
-            clause = count >= 4 and kinds >= 2 and len(functional) * 6 >= count
-        if not clause and (link or sum(covered[at:end]) >= COVERED * sum(sizes[at:end])):
+            list_text = repeated >= COVERED
+        if list_text:
             listed += size
         at = end
     return (listed / total if total else 0.0), sum(covered) / max(sum(sizes), 1)

@@ -45,6 +45,24 @@ def test_list_shares():
     assert P.list_share("word " * 50_000)[0] == 1.0  # a very long text
 
 
+STUFFED = [
+    "Used scooter fast used scooter, used scooter original!", "Our buy used scooter is the trusted used scooter for used scooter buyers who want used scooter.",
+    "Want used scooter? Get used scooter bulk used scooter here: used scooter free.", "Used scooter 2024 used scooter, used scooter no fee!",
+]
+
+
+def test_stuffed_sentences_are_list_text():
+    assert P.list_share(" ".join(STUFFED * 3))[0] == 1.0
+    assert P.list_share(" ".join(s.replace("used scooter", "diet drops").replace("Used scooter", "Diet drops") for s in STUFFED))[0] == 1.0
+    one_each = ["Best used scooter for sale.", "Get a used scooter today.", "Find the used scooter price.", "Cheap used scooter delivered fast.", "Our used scooter is new."]
+    assert P.list_share(" ".join(one_each))[0] > 0.5
+    assert P.list_share("Home, news, contact, login, imprint.\n" * 6)[0] == 1.0  # a menu with a full stop
+    assert P.list_share("sans frais avis Bavonol, pas cher en ligne, sans frais Bavonol, avis pas cher, Bavonol en ligne, Bavonol sans frais, avis Bavonol")[0] == 1.0
+    assert P.list_share("The operators met again that evening. " * 8)[0] == 0.0  # a repeated short sentence is a sentence
+    assert P.list_share("Кризисная группа получила деньги несколькими частями. " * 4)[0] == 0.0
+    assert P.list_share(SENTENCE * 8 + "\n\n" + " ".join(STUFFED))[0] < 0.5
+
+
 def test_list_pages_frame(spark):
     rows = [(1, KEYWORDS * 4, "x"), (2, SENTENCE, None), (3, None, "x"), (4, "", "x"), (1, KEYWORDS * 4, "x")]
     frame = spark.createDataFrame(rows, "doc_id long, text string, list_share string")
