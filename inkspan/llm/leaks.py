@@ -7,12 +7,12 @@ Defined results of odd input: null, empty and blank texts leak nothing; very lon
 found each; items without words are ignored, repeated item rows count once; with no items or no documents the result is empty;
 other columns are not read. Sentences that several items share (stock instructions) are masked and never count.
 
-Method: rare n-gram seeds join passages to items. One pass over all documents counts, in how many different texts each word
-n-gram of the items (one or two words) occurs; exact copies are merged first, so that a text stored a million times counts once,
-and counts are combined per partition before they are shuffled. Seeds are the shortest n-grams that are rare in these counts. A
-second pass finds the seeds in each document; where seeds of one item lie about as far apart as in the item, Smith-Waterman
-alignment of the words around them with the item decides. A stretch without any rare word must be an almost exact copy. The
-n-gram table of the items is shipped to the tasks; it is bounded, as items are taken in slices of at most SLICE_WORDS words.
+Method: n-gram seeds join passages to items. MIN_WORDS or more words in order with at most EDITS altered or added ones for each leave
+a run of at least SEED words as they are, so every run of SEED words of an item is a seed, however frequent it is, and one seed is enough.
+All seeds of a batch of documents are found and extended together in numpy: a seed is kept if at least NEAR words around it stand in
+the item's order too. Smith-Waterman alignment of the words around the kept ones decides, with the same limit for all. Words may be
+altered or added; a missing word ends the stretch, as it does where stock phrases and templates meet an item by chance. The index of the
+items' words is shipped to the tasks; it is bounded, as items are taken in slices of at most SLICE_WORDS words.
 """
 
 from __future__ import annotations
@@ -30,10 +30,12 @@ from inkspan.skew import spread
 
 #: Words of an item that must be found in order, and how many altered or added words are allowed for each of them.
 MIN_WORDS, EDITS = 15, 0.25
-#: The same for a stretch in which no word is rare.
-EDITS_COMMON = 0.08
-#: Longest seed; an n-gram is rare in at most this share of the different texts, or in RARE_TEXTS of them.
-LONGEST, RARE_SHARE, RARE_TEXTS = 2, 0.002, 5
+#: Words of a seed; words that must stand in order within REACH words around it, with up to SHIFT added ones.
+SEED, NEAR, REACH, SHIFT = 4, 12, 18, 4
+#: Words of the item and of the text on both sides of a seed in which the shortest leak around it lies.
+ITEM_SIDE, TEXT_SIDE = 40, 48
+#: Words of documents, and seeds, that are handled together.
+BATCH_WORDS, BATCH_SEEDS, BATCH_ALIGNED = 200_000, 1_000_000, 1024
 #: Words of test items per pass.
 SLICE_WORDS = 1_000_000
 
@@ -58,28 +60,6 @@ def unmasked_items(items: list[tuple[int, str]]) -> dict[int, list[str | None]]:
     return {i: [None if shared[tuple(s)] > 1 else w for s in own for w in s] for i, own in sentences.items()}
 
 
-def _ngrams(words: list[str | None]) -> Iterator[tuple[int, str]]:
-    for i in range(len(words)):
-        for n in range(1, LONGEST + 1):
-            part = words[i : i + n]
-            if len(part) < n or None in part:
-                break
-            yield i, " ".join(part)
-
-
-def seeds_of(items: dict[int, list[str | None]], rare: set[str]) -> dict[str, list[tuple[int, int]]]:
-    """Rare n-grams that hold no shorter rare one -> (item, position of the first word)."""
-    found: dict[str, list[tuple[int, int]]] = defaultdict(list)
-    for item, words in items.items():
-        for i, gram in _ngrams(words):
-            if gram in rare:
-                parts = gram.split(" ")
-                inner = [" ".join(parts[a:b]) for a in range(len(parts)) for b in range(a + 1, len(parts) + 1) if b - a < len(parts)]
-                if not any(x in rare for x in inner):
-                    found[gram].append((item, i))
-    return dict(found)
-
-
 #: Score units of a match, so that one integer holds the score and, below it, the matches.
 _UNIT = 1 << 20
 
@@ -101,47 +81,143 @@ def align(document: list[str], item: list[str | None]) -> tuple[int, int]:
     return matched, (matched - score) // 2
 
 
-def leaked_items(words: list[str], items: dict[int, list[str | None]], seeds: dict[str, list[tuple[int, int]]]) -> list[tuple[int, int, int]]:
-    """(item, matched words, edits) of the items that a document leaks."""
-    hits: dict[int, list[tuple[int, int]]] = defaultdict(list)
-    for n in range(1, LONGEST + 1):
-        for at in range(len(words) - n + 1):
-            gram = words[at] if n == 1 else " ".join(words[at : at + n])
-            if gram in seeds:
-                for item, i in seeds[gram]:
-                    hits[item].append((at, i))
-    found = []
-    for item, places in hits.items():
-        places.sort()
-        size, known = len(items[item]), set(items[item])
-        runs: list[list[tuple[int, int]]] = []
-        open_runs: list[list[tuple[int, int]]] = []
-        for at, i in places:
-            open_runs = [run for run in open_runs if at - run[-1][0] <= size]
-            for run in open_runs:
-                a, b = run[-1]
-                # about as far apart in the document as in the item
-                if i > b and abs((at - a) - (i - b)) <= 2 + 0.4 * (i - b):
-                    run.append((at, i))
-                    break
-            else:
-                open_runs.append([(at, i)])
-                runs.append(open_runs[-1])
-        for run in runs:
-            if len(run) < 2:
-                continue
-            (a, b), (y, z) = run[0], run[-1]
-            around = words[max(0, a - int(1.3 * b) - 3) : y + int(1.3 * (size - z)) + 4]
-            if sum(w in known for w in around) < MIN_WORDS:
-                continue
-            matched, edits = align(around, items[item])
-            allowed = EDITS if any(words[at] in seeds for at, _ in run) else EDITS_COMMON
-            if matched >= MIN_WORDS and edits <= allowed * matched:
-                found.append((item, matched, edits))
-                break
+def align_unbroken(document: list[str], item: list[str | None]) -> tuple[int, int]:
+    """(matched words, edits) of the alignment within the limits that matches most, (0, 0) if none is; no word of the item may be missing in it."""
+    codes: dict[str, int] = {}
+    d = [codes.setdefault(w, len(codes)) for w in document]
+    t = np.array([codes.get(w, -1) if w is not None else -2 for w in item], np.int64)
+    row = np.zeros(len(t) + 1, np.int64)
+    found = (0, 0)
+    least = int(MIN_WORDS * (1 - 2 * EDITS)) << 20
+    for code in d:
+        now = np.maximum(row - 2 * _UNIT, 0)
+        np.maximum(now[1:], row[:-1] + np.where(t == code, _UNIT + 1, -2 * _UNIT), out=now[1:])
+        row = now
+        if row.max() >= least:
+            matched = row & (_UNIT - 1)
+            edits = (matched - (row >> 20)) // 2
+            at = int(np.where(edits <= EDITS * matched, matched, 0).argmax())
+            if matched[at] >= max(MIN_WORDS, found[0] + 1) and edits[at] <= EDITS * matched[at]:
+                found = (int(matched[at]), int(edits[at]))
     return found
 
 
+class ItemIndex:
+    """The items' words as one array of numbers, with the places of every run of SEED words."""
+
+    def __init__(self, items: dict[int, list[str | None]]):
+        self.items, self.names = items, list(items)
+        self.numbers = {w: k for k, w in enumerate(dict.fromkeys(w for own in items.values() for w in own if w is not None), 1)}
+        pad = [0] * (TEXT_SIDE + SEED)
+        flat, owner, self.start = list(pad), [-1] * len(pad), []
+        for k, own in enumerate(items.values()):
+            self.start.append(len(flat))
+            flat += [self.numbers[w] if w is not None else 0 for w in own] + pad
+            owner += [k] * len(own) + [-1] * len(pad)
+        self.flat, self.owner = np.array(flat, np.int32), np.array(owner, np.int32)
+        place, key = self.seeds(self.flat)
+        order = np.argsort(key, kind="stable")
+        self.place, self.key = place[order], key[order]
+
+    @staticmethod
+    def seeds(flat: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of the runs of SEED known words, and their keys (equal keys of different runs are told apart later)."""
+        known = flat > 0
+        n = max(len(flat) - SEED + 1, 0)
+        whole = np.ones(n, bool)
+        key = np.zeros(n, np.uint64)
+        for j in range(SEED):
+            whole &= known[j : j + n]
+            key = (key ^ flat[j : j + n].astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+        place = np.flatnonzero(whole)
+        return place, key[place]
+
+    def leaks(self, texts: list[list[str]]) -> list[tuple[int, int, int, int]]:
+        """(number of the text, item, matched words, edits) of every leak in the texts, given as words."""
+        pad = [-1] * (TEXT_SIDE + SEED)
+        flat, owner, start = list(pad), [-1] * len(pad), []
+        for k, words in enumerate(texts):
+            start.append(len(flat))
+            flat += [self.numbers.get(w, -1) for w in words] + pad
+            owner += [k] * len(words) + [-1] * len(pad)
+        words_at, text_of = np.array(flat, np.int32), np.array(owner, np.int64)
+        n_items = max(len(self.names), 1)
+        spans: dict[int, list[tuple[int, int]]] = defaultdict(list)
+        place, key = self.seeds(words_at)
+        low = np.searchsorted(self.key, key)
+        count = np.searchsorted(self.key, key, "right") - low
+        place, low, count = place[count > 0], low[count > 0], count[count > 0]
+        part = np.cumsum(count) // BATCH_SEEDS
+        for k in np.unique(part):
+            mine = part == k
+            many = count[mine]
+            at = np.repeat(place[mine], many)
+            i = self.place[np.repeat(low[mine], many) + np.arange(len(at)) - np.repeat(np.cumsum(many) - many, many)]
+            run = words_at[at - 1] != self.flat[i - 1]  # the first seed of a run speaks for it
+            for j in range(SEED):
+                run &= words_at[at + j] == self.flat[i + j]
+            at, i = at[run], i[run]
+            pair = text_of[at] * n_items + self.owner[i]
+            keep = np.flatnonzero(self._in_order(words_at, at, i) >= NEAR)
+            sure = [self._leaks_at(words_at, at[c], i[c]) for c in np.array_split(keep, -(-len(keep) // BATCH_ALIGNED))] if len(keep) else []
+            keep = keep[np.concatenate(sure)] if sure else keep
+            for p, a, b in zip(pair[keep].tolist(), at[keep].tolist(), i[keep].tolist()):
+                spans[p].append((a - start[p // n_items], b - self.start[p % n_items]))
+        found = []
+        for p, seeds in spans.items():
+            leak = self._judge(texts[p // n_items], self.names[p % n_items], seeds)
+            if leak:
+                found.append((p // n_items, self.names[p % n_items], *leak))
+        return found
+
+    def _in_order(self, words_at: np.ndarray, at: np.ndarray, i: np.ndarray) -> np.ndarray:
+        """How many words within REACH of each seed equal the item's word at their place, or up to SHIFT places nearer."""
+        near = np.full(len(at), SEED, np.int8)
+        for side in (1, -1):
+            for k in range(1, REACH + 1):
+                off = k + SEED - 1 if side > 0 else -k
+                word = words_at[at + off]
+                same = word == self.flat[i + off]
+                for shift in range(1, min(SHIFT, k - 1) + 1):
+                    same |= word == self.flat[i + off - side * shift]
+                near += same
+        return near
+
+    def _leaks_at(self, words_at: np.ndarray, at: np.ndarray, i: np.ndarray) -> np.ndarray:
+        """Whether a leak lies around each seed: align_unbroken of all of them in step, over the words at their sides."""
+        d = words_at[at[:, None] + np.arange(-TEXT_SIDE, TEXT_SIDE + SEED)]
+        t = self.flat[i[:, None] + np.arange(-ITEM_SIDE, ITEM_SIDE + SEED)]
+        unit, least = 1 << 12, int(MIN_WORDS * (1 - 2 * EDITS)) << 12
+        row = np.zeros((len(at), t.shape[1] + 1), np.int32)
+        leak = np.zeros(len(at), bool)
+        for k in range(d.shape[1]):
+            now = np.maximum(row - np.int32(2 * unit), 0)
+            np.maximum(now[:, 1:], row[:, :-1] + np.where(t == d[:, k : k + 1], np.int32(unit + 1), np.int32(-2 * unit)), out=now[:, 1:])
+            row = now
+            high = np.flatnonzero((row.max(1) >= least) & ~leak)
+            if len(high):
+                matched = row[high] & (unit - 1)
+                edits = (matched - (row[high] >> 12)) // 2
+                leak[high] = ((matched >= MIN_WORDS) & (edits <= EDITS * matched)).any(1)
+        return leak
+
+    def _judge(self, words: list[str], item: int, seeds: list[tuple[int, int]]) -> tuple[int, int] | None:
+        """(matched words, edits) of the leak around the seeds, each piece of the text being aligned once."""
+        own = self.items[item]
+        size = len(own)
+        spans: list[list[int]] = []
+        for a, b in sorted((max(0, a - int(1.3 * b) - 3), a + int(1.3 * (size - b)) + 4) for a, b in seeds):
+            if spans and a <= spans[-1][1]:
+                spans[-1][1] = max(spans[-1][1], b)
+            else:
+                spans.append([a, b])
+        for a, b in spans:
+            matched, edits = align_unbroken(words[a:b], own)
+            if matched:
+                return matched, edits
+        return None
+
+
 def find_leaks(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """(doc_id, item_id, matched, edits) of every document and test item that it leaks."""
     spark = documents.sparkSession
@@ -151,9 +227,7 @@ def find_leaks(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", t
     parts = []
     for part in slices:
         words = unmasked_items(part)
-        grams = {g: k for k, g in enumerate(dict.fromkeys(g for own in words.values() for _, g in _ngrams(own)))}
-        rare = set(grams) - _frequent(rows, grams)
-        parts.append(rows.mapInPandas(_finder(words, seeds_of(words, rare)), schema))
+        parts.append(rows.mapInPandas(_finder(words), schema))
     found = parts[0] if parts else spark.createDataFrame([], schema)
     for part in parts[1:]:
         found = found.unionByName(part)
@@ -174,33 +248,23 @@ def _slices(items: DataFrame) -> list[list[tuple[int, str]]]:
     return slices
 
 
-def _frequent(rows: DataFrame, grams: dict[str, int]) -> set[str]:
-    """The n-grams that are not rare in the different texts of all documents."""
-
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        texts = np.zeros(len(grams) + 1, np.int64)  # the last one counts all texts
-        for batch in batches:
-            texts[-1] += len(batch)
-            for text in batch["text"]:
-                words = words_of(text)
-                met = set(words)
-                for n in range(2, LONGEST + 1):
-                    met.update(map(" ".join, zip(*(words[k:] for k in range(n)))))
-                texts[[grams[g] for g in met if g in grams]] += 1
-        met = np.flatnonzero(texts)
-        yield pd.DataFrame({"gram": met, "texts": texts[met]})
-
-    counts = rows.select("text").distinct().mapInPandas(count, "gram long, texts long").groupBy("gram").agg(F.sum("texts").alias("texts"))
-    # at most one row per n-gram of the slice
-    numbers = {r["gram"]: r["texts"] for r in counts.toLocalIterator()}
-    often = max(RARE_TEXTS, RARE_SHARE * numbers.get(len(grams), 0))
-    return {g for g, k in grams.items() if numbers.get(k, 0) > often}
-
-
-def _finder(items: dict[int, list[str | None]], seeds: dict[str, list[tuple[int, int]]]):
+def _finder(items: dict[int, list[str | None]]):
     def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        index = ItemIndex(items)
         for batch in batches:
-            out = [(d, *leak) for d, text in zip(batch["doc_id"], batch["text"]) for leak in leaked_items(words_of(text), items, seeds)]
+            out: list[tuple] = []
+            ids: list = []
+            texts: list[list[str]] = []
+            size = 0
+            for d, text in zip(batch["doc_id"], batch["text"]):
+                ids.append(d)
+                texts.append(words_of(text))
+                size += len(texts[-1])
+                if size >= BATCH_WORDS:
+                    out += [(ids[k], *leak) for k, *leak in index.leaks(texts)]
+                    ids, texts, size = [], [], 0
+            if texts:
+                out += [(ids[k], *leak) for k, *leak in index.leaks(texts)]
             yield pd.DataFrame(out, columns=["doc_id", "item_id", "matched", "edits"])
 
     return find

@@ -137,6 +137,14 @@ def test_a_much_copied_leak_is_found(spark, leaks):
     assert set(range(1000, 1401)) <= got
 
 
+def test_a_leak_in_a_third_of_different_texts_is_found(spark, leaks):
+    docs, items = leaks
+    words = E.words_of(ITEM)
+    spread_out = [(2000 + i, f"note {i} of day {i} " + " ".join(words[i % 8 : i % 8 + 16]) + f" and more about number {i}", "x") for i in range(200)]
+    got = {r["doc_id"] for r in E.find_leaks(docs.unionByName(spark.createDataFrame(spread_out, docs.schema)), items).collect()}
+    assert set(range(2000, 2200)) <= got
+
+
 WORDS = "the report was published by the group after the meeting and the editor removed another archive during the summer".split()
 PLAIN = "The report was published by the\ngroup after the meeting and the\neditor removed another archive."
 
