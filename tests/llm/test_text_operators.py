@@ -145,6 +145,31 @@ def test_a_leak_in_a_third_of_different_texts_is_found(spark, leaks):
     assert set(range(2000, 2200)) <= got
 
 
+def test_leaks_of_common_words_alone(spark):
+    item = "we can see that it is not what they had said to us when it was time for them to go on with the work that we do"
+    words = item.split()
+    edited = words[:5] + ["now"] + words[5:10] + ["x"] + words[11:20]
+    vocabulary = sorted(set(words))
+    rng = np.random.default_rng(3)
+    filler = [(100 + i, " ".join(rng.choice(vocabulary, 60))) for i in range(400)] + [(1000 + i, f"{' '.join(words[k : k + 3])} {i}") for i in range(30) for k in range(25)]
+    docs = spark.createDataFrame([(1, "so " + " ".join(words[3:18]) + " so"), (2, " ".join(edited)), (3, " ".join(words[3:17])), *filler], "doc_id long, text string")
+    got = {r["doc_id"] for r in E.find_leaks(docs, spark.createDataFrame([(1, item)], "item_id long, text string")).collect()}
+    assert {1, 2} <= got and 3 not in got
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.data())
+def test_every_edited_stretch_has_a_seed(data):
+    item = [f"w{k % 23}" if k % 3 else f"v{k}" for k in range(60)]
+    begin = data.draw(st.integers(0, 40))
+    stretch = item[begin : begin + 18]
+    for at in data.draw(st.lists(st.integers(3, 14), max_size=3)):
+        stretch[at] = "other"
+    text = [f"a{k}" for k in range(data.draw(st.integers(0, 60)))] + stretch + ["b"] * 20
+    found = [leak[:2] for leak in E.ItemIndex({7: item}).leaks([["a"], text])]
+    assert found == ([(1, 7)] if E.align_unbroken(text, item)[0] else [])
+
+
 WORDS = "the report was published by the group after the meeting and the editor removed another archive during the summer".split()
 PLAIN = "The report was published by the\ngroup after the meeting and the\neditor removed another archive."
 
