@@ -158,3 +158,14 @@ def test_unusable_vectors_ties_and_copies(spark):
     assert ("a", "b") in {(r["first"], r["second"]) for r in neighbour_pairs(nearest_vectors(usable, 2)).collect()}
     assert nearest_vectors(usable.limit(0)).count() == 0
     assert [r["neighbours"] for r in nearest_vectors(usable.filter("id = 'b'")).collect()] == [[]]
+
+
+def test_large_groups_of_equal_vectors_are_exact(spark):
+    rng = np.random.default_rng(4)
+    base = vectors(60, seed=4)
+    of = np.concatenate([np.zeros(150, int), np.ones(40, int), np.full(12, 2), rng.integers(3, 60, 150)])
+    x = base[of] * rng.choice([0.5, 1.0, 2.0], (len(of), 1)).astype(np.float32)
+    names = [f"v{i:05d}" for i in rng.permutation(len(of))]
+    frame = spark.createDataFrame([(n, [float(y) for y in v]) for n, v in zip(names, x)], "id string, vector array<float>")
+    got = {r["id"]: [n["id"] for n in r["neighbours"]] for r in nearest_vectors(frame.unionByName(frame.limit(50))).collect()}
+    assert got == brute_neighbours(names, x, 10)
