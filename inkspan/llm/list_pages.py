@@ -6,18 +6,17 @@ rather than to sentences. A page whose share is above one half is a list page.
 Defined results of odd input: null, empty and blank texts have share 0; very long texts are read whole, in time linear in their
 length; repeated rows are judged each by itself; other columns are not read.
 
-Method: the page's suffix automaton over its words gives, for every position, the longest string ending there that occurs elsewhere on
-the page; the union of these maximal repeats is what is covered. The page is cut into units (sentences within lines). A unit
-without clause structure counts as list text if repeats cover enough of it, or if it is a link or tag. Signs of a clause are a mix of
-function words and, after several words, a sentence end; the end alone is none where repeats cover nearly all of an enumeration. A unit
-stuffed with head words - the same content words again and again, in it or in the page's different units - has no clause, whatever ends
-it. Each page is one narrow step in a map over Arrow batches: no shuffle.
+Method: the page's suffix automaton over its tokens (words, numbers as one class, marks, line ends) with the number of places of every
+substring. Dense are substrings of at most SHORT words running that occur in at least DENSE of the page's words; what they cover are keywords,
+tags, separators. A longer repeat is a repeated sentence: it counts as keywords only where a short part of it is met TIMES as often as itself.
+Clause structure is what dense substrings leave over: CLAUSE or more words in a row. A unit (sentence or line) is list text if repeats of any
+length cover enough of it and clauses make little of it. No word lists, no shapes of links or hosts, in any language. Each page is one narrow step in a map
+over Arrow batches: no shuffle.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -26,134 +25,168 @@ from pyspark.sql import functions as F
 
 from inkspan.skew import spread
 
-#: Function words (en, fr, de, es, it, pt, nl, ru) whose mix marks a clause.
-FUNCTION_WORDS = frozenset(
-    """the a an and of to in that which was were is are been had has have by for with on at from as it this these if not while although what before after
-    le la les des du de un une et à au aux en dans par pour sur ne pas plus qui que sans avait cette
-    der die das den dem des ein eine einer eines einem einen und zu im auf mit von vor nach nicht sich hat hatte ist über bei für
-    el los las una y del al con se ya no su sus había
-    il lo gli i di da della dei delle per si ha che nel più
-    o os as um uma e do dos das na nos nas com não já
-    het een van op te met niet om voor naar dat zijn heeft hebben
-    в и на по не с что из за от до о к у же был была были больше""".split()
-)
-#: A unit is covered from this share of repeated characters on; repeats shorter than MIN_REPEAT characters don't count.
-COVERED, MIN_REPEAT = 0.25, 4
-#: The same share for a unit of which only the sentence end speaks for a clause, with at most so many words between two
-#: separators on average, and for one stuffed with head words.
-COVERED_CLOSED, ENTRY_WORDS, COVERED_STUFFED = 0.8, 2.5, 0.5
-#: A content word is a head word of a unit from so many places in it on, and of the page from so many in its different units, if these
-#: are these shares of the words. A unit is stuffed if head words are that share of its words.
-HEAD_IN_UNIT, UNIT_SHARE, HEAD_IN_PAGE, PAGE_SHARE, STUFFED = 3, 0.04, 5, 0.08, 0.3
-
-_WORD = re.compile(r"[^\W_]+")
-_UNIT = re.compile(r"(?<=[.!?…])[\"”»')\]]*\s+(?=[^\Wa-zà-ÿа-я_]|[\"“«(\[])|(?<=[a-zà-ÿа-я][.!?…])(?=[A-ZÀ-ÞА-Я])|\n+")
-_SENTENCE_END = re.compile(r"[.!?…][\"”»')\]]*\s*$")
-_ENTRY = re.compile(r"[^,;:|/•·>\n]*[^\W_][^,;:|/•·>\n]*")
-_LINK = re.compile(r"\w+://|<a\b|(?<![\w.])#\w|\b[\w-]+\.(?:com|org|net|info|example|test|invalid)\b|\S@\S")
-
-
-def repeat_ends(words: list[str]) -> list[int]:
-    """For each position, the length in words of the longest string ending there that occurs at another place too.
-
-    The suffix automaton is built online. The state of a prefix holds the strings that end just where it does; if it is a
-    leaf of the suffix links, the prefix occurs once and its longest repeated suffix is the one its link leads to.
-    """
-    length, link, step = [0], [-1], [{}]
-    state_of: list[int] = []
-    last = 0
-    for word in words:
-        new = len(length)
-        length.append(length[last] + 1)
-        step.append({})
-        state_of.append(new)
-        p = last
-        last = new
-        while p >= 0:
-            way = step[p]
-            if word in way:
-                break
-            way[word] = new
-            p = link[p]
-        if p < 0:
-            link.append(0)
-            continue
-        q = way[word]
-        longer = length[p] + 1
-        if longer == length[q]:
-            link.append(q)
-            continue
-        copy = new + 1
-        link.append(copy)
-        length.append(longer)
-        link.append(link[q])
-        step.append(step[q].copy())
-        link[q] = copy
-        while p >= 0 and step[p].get(word) == q:
-            step[p][word] = copy
-            p = link[p]
-    inner = set(link)
-    return [length[s] if s in inner else length[link[s]] for s in state_of]
-
-
-def head_words(by_unit: list[list[str]]) -> set[str]:
-    """Content words that fill the page's units; a unit met again, as a repeated sentence, counts once."""
-    places = Counter(w for unit in dict.fromkeys(map(tuple, by_unit)) for w in unit)
-    least = max(HEAD_IN_PAGE, PAGE_SHARE * places.total())
-    return {w for w, n in places.items() if n >= least and w not in FUNCTION_WORDS}
-
-
-def stuffed(inside: list[str], heads: set[str]) -> bool:
-    """Whether head words of the page or of the unit itself make most of its content."""
-    places = Counter(w for w in inside if w not in FUNCTION_WORDS)
-    least = max(HEAD_IN_UNIT, UNIT_SHARE * len(inside))
-    return sum(n for w, n in places.items() if n >= least or w in heads) >= STUFFED * len(inside)
+#: A substring is dense from so many places on, and from this share of the page's words.
+DENSE_LEAST, DENSE = 4, 0.02
+#: Most words running of a keyword; times a part must be met as often as the repeat it stands in; fewest characters of a repeat.
+SHORT, TIMES, MIN_REPEAT = 3, 2, 4
+#: Fewest words in a row that make a clause; a unit is list text below this share of clauses and from this share of repeats on.
+CLAUSE, CLAUSE_SHARE, COVERED = 4, 0.3, 0.25
+#: A line with fewer characters than this wasn't wrapped: its end is the end of a unit.
+WRAPPED = 40
+#: Longest dense substring in tokens whose parts are looked at one by one.
+PARTS = 16
+
+#: Words; of scripts without blanks every character is a word.
+_TOKEN = re.compile(r"[぀-ヿ㐀-鿿豈-﫿฀-๿]|[^\W\d_぀-ヿ㐀-鿿豈-﫿฀-๿]+|\d+|[.!?…]+(?=[\s\"”»')\]]|$)|[^\w\s]|_|\n")
+_ENDS = frozenset(".!?…")
+_INSIDE = frozenset("-'’‐")
+
+
+class Repeats:
+    """The suffix automaton of a list of tokens, built online, with the number of places of each state's strings."""
+
+    def __init__(self, tokens: list[str]):
+        length, link, step, places = [0], [-1], [{}], [0]
+        self.at: list[int] = []
+        last = 0
+        for token in tokens:
+            new = len(length)
+            length.append(length[last] + 1)
+            step.append({})
+            places.append(1)
+            self.at.append(new)
+            p = last
+            last = new
+            while p >= 0:
+                way = step[p]
+                if token in way:
+                    break
+                way[token] = new
+                p = link[p]
+            if p < 0:
+                link.append(0)
+                continue
+            q = way[token]
+            longer = length[p] + 1
+            if longer == length[q]:
+                link.append(q)
+                continue
+            copy = new + 1
+            link.append(copy)
+            length.append(longer)
+            link.append(link[q])
+            step.append(step[q].copy())
+            places.append(0)
+            link[q] = copy
+            while p >= 0 and step[p].get(token) == q:
+                step[p][token] = copy
+                p = link[p]
+        self.by_length = sorted(range(1, len(length)), key=length.__getitem__)
+        for s in reversed(self.by_length):
+            places[link[s]] += places[s]
+        self.length, self.link, self.places = length, link, places
+
+    def ends(self) -> list[int]:
+        """For each position, the length of the longest string ending there that occurs at another place too."""
+        length, link, places = self.length, self.link, self.places
+        return [length[s] if places[s] > 1 else length[link[s]] for s in self.at]
+
+    def dense_ends(self, least: float, free: list[int]) -> list[int]:
+        """For each position, the length of the dense string ending there that counts as keywords, or 0.
+
+        free: how many tokens back from each position no run of more than SHORT different words lies.
+        """
+        length, link, places = self.length, self.link, self.places
+        dense, brief = [0] * len(length), [0] * len(length)
+        for s in self.by_length:
+            up = link[s]
+            dense[s] = s if places[s] >= least else dense[up]
+            brief[s] = s if length[s] <= PARTS else brief[up]
+        back = [0] * len(self.at)
+        longer, more = 0, 0  # the dense string of the next position and its places
+        for i in range(len(self.at) - 1, -1, -1):
+            s = dense[self.at[i]]
+            n = places[s] if s else 0
+            goes_on = longer > length[s] and more == n
+            longer, more = length[s], n
+            if not s:
+                continue
+            if goes_on or length[s] > free[i]:
+                s = brief[s]
+                while s and length[s] > free[i]:
+                    n, s = places[s], link[s]
+                while s and places[s] < TIMES * n:
+                    s = link[s]
+            back[i] = length[s]
+        return back
+
+
+def _covered(back: list[int], begins: list[int]) -> list[bool]:
+    """Which positions the strings that end at the positions with these lengths cover, those of fewer than MIN_REPEAT characters aside."""
+    covered = [False] * len(back)
+    first = len(back)
+    for i in range(len(back) - 1, -1, -1):
+        start = i - back[i] + 1
+        if start < first and begins[i + 1] - begins[start] >= MIN_REPEAT:
+            first = start
+        covered[i] = first <= i
+    return covered
 
 
 def list_share(text: str | None) -> tuple[float, float]:
     """(share of characters in list text, share of characters that repeats cover), blanks not counted."""
-    if not text or not text.strip():
+    tokens = _TOKEN.findall(text.lower()) if text else []
+    n = len(tokens)
+    word = [t.isalpha() for t in tokens]
+    begins = [0] * (n + 1)
+    free = [0] * n
+    run, last = [], -1  # places of the words running, and where the last run of more than SHORT different words begins
+    for i, t in enumerate(tokens):
+        begins[i + 1] = begins[i] + (len(t) if t != "\n" else 0)
+        if word[i]:
+            run.append(i)
+            if len(run) > SHORT and len({tokens[j] for j in run[-SHORT - 1 :]}) > SHORT:
+                last = run[-SHORT - 1]
+        elif t not in _INSIDE:
+            run = []
+        free[i] = i - last
+    if not begins[n]:
         return 0.0, 0.0
-    units = [u for u in _UNIT.split(text) if u]
-    by_unit = [_WORD.findall(u.lower()) for u in units]
-    words = [w for unit in by_unit for w in unit]
-    sizes = [len(w) for w in words]
-    ends = repeat_ends(words)
-    covered = [0] * len(words)
-    first = len(words)  # the repeats met so far, from the right, reach down to here
-    for i in range(len(words) - 1, -1, -1):
-        again = ends[i]
-        if again and i - again + 1 < first and (again > 1 or sizes[i] >= MIN_REPEAT):
-            first = i - again + 1
-        if first <= i:
-            covered[i] = sizes[i]
-        else:
-            first = len(words)
-    heads = head_words(by_unit)
-    total = listed = at = 0
-    for unit, inside in zip(units, by_unit):
-        size = len(unit) - unit.count(" ")
-        total += size
-        count = len(inside)
-        end = at + count
-        link = _LINK.search(unit) is not None
-        functional = [x for x in inside if x in FUNCTION_WORDS]
-        kinds = len(set(functional))
-        repeated = sum(covered[at:end]) / max(sum(sizes[at:end]), 1)
-        if link:
-            list_text = not (count >= 9 and kinds >= 3)
-        elif count >= 4 and repeated >= COVERED_STUFFED and stuffed(inside, heads):
-            list_text = True
-        elif count >= 4 and kinds >= 2 and len(functional) * 6 >= count:
-            list_text = False
-        elif count >= 4 and _SENTENCE_END.search(unit):
-            list_text = kinds == 0 and repeated >= COVERED_CLOSED and count <= ENTRY_WORDS * len(_ENTRY.findall(unit))
-        else:
-            list_text = repeated >= COVERED
-        if list_text:
-            listed += size
-        at = end
-    return (listed / total if total else 0.0), sum(covered) / max(sum(sizes), 1)
+    repeats = Repeats(["#" if t.isdigit() else t for t in tokens])
+    keyword = _covered(repeats.dense_ends(max(DENSE_LEAST, DENSE * sum(word)), free), begins)
+    repeated = _covered(repeats.ends(), begins)
+    listed = again = 0
+    start = run_words = run_size = clauses = letters = line = here = 0
+    for i in range(n + 1):
+        t = tokens[i] if i < n else "\n"
+        size = begins[i + 1] - begins[i] if i < n else 0
+        line += size + 1
+        here += size if i < n and repeated[i] else 0
+        if i < n and word[i]:
+            letters += size
+            if not keyword[i]:
+                run_words += 1
+                run_size += size
+                continue
+        elif t in _INSIDE:
+            continue
+        closing = t[0] in _ENDS
+        if t == "\n":
+            closing = i == n or line < WRAPPED or tokens[i + 1 : i + 2] == ["\n"]
+            line = 0
+            if not closing:
+                continue
+        if run_words >= CLAUSE:
+            clauses += run_size
+        run_words = run_size = 0
+        if closing:
+            total = begins[min(i + 1, n)] - start
+            if clauses < CLAUSE_SHARE * letters or (not letters and total):
+                listed += total if here >= COVERED * total else 0
+            again += here
+            start = begins[min(i + 1, n)]
+            clauses = letters = here = 0
+    return listed / begins[n], again / begins[n]
 
 
 def list_shares(pages: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:

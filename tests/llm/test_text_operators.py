@@ -27,7 +27,7 @@ def brute_repeats(words):
 @settings(max_examples=150, deadline=None)
 @given(st.lists(st.sampled_from("abc"), max_size=18))
 def test_suffix_automaton_equals_brute_force(words):
-    assert P.repeat_ends(words) == brute_repeats(words)
+    assert P.Repeats(words).ends() == brute_repeats(words)
 
 
 SENTENCE = "The operators noted that the router behind the archive had been removed, although the group had tested it."
@@ -63,6 +63,29 @@ def test_stuffed_sentences_are_list_text():
     assert P.list_share(SENTENCE * 8 + "\n\n" + " ".join(STUFFED))[0] < 0.5
 
 
+def test_places_of_substrings_are_counted():
+    words = "a b a b a c b a a b".split()
+    repeats = P.Repeats(words)
+    for end, state in enumerate(repeats.at):
+        while state:
+            string = words[end + 1 - repeats.length[state] : end + 1]
+            assert repeats.places[state] == sum(words[k : k + len(string)] == string for k in range(len(words)))
+            state = repeats.link[state]
+
+
+def test_marks_of_lists_need_no_word_lists():
+    menu = ["Archive (701)", "Home", "Login »", "gor12.shop1.de ›", "Sitemap (36)", "Archive »", "Page 47", "Login"]
+    assert P.list_share("\n".join(menu * 5))[0] == 1.0
+    tags = [f"#{a}giftcard" for a in "best cheap new top".split()]
+    assert P.list_share(" ".join(tags * 6))[0] == 1.0
+    entries = [f"{p} {c} SKU {480721 + 37 * k} {k * 7.3:.2f} add to basket" for k, (p, c) in enumerate([("travel adapter", "black"), ("slot bonus", "XL"), ("gift card", "white")] * 5)]
+    assert P.list_share("\n".join(entries))[0] == 1.0
+    subjects, ends = ["Прежняя фирма", "Местная редакция", "Доменная служба", "Кризисная группа"], ["хранит копию всех писем", "получила деньги несколькими частями", "закрыла несколько подозрительных записей"]
+    assert P.list_share(" ".join(f"{s} {e}." for s in subjects for e in ends))[0] < 0.5  # templates are sentences
+    poem = "Soft rain falls\nOver the hill\nNo bird calls\nThe mill stands still\nGrey stones wait\nUnder the eaves"
+    assert P.list_share(poem)[0] == 0.0  # short lines, but nothing repeated
+
+
 def test_list_pages_frame(spark):
     rows = [(1, KEYWORDS * 4, "x"), (2, SENTENCE, None), (3, None, "x"), (4, "", "x"), (1, KEYWORDS * 4, "x")]
     frame = spark.createDataFrame(rows, "doc_id long, text string, list_share string")
