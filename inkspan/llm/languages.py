@@ -9,12 +9,13 @@ other columns are not read.
 Method: segmentation-marginalised unigrams. The pieces of a fixed public vocabulary have a probability in each language, fitted by
 expectation maximisation on labelled sentences (at most SAMPLE_ROWS). A word's likelihood is the sum over all its segmentations into
 pieces, by the forward algorithm; a text's is the product over its words. Pages are judged by paragraphs, chunks by runs of sentences (Viterbi
-with a cost of changing the language); the language of a text is that of most of its letters. Scores of words are kept within a
+with a cost of changing the language, which are the segments of a chunk); the language of a text is that of most of its letters. Scores of words are kept within a
 task, so each distinct word is summed once per task. All steps over texts are narrow; only (document, language) pairs are shuffled.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 
@@ -30,10 +31,14 @@ from inkspan.skew import spread
 VOCABULARY, SAMPLE_ROWS = "/opt/tokenizers/piece_bpe_32k.model", 20_000
 #: Rounds of expectation maximisation, and the pseudo-count that all pieces of the vocabulary share in each language.
 ROUNDS, SHARED = 4, 40.0
+#: Places of a word after which its running sums are scaled.
+SCALED = 16
 #: Log cost of changing the language between two sentences of a chunk; fewest letters of a paragraph that has a language of its own.
 CHANGE, LEAST_LETTERS = 12.0, 24
-#: Words whose evidence a confidence is based on at most (neighbouring words aren't independent).
-EVIDENCE_WORDS = 12
+#: Of the labelled sentences, every so many-th is held out to calibrate confidences; words of the pieces it is cut into for that.
+HELD_OUT, PIECE_WORDS = 5, (1, 2, 3, 5, 8, 12, 20)
+#: Posterior from which a paragraph of a few letters has a language of its own, taken with the evidence of at most so many words.
+CERTAIN, CERTAIN_WORDS = 0.999, 12
 
 #: Other notations of the languages' two-letter codes.
 NOTATIONS = {
@@ -56,11 +61,18 @@ def code_of(label: Column) -> Column:
     return F.when(label.isNotNull(), F.coalesce(names[plain], short))
 
 
+def _log_sum(values: list[float]) -> float:
+    top = max(values)
+    return top + math.log(sum(math.exp(v - top) for v in values))
+
+
 class PieceModel:
     """Piece probabilities by language; `score` sums a word's segmentations."""
 
     def __init__(self, vocabulary: list[str], samples: list[tuple[str, str]], rounds: int = ROUNDS, shared: float = SHARED):
         self.languages = sorted({lang for lang, _ in samples})
+        #: A text of n words is judged by its log likelihoods times tempered[0] / n ** tempered[1]: neighbouring words aren't independent.
+        self.tempered = (1.0, 0.0)
         self.longest = max(map(len, vocabulary))
         n = len(self.languages)
         self.base = np.full(n, 1 / len(vocabulary))
@@ -100,37 +112,71 @@ class PieceModel:
 
     def _expect(self, word: str, times: int, k: int, counts: dict[str, np.ndarray]) -> None:
         """Adds the expected counts of a word's pieces in language k (forward and backward sums)."""
-        pieces = self._pieces(word)
+        pieces = [(i, j, math.log(p[k])) for i, j, p in self._pieces(word)]
         n = len(word)
-        ahead, behind = [0.0] * (n + 1), [0.0] * (n + 1)
-        ahead[0] = behind[n] = 1.0
+        into: list[list[tuple[int, float]]] = [[] for _ in range(n + 1)]
+        out: list[list[tuple[int, float]]] = [[] for _ in range(n + 1)]
         for i, j, p in pieces:
-            ahead[j] += ahead[i] * p[k]
-        for i, j, p in reversed(pieces):
-            behind[i] += behind[j] * p[k]
+            into[j].append((i, p))
+            out[i].append((j, p))
+        ahead, behind = [0.0] * (n + 1), [0.0] * (n + 1)
+        for j in range(1, n + 1):
+            ahead[j] = _log_sum([ahead[i] + p for i, p in into[j]])
+        for i in range(n - 1, -1, -1):
+            behind[i] = _log_sum([behind[j] + p for j, p in out[i]])
         for i, j, p in pieces:
-            share = ahead[i] * p[k] * behind[j] / ahead[n]
+            share = math.exp(ahead[i] + p + behind[j] - ahead[n])
             if share > 1e-4:
                 counts.setdefault(word[i:j], np.zeros(len(self.languages)))[k] += times * share
 
     def score(self, word: str) -> np.ndarray:
         """Log likelihood of a lower-case word in each language: the forward sums over all segmentations."""
-        word = "▁" + word[:60]
+        word = "▁" + word
         ahead = np.zeros((len(word) + 1, len(self.languages)))
         ahead[0] = 1.0
+        taken, next_scale = 0.0, SCALED
         for i, j, p in self._pieces(word):
+            if i == next_scale:  # long words would underflow: the sums go on in proportion to the one here
+                scale = ahead[i].copy()
+                ahead[i : i + self.longest] /= scale
+                taken, next_scale = taken + np.log(scale), next_scale + SCALED
             ahead[j] += ahead[i] * p
-        return np.log(ahead[-1] + 1e-300)
+        return np.log(ahead[-1]) + taken
 
 
 def fit(samples: DataFrame, vocabulary_file: str = VOCABULARY, rows: int = SAMPLE_ROWS) -> PieceModel:
-    """The model of (lang, sample_text) rows: at most that many of them, by sample_id."""
+    """The model of (lang, sample_text) rows: at most that many of them, by sample_id; its confidences are calibrated on held-out sentences."""
     import sentencepiece
 
     pieces = sentencepiece.SentencePieceProcessor(model_file=vocabulary_file)
     vocabulary = [pieces.id_to_piece(i) for i in range(pieces.get_piece_size()) if not (pieces.is_control(i) or pieces.is_byte(i) or pieces.is_unknown(i))]
     taken = samples.select("sample_id", "lang", "sample_text").dropna().orderBy("sample_id").limit(rows).collect()
-    return PieceModel(vocabulary, [(r["lang"], r["sample_text"]) for r in taken])
+    labelled = [(r["lang"], r["sample_text"]) for r in taken]
+    model = PieceModel(vocabulary, labelled)
+    model.tempered = calibrate(vocabulary, labelled)
+    return model
+
+
+def calibrate(vocabulary: list[str], labelled: list[tuple[str, str]]) -> tuple[float, float]:
+    """The tempering under which pieces of held-out sentences have the highest likelihood of their language."""
+    held, rest = labelled[::HELD_OUT], [x for k, x in enumerate(labelled) if k % HELD_OUT]
+    known = {lang for lang, _ in rest}
+    held = [(lang, _WORD.findall(text.lower())) for lang, text in held if lang in known]
+    parts = [(lang, " ".join(words[at : at + n])) for lang, words in held for n in PIECE_WORDS for at in range(0, len(words) - n + 1, n)]
+    if not parts:
+        return 1.0, 0.0
+    judge = Judge(PieceModel(vocabulary, rest))
+    scores, _, words = judge.sums([text for _, text in parts])
+    right = np.array([judge.model.languages.index(lang) for lang, _ in parts])
+    grid = [(a / 10, b / 10) for a in range(1, 11) for b in range(0, 8)]
+    return max(grid, key=lambda t: np.log(posterior(scores, words, t)[np.arange(len(right)), right] + 1e-12).sum())
+
+
+def posterior(scores: np.ndarray, words: np.ndarray, tempered: tuple[float, float]) -> np.ndarray:
+    """Probability of each language of each row of log likelihoods."""
+    x = (scores - scores.max(axis=1, keepdims=True)) * (tempered[0] * np.maximum(words, 1.0) ** -tempered[1])[:, None]
+    x = np.exp(x)
+    return x / x.sum(axis=1, keepdims=True)
 
 
 class Judge:
@@ -171,10 +217,14 @@ class Judge:
         return scores, letters, n_words
 
     def confidence(self, scores: np.ndarray, words: np.ndarray) -> np.ndarray:
-        """Posterior of the best language of each row, with the evidence of at most EVIDENCE_WORDS words."""
-        scale = np.minimum(1, EVIDENCE_WORDS / np.maximum(words, 1))[:, None]
-        x = (scores - scores.max(axis=1, keepdims=True)) * scale
-        return 1 / np.exp(x).sum(axis=1)
+        """Calibrated posterior of the best language of each row."""
+        return posterior(scores, words, self.model.tempered).max(axis=1)
+
+
+def certain(scores: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """Whether the best language of each row leaves no doubt, even with few words."""
+    x = (scores - scores.max(axis=1, keepdims=True)) * np.minimum(1, CERTAIN_WORDS / np.maximum(words, 1))[:, None]
+    return 1 / np.exp(x).sum(axis=1) >= CERTAIN
 
 
 def page_paragraphs(text: str | None) -> list[str]:
@@ -212,7 +262,7 @@ def page_languages(pages: DataFrame, model: PieceModel) -> DataFrame:
                 continue
             blocks = [page_paragraphs(t) for t in batch["text"]]
             scores, letters, words = judge.sums([b for own in blocks for b in own])
-            sure = judge.confidence(scores, words)
+            sure, clear = judge.confidence(scores, words), certain(scores, words)
             codes = scores.argmax(axis=1)
             langs, confidences, paragraphs = [], [], []
             at = 0
@@ -233,7 +283,7 @@ def page_languages(pages: DataFrame, model: PieceModel) -> DataFrame:
                     confidences.append(float(np.average(sure[same], weights=letters[same]) * letters[same].sum() / letters[big].sum()))
                 langs.append(names[main])
                 first = at - len(own)
-                own_language = (letters[k] >= LEAST_LETTERS) | ((words[k] >= 2) & (sure[k] >= 0.999))
+                own_language = (letters[k] >= LEAST_LETTERS) | ((words[k] >= 2) & clear[k])
                 paragraphs.append([{"no": int(j - first + 1), "lang": names[codes[j] if alone else main], "confidence": float(sure[j])} for j, alone in zip(k, own_language)])
             yield pd.DataFrame({"page_id": batch["page_id"], "document_id": batch["document_id"], "label": batch["language"], "lang": langs, "confidence": confidences, "paragraphs": paragraphs})
 
@@ -243,7 +293,7 @@ def page_languages(pages: DataFrame, model: PieceModel) -> DataFrame:
 
 
 def chunk_languages(chunks: DataFrame, model: PieceModel) -> DataFrame:
-    """(chunk_id, label, lang, confidence) of every chunk, by the languages of its runs of sentences."""
+    """(chunk_id, label, lang, confidence, segments: array<struct<no, lang, confidence>>) of every chunk, by its runs of sentences in one language."""
 
     def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         judge = Judge(model)
@@ -253,23 +303,27 @@ def chunk_languages(chunks: DataFrame, model: PieceModel) -> DataFrame:
                 continue
             parts = [_SENTENCE.split(t) if t else [] for t in batch["content"]]
             scores, letters, words = judge.sums([p for own in parts for p in own])
-            langs, confidences = [], []
+            langs, confidences, segments = [], [], []
             at = 0
             for own in parts:
                 k = slice(at, at + len(own))
                 at += len(own)
                 if not letters[k].sum():
-                    langs.append(None), confidences.append(None)
+                    langs.append(None), confidences.append(None), segments.append([])
                     continue
                 path = _runs(scores[k])
+                begins = np.flatnonzero(np.diff(path, prepend=-1))
+                sure = judge.confidence(np.add.reduceat(scores[k], begins, axis=0), np.add.reduceat(words[k], begins))
+                segments.append([{"no": no, "lang": names[path[i]], "confidence": float(c)} for no, (i, c) in enumerate(zip(begins, sure), 1)])
                 main = _best_letters(path, letters[k], len(names))
                 mine = path == main
                 langs.append(names[main])
                 sure = judge.confidence(scores[k][mine].sum(axis=0)[None], words[k][mine].sum(keepdims=True))[0]
                 confidences.append(float(sure * letters[k][mine].sum() / letters[k].sum()))
-            yield pd.DataFrame({"chunk_id": batch["chunk_id"], "label": batch["language"], "lang": langs, "confidence": confidences})
+            yield pd.DataFrame({"chunk_id": batch["chunk_id"], "label": batch["language"], "lang": langs, "confidence": confidences, "segments": segments})
 
-    return spread(chunks.select("chunk_id", "language", "content")).mapInPandas(judge, "chunk_id string, label string, lang string, confidence double")
+    schema = "chunk_id string, label string, lang string, confidence double, segments array<struct<no: int, lang: string, confidence: double>>"
+    return spread(chunks.select("chunk_id", "language", "content")).mapInPandas(judge, schema)
 
 
 def _runs(scores: np.ndarray) -> np.ndarray:

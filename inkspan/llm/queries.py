@@ -48,12 +48,15 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p4_languages(spark: SparkSession, folder: str) -> DataFrame:
-    """The language of every page, paragraph and chunk with its confidence (4 decimals), and the languages of every document."""
+    """The language of every page, paragraph, chunk and segment of a mixed chunk with its confidence (4 decimals), and the languages of every document."""
     model = fit(table(spark, folder, "lang_samples"))
     pages = cut(page_languages(table(spark, folder, "pdf_pages"), model))
     of_pages = pages.selectExpr("'page' AS kind", "string(page_id) AS record_key", "0 AS segment_no", "lang", "round(confidence, 4) AS confidence")
     segments = pages.selectExpr("page_id", "explode(paragraphs) AS p").selectExpr("'segment'", "string(page_id)", "p.no", "p.lang", "round(p.confidence, 4)")
-    chunks = chunk_languages(table(spark, folder, "document_chunks"), model).selectExpr("'chunk'", "chunk_id", "0", "lang", "round(confidence, 4)")
+    judged = chunk_languages(table(spark, folder, "document_chunks"), model)
+    mixed = "if(size(segments) > 1, transform(segments, s -> named_struct('kind', 'chunk_segment', 'no', s.no, 'lang', s.lang, 'confidence', s.confidence)), array())"
+    rows = judged.selectExpr("chunk_id", f"explode(concat(array(named_struct('kind', 'chunk', 'no', 0, 'lang', lang, 'confidence', confidence)), {mixed})) AS r")
+    chunks = rows.selectExpr("r.kind", "chunk_id", "r.no", "r.lang", "round(r.confidence, 4)")
     documents = document_languages(pages).selectExpr("'document'", "document_id", "0", "explode(used)", "double(null)")
     return of_pages.union(segments).union(chunks).union(documents).filter("lang IS NOT NULL").distinct()
 

@@ -272,6 +272,31 @@ def test_held_out_accuracy(spark, folder):
     assert np.mean([trained.languages[k] == lang for k, (lang, _) in zip(scores.argmax(1), held)]) > 0.97
 
 
+def test_long_words_are_scored_whole(model):
+    word = "обороноспособность"
+    whole, part = model.score(word * 20), model.score(word * 4)
+    assert np.isfinite(whole).all() and whole.argmax() == model.languages.index("ru")
+    assert (whole < part * 4).all()
+    mixed = "ответственность" * 6 + "gesellschaftlich" * 40  # its beginning is not its language
+    assert model.languages[model.score(mixed).argmax()] == "de"
+    trained = N.PieceModel(["▁", "a", "漢字"], [("zh", "漢字" * 300), ("en", "a")])  # a sentence without blanks
+    assert np.isfinite(trained.score("漢字" * 300)).all()
+
+
+def test_confidences_are_calibrated(model):
+    a, b = model.tempered
+    assert 0 < a < 1 and 0 <= b < 1
+    sure = N.posterior(np.array([[-10.0, -12.0], [-100.0, -120.0]]), np.array([1, 10]), model.tempered).max(axis=1)
+    assert 0.5 < sure[0] < sure[1] < 1
+
+
+def test_segments_of_mixed_chunks(spark, model):
+    de, fr = "Die Gemeinde hat den Antrag auf eine neue Straße gestern Abend abgelehnt. ", "Le conseil municipal a refusé hier soir la demande pour une nouvelle route. "
+    chunks = spark.createDataFrame([("c1", None, de * 2 + fr * 2 + de), ("c2", None, fr), ("c3", None, None)], "chunk_id string, language string, content string")
+    got = {r["chunk_id"]: [(s["no"], s["lang"]) for s in r["segments"]] for r in N.chunk_languages(chunks, model).collect()}
+    assert got == {"c1": [(1, "de"), (2, "fr"), (3, "de")], "c2": [(1, "fr")], "c3": []}
+
+
 def test_label_notations(spark):
     labels = ["en", "EN ", "en_GB", "eng", "English", "fr-CA", "deu", "ger", "xx", "und", "", None, "no", "n/a", "ru-RU", "dut"]
     frame = spark.createDataFrame([(i, x) for i, x in enumerate(labels)], "i int, x string")
