@@ -8,26 +8,29 @@ lower case with `_` for blanks and hyphens; a text stored several times is one t
 targets that are null or not positive are dropped, repeated ones count once (the largest), missing max_repeats is 1; a target without texts
 keeps share 0 and the others share its part in proportion; with no texts or no targets the mixture is empty.
 
-Method: Pfair scheduling. A source's tokens, in a random but fixed order of its texts, are cut into blocks of BLOCK tokens. Block i of a source with
-weight w is released at slot floor(i / w) and due at slot ceil((i + 1) / w); earliest deadline first fills each slot with one block, so
-no source is ever a whole block off its weight. Weights are fractions of PERIOD, after which the schedule repeats: one period is
-computed once, and every block finds its slot from its number alone, in parallel. A text's place comes from running sums of tokens in two
-levels, by bucket and within it, so that no source is summed in one task.
+Method: Pfair scheduling. A source's tokens, in a random but fixed order of its texts, are cut into blocks of BLOCK tokens. Of a mixture of B blocks, n of them
+from a source, its block i is released at slot floor(i B / n) and due at slot ceil((i + 1) B / n); earliest deadline first fills each slot with
+one block, so no source is ever a whole block off its weight. Weights are these whole numbers of blocks: no share is rounded away, however small.
+There are at most MOST_BLOCKS blocks, longer mixtures having longer ones, so one task schedules them all. A text's place comes from
+running sums of tokens in two levels, by bucket and within it, so that no source is summed in one task; a text that goes on over the end of its block is cut there.
 """
 
 from __future__ import annotations
 
 import heapq
 from collections.abc import Iterator
+from itertools import islice
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from inkspan.skew import cut, spread
 
-#: Tokens of a block, slots of a period, and buckets of a source.
-BLOCK, PERIOD, BUCKETS = 4096, 10_000, 1024
+#: Least tokens of a block, and most blocks of a mixture: one of more than 4 thousand million tokens has longer blocks.
+BLOCK, MOST_BLOCKS = 4096, 1 << 20
+#: Texts in a bucket aimed at.
+BUCKET_TEXTS = 20_000
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 
 
@@ -61,27 +64,30 @@ def counted_texts(documents: DataFrame, tokenizer_file: str = TOKENIZER) -> Data
     return sizes.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.min_by("source", "doc_id").alias("source"), F.max("tokens").alias("tokens"))
 
 
-def pfair_period(weights: dict[str, float], period: int = PERIOD) -> list[tuple[str, int, int]]:
-    """(source, number of the block within the period, slot) of one period, earliest deadline first."""
-    total = sum(weights.values())
-    parts = {s: w / total * period for s, w in weights.items()}
-    blocks = {s: int(p) for s, p in parts.items()}
-    for s in sorted(parts, key=lambda s: (blocks[s] - parts[s], s))[: period - sum(blocks.values())]:
-        blocks[s] += 1
-    waiting = [(0, -(-period // n), s, 0) for s, n in sorted(blocks.items()) if n]
-    heapq.heapify(waiting)
+def pfair(blocks: dict[str, int]) -> Iterator[tuple[str, int, int]]:
+    """(source, number of the block, slot) of every slot, each source having that many blocks: earliest deadline first among those released."""
+    total = sum(blocks.values())
+    waiting = [(0, s, 0) for s, n in sorted(blocks.items()) if n]
     ready: list[tuple[int, str, int]] = []
-    schedule = []
-    for slot in range(period):
+    for slot in range(total):
         while waiting and waiting[0][0] <= slot:
-            _, due, s, i = heapq.heappop(waiting)
-            heapq.heappush(ready, (due, s, i))
-        due, s, i = heapq.heappop(ready)
-        schedule.append((s, i, slot))
-        n = blocks[s]
-        if i + 1 < n:
-            heapq.heappush(waiting, ((i + 1) * period // n, -(-(i + 2) * period // n), s, i + 1))
-    return schedule
+            _, s, i = heapq.heappop(waiting)
+            heapq.heappush(ready, (-(-(i + 1) * total // blocks[s]), s, i))
+        _, s, i = heapq.heappop(ready)
+        yield s, i, slot
+        if i + 1 < blocks[s]:
+            heapq.heappush(waiting, ((i + 1) * total // blocks[s], s, i + 1))
+
+
+def slots_of(spark: SparkSession, blocks: dict[str, int]) -> DataFrame:
+    """(source, number, slot) of every block."""
+
+    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        slots = pfair(blocks)
+        while part := list(islice(slots, 100_000)):
+            yield pd.DataFrame(part, columns=["source", "number", "slot"])
+
+    return spark.range(1).coalesce(1).mapInPandas(place, "source string, number long, slot long")
 
 
 def plan(texts: DataFrame, targets: DataFrame) -> list[dict]:
@@ -102,32 +108,34 @@ def plan(texts: DataFrame, targets: DataFrame) -> list[dict]:
 
 
 def mixture(documents: DataFrame, targets: DataFrame, tokenizer_file: str = TOKENIZER, block: int = BLOCK) -> DataFrame:
-    """(slot, source, start, doc_id, copy, tokens): the mixture's texts; sorted by slot and start it is the order to read them in."""
+    """(slot, source, start, doc_id, copy, skipped, tokens): the mixture's texts, each within one block; sorted by slot and start it is the order to read them
+    in. A text that goes on over the end of its block is several rows, with the tokens skipped before each."""
     spark = documents.sparkSession
     texts = cut(counted_texts(documents, tokenizer_file))
     entries = [e for e in plan(texts, targets) if e["quota"]]
     if not entries:
-        return spark.createDataFrame([], "slot long, source string, start long, doc_id long, copy int, tokens long")
+        kind = documents.schema["doc_id"].dataType.simpleString()
+        return spark.createDataFrame([], f"slot long, source string, start long, doc_id {kind}, copy int, skipped long, tokens long")
     sources = spark.createDataFrame([(e["source"], e["tokens"], e["quota"]) for e in entries], "source string, available long, quota long")
-    period = pfair_period({e["source"]: e["weight"] for e in entries})
-    per_period = F.create_map(*[F.lit(x) for e in entries for x in (e["source"], sum(s == e["source"] for s, _, _ in period))])
-    slots = spark.createDataFrame(period, "source string, nth int, place int")
+    block = max(block, -(-sum(e["quota"] for e in entries) // MOST_BLOCKS))
+    slots = slots_of(spark, {e["source"]: -(-e["quota"] // block) for e in entries})
+    bits = max(1, (sum(e["texts"] for e in entries) // BUCKET_TEXTS).bit_length())
 
-    placed = texts.withColumn("order", F.xxhash64("key")).withColumn("bucket", F.shiftrightunsigned("order", 54).cast("int"))
+    placed = texts.join(F.broadcast(sources.select("source")), "source").withColumn("order", F.xxhash64("key")).withColumn("bucket", F.shiftrightunsigned("order", 64 - bits))
     sums = placed.groupBy("source", "bucket").agg(F.sum("tokens").alias("in_bucket"))
+    # one row per bucket
     before = F.coalesce(F.sum("in_bucket").over(Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     sums = sums.join(F.broadcast(sources), "source").select("source", "bucket", before.alias("before"), "available", "quota")
     within = Window.partitionBy("source", "bucket").orderBy("order", "key").rowsBetween(Window.unboundedPreceding, -1)
-    # at most BUCKETS rows per target source
-    at = placed.join(F.broadcast(sums), ["source", "bucket"]).withColumn("at", F.col("before") + F.coalesce(F.sum("tokens").over(within), F.lit(0)))
+    at = placed.join(sums, ["source", "bucket"]).withColumn("at", F.col("before") + F.coalesce(F.sum("tokens").over(within), F.lit(0)))
     passes = F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.col("quota") - 1 - F.col("at")) / F.col("available"))).cast("int"))
-    copies = at.filter(F.col("at") < F.col("quota")).withColumn("pass", F.explode(passes))
-    copies = copies.withColumn("start", F.col("at") + F.col("pass") * F.col("available")).filter(F.col("start") < F.col("quota"))
-    number = F.floor(F.col("start") / block)
-    own = per_period[F.col("source")]
-    numbered = copies.withColumn("cycle", F.floor(number / own)).withColumn("nth", F.pmod(number, own).cast("int"))
-    slot = F.col("cycle") * len(period) + F.col("place")
-    return numbered.join(F.broadcast(slots), ["source", "nth"]).select(slot.alias("slot"), "source", "start", "doc_id", (F.col("pass") + 1).alias("copy"), "tokens")
+    copies = at.filter((F.col("at") < F.col("quota")) & (F.col("tokens") > 0)).withColumn("pass", F.explode(passes))
+    copies = copies.withColumn("begin", F.col("at") + F.col("pass") * F.col("available")).filter(F.col("begin") < F.col("quota"))
+    end = F.least(F.col("begin") + F.col("tokens"), F.col("quota"))
+    copies = copies.withColumn("end", end).withColumn("number", F.explode(F.sequence(F.expr(f"begin div {block}"), F.expr(f"(end - 1) div {block}"))))
+    start = F.greatest(F.col("begin"), F.col("number") * block)
+    pieces = copies.withColumn("start", start).withColumn("size", F.least(F.col("end"), (F.col("number") + 1) * block) - F.col("start"))
+    return pieces.join(slots, ["source", "number"]).select("slot", "source", "start", "doc_id", (F.col("pass") + 1).alias("copy"), (F.col("start") - F.col("begin")).alias("skipped"), F.col("size").alias("tokens"))
 
 
 def shares(mixed: DataFrame, targets: DataFrame) -> DataFrame:
