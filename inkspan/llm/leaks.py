@@ -17,8 +17,9 @@ items' words is shipped to the tasks; it is bounded, as items are taken in slice
 
 from __future__ import annotations
 
+import hashlib
 import re
-from collections import Counter, defaultdict
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkspan.skew import spread
+from inkspan.skew import cut, spread
 
 #: Words of an item that must be found in order, and how many altered or added words are allowed for each of them.
 MIN_WORDS, EDITS = 15, 0.25
@@ -53,11 +54,34 @@ def words_of(text: str | None) -> list[str]:
     return _OUTSIDE.sub("", text.lower()).split()
 
 
-def unmasked_items(items: list[tuple[int, str]]) -> dict[int, list[str | None]]:
-    """Words by item; those of sentences that several items share are None."""
-    sentences = {i: [words_of(s) for s in _SENTENCE.split(text or "")] for i, text in items}
-    shared = Counter(tuple(s) for own in sentences.values() for s in {tuple(x) for x in own})
-    return {i: [None if shared[tuple(s)] > 1 else w for s in own for w in s] for i, own in sentences.items()}
+def distinct_items(items: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """((key, text, masked), (key, item_id)): every different test text once, with one flag per sentence - true if another text holds it
+    too - and the items of each text. Sharing is counted over all texts at once; items that repeat one text don't mask it."""
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for item, text in zip(batch["item_id"], batch["text"]):
+                digests = [_digest(words_of(s)) for s in _SENTENCE.split(text)]
+                rows.append((_digest(words_of(text)), item, text, digests))
+            yield pd.DataFrame(rows, columns=["key", "item_id", "text", "sentences"])
+
+    kind = items.schema["item_id"].dataType.simpleString()
+    rows = cut(items.dropna().distinct().mapInPandas(read, f"key string, item_id {kind}, text string, sentences array<string>"))
+    texts = rows.groupBy("key").agg(F.min(F.struct("item_id", "text", "sentences")).alias("r")).select("key", "r.text", "r.sentences")
+    places = texts.select("key", F.posexplode("sentences").alias("at", "sentence"))
+    shared = places.select("key", "sentence").distinct().groupBy("sentence").agg((F.count(F.lit(1)) > 1).alias("shared"))
+    flags = places.join(shared, "sentence").groupBy("key").agg(F.array_sort(F.collect_list(F.struct("at", "shared"))).alias("flags"))
+    return texts.join(flags, "key").select("key", "text", F.transform("flags", lambda f: f["shared"]).alias("masked")), rows.select("key", "item_id")
+
+
+def _digest(words: list[str]) -> str:
+    return hashlib.blake2b(" ".join(words).encode(), digest_size=16).hexdigest()
+
+
+def unmasked_words(text: str, masked: list[bool]) -> list[str | None]:
+    """The words of a test text; those of masked sentences are None."""
+    return [None if hidden else w for s, hidden in zip(_SENTENCE.split(text), masked) for w in words_of(s)]
 
 
 #: Score units of a match, so that one integer holds the score and, below it, the matches.
@@ -105,7 +129,7 @@ def align_unbroken(document: list[str], item: list[str | None]) -> tuple[int, in
 class ItemIndex:
     """The items' words as one array of numbers, with the places of every run of SEED words."""
 
-    def __init__(self, items: dict[int, list[str | None]]):
+    def __init__(self, items: dict[str, list[str | None]]):
         self.items, self.names = items, list(items)
         self.numbers = {w: k for k, w in enumerate(dict.fromkeys(w for own in items.values() for w in own if w is not None), 1)}
         pad = [0] * (TEXT_SIDE + SEED)
@@ -132,7 +156,7 @@ class ItemIndex:
         place = np.flatnonzero(whole)
         return place, key[place]
 
-    def leaks(self, texts: list[list[str]]) -> list[tuple[int, int, int, int]]:
+    def leaks(self, texts: list[list[str]]) -> list[tuple[int, str, int, int]]:
         """(number of the text, item, matched words, edits) of every leak in the texts, given as words."""
         pad = [-1] * (TEXT_SIDE + SEED)
         flat, owner, start = list(pad), [-1] * len(pad), []
@@ -201,7 +225,7 @@ class ItemIndex:
                 leak[high] = ((matched >= MIN_WORDS) & (edits <= EDITS * matched)).any(1)
         return leak
 
-    def _judge(self, words: list[str], item: int, seeds: list[tuple[int, int]]) -> tuple[int, int] | None:
+    def _judge(self, words: list[str], item: str, seeds: list[tuple[int, int]]) -> tuple[int, int] | None:
         """(matched words, edits) of the leak around the seeds, each piece of the text being aligned once."""
         own = self.items[item]
         size = len(own)
@@ -222,33 +246,30 @@ def find_leaks(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", t
     """(doc_id, item_id, matched, edits) of every document and test item that it leaks."""
     spark = documents.sparkSession
     rows = spread(documents.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).filter(F.length(F.trim("text")) > 0))
-    schema = f"doc_id {documents.schema[doc_id].dataType.simpleString()}, item_id {items.schema[item_id].dataType.simpleString()}, matched int, edits int"
-    slices = _slices(items.select(F.col(item_id).alias("id"), F.col(item_text).alias("text")).dropna().distinct())
-    parts = []
-    for part in slices:
-        words = unmasked_items(part)
-        parts.append(rows.mapInPandas(_finder(words), schema))
-    found = parts[0] if parts else spark.createDataFrame([], schema)
-    for part in parts[1:]:
-        found = found.unionByName(part)
-    return found
-
-
-def _slices(items: DataFrame) -> list[list[tuple[int, str]]]:
-    """The test items, in slices of at most SLICE_WORDS words (the whole of them passes the driver, slice by slice)."""
-    slices: list[list[tuple[int, str]]] = []
-    size = SLICE_WORDS
-    for row in items.orderBy("id").toLocalIterator():
-        n = len(row["text"].split())
-        if size + n > SLICE_WORDS:
-            slices.append([])
-            size = 0
-        slices[-1].append((row["id"], row["text"]))
-        size += n
-    return slices
-
-
-def _finder(items: dict[int, list[str | None]]):
+    texts, members = distinct_items(items.select(F.col(item_id).alias("item_id"), F.col(item_text).alias("text")))
+    schema = f"doc_id {documents.schema[doc_id].dataType.simpleString()}, key string, matched int, edits int"
+    found = spark.createDataFrame([], schema)
+    for part in _slices(texts):
+        found = found.unionByName(rows.mapInPandas(_finder(part), schema))
+    return found.join(members, "key").select("doc_id", "item_id", "matched", "edits")
+
+
+def _slices(texts: DataFrame) -> Iterator[dict[str, list[str | None]]]:
+    """The words of the test texts, in slices of at most SLICE_WORDS words: one slice at a time is on the driver."""
+    part: dict[str, list[str | None]] = {}
+    size = 0
+    for row in texts.orderBy("key").toLocalIterator():
+        words = unmasked_words(row["text"], row["masked"])
+        if part and size + len(words) > SLICE_WORDS:
+            yield part
+            part, size = {}, 0
+        part[row["key"]] = words
+        size += len(words)
+    if part:
+        yield part
+
+
+def _finder(items: dict[str, list[str | None]]):
     def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         index = ItemIndex(items)
         for batch in batches:
@@ -265,6 +286,6 @@ def _finder(items: dict[int, list[str | None]]):
                     ids, texts, size = [], [], 0
             if texts:
                 out += [(ids[k], *leak) for k, *leak in index.leaks(texts)]
-            yield pd.DataFrame(out, columns=["doc_id", "item_id", "matched", "edits"])
+            yield pd.DataFrame(out, columns=["doc_id", "key", "matched", "edits"])
 
     return find

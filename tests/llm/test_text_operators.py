@@ -153,6 +153,17 @@ def test_leaks_in_slices_and_of_nothing(leaks, monkeypatch):
     assert E.find_leaks(docs, items.limit(0)).count() == 0 and E.find_leaks(docs.limit(0), items).count() == 0
 
 
+def test_masks_hold_across_slices_and_repeated_items_do_not_mask_each_other(leaks, spark, monkeypatch):
+    docs, _ = leaks
+    items = spark.createDataFrame([(1, ITEM + " " + STOCK), (9, ITEM.upper() + "  " + STOCK), (2, "Another test item that nobody leaks. " + STOCK)], "item_id long, text string")
+    stock = spark.createDataFrame([(77, f"before {STOCK} after")], "doc_id long, text string")
+    docs = docs.select("doc_id", "text").unionByName(stock)
+    for words in (E.SLICE_WORDS, 5):
+        monkeypatch.setattr(E, "SLICE_WORDS", words)
+        got = {(r["doc_id"], r["item_id"]) for r in E.find_leaks(docs, items).collect()}
+        assert got == {(d, i) for d in (1, 2, 3, 5, 11) for i in (1, 9)}
+
+
 def test_a_much_copied_leak_is_found(spark, leaks):
     docs, items = leaks
     copies = docs.filter("doc_id = 1").limit(1).selectExpr("explode(sequence(1000, 1400)) AS doc_id", "text", "item_id")
