@@ -12,7 +12,7 @@ from inkspan.llm.leaks import find_leaks
 from inkspan.llm.list_pages import list_pages
 from inkspan.llm.mixing import mixture, shares
 from inkspan.llm.neighbours import nearest_vectors, neighbour_pairs, usable_vectors
-from inkspan.llm.scan_repair import lexicon_of, page_defects, page_paragraphs
+from inkspan.llm.scan_repair import lexicon_of, page_defects, page_paragraphs, running_lines
 from inkspan.skew import cut
 from inkspan.sources.tables import table
 
@@ -20,13 +20,13 @@ from inkspan.sources.tables import table
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     """Lines of pages that are running heads or page numbers, end inside a word, or have a misread word."""
     pages = table(spark, folder, "pdf_pages")
-    return page_defects(pages, lexicon_of(pages)).distinct()
+    return page_defects(pages, lexicon_of(pages), running_lines(pages)).distinct()
 
 
 def p1_paragraphs(spark: SparkSession, folder: str) -> DataFrame:
     """The pages' text as repaired continuous paragraphs."""
     pages = table(spark, folder, "pdf_pages")
-    return page_paragraphs(pages, lexicon_of(pages))
+    return page_paragraphs(pages, lexicon_of(pages), running_lines(pages))
 
 
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:

@@ -7,10 +7,11 @@ Defined results of odd input: null, empty and figure-only texts have no words an
 paragraphs; very long pages are read whole; pages read twice are judged each by itself; other columns are not read.
 
 Method: word counts over all pages make a lexicon; its LEXICON most frequent words are shipped to the tasks (a bounded model, counted
-over all data). In each page, heads and page numbers are taken off, and the other lines form one stream of characters that is
-segmented into words by a Viterbi pass: an edge reads a piece as it stands, with confusions undone, merged over a blank
-or over a line end with its hyphen, or split in two, at the cost of the word's probability and of each repair. The best path names the repairs.
-Paragraph boundaries are chosen by dynamic programming over the lines.
+over all data). Lines that stand at the edges of several pages of one document are running heads; others are known by their shape. Without these the page is one
+stream of characters. Its words are decoded jointly by a Viterbi pass over the places of that stream: an edge is one word, read as it stands or with
+confusions undone, over any number of characters - one piece between blanks, up to MERGED pieces merged over blanks, line ends or hyphens, or a part of a piece
+that holds several words. A word costs its probability and every repair that its reading takes; a word part may also be left
+hanging before its hyphen. The defects are read off the best path. Paragraph boundaries are chosen by dynamic programming over the lines.
 """
 
 from __future__ import annotations
@@ -19,35 +20,34 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
-from functools import lru_cache
-from itertools import combinations
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from inkspan.llm.page_lines import edge_lines
-from inkspan.skew import spread
+from inkspan.llm.word_readings import Readings, skeleton
+from inkspan.skew import cut, split_join, spread
 
 #: Most frequent words that are shipped to the tasks.
 LEXICON = 200_000
-#: What scanning makes of letters (left as scanned, right as printed), single glyphs first.
-GLYPHS = [("†", "t"), ("ɑ", "a"), ("|", "i"), ("|", "l"), ("$", "s"), ("ﬁ", "fi"), ("ﬂ", "fl"), ("ﬀ", "ff"), ("ﬃ", "ffi"), ("ﬄ", "ffl"),
-          ("0", "o"), ("0", "о"), ("1", "l"), ("1", "i"), ("3", "з"), ("3", "e"), ("4", "a"), ("4", "а"), ("5", "s"), ("6", "b"), ("6", "é"), ("6", "б"), ("8", "b"), ("8", "в"), ("9", "g")]
-CONFUSIONS = [("c", "e"), ("b", "h"), ("cl", "d"), ("d", "cl"), ("ii", "u"), ("ii", "ü"), ("rn", "m"), ("m", "rn"), ("vv", "w"), ("h", "li"), ("im", "nn"), ("l", "i"), ("i", "l"),
-              ("c", "е"), ("н", "и"), ("и", "н"), ("m", "т"), ("т", "m"), ("п", "л"), ("ьl", "ы"), ("ьі", "ы"), ("c", "с"), ("a", "а"), ("o", "о"), ("p", "р"), ("x", "х")]
-#: Log probability of one repair of each kind.
-REPAIR = {"glyph": -1.0, "confusion": -2.5, "blank": -7.0, "hyphen": -1.0, "split": -9.0}
+#: Log probability of a blank inside a word, of a word that goes on over a line end with and without a hyphen, of a lost blank, of a compound
+#: broken at its own hyphen, and of a part left hanging, before other words and before those of HANGING_BEFORE.
+REPAIR = {" ": -9.0, "-": -1.0, "\n": -10.0, "split": -6.0, "compound": -3.0, "hang": -6.0, "hang before and": 6.0}
+#: Log probability, in relation to any word, of a part at the end of a page whose word goes on on the next.
+LONE_PART = -4.0
+#: Most pieces that one word may have been torn into, and fewest letters of an unknown piece that may hold several words.
+MERGED, SPLIT_LETTERS = 4, 5
+#: Lines at the edge of a page that may be running heads; pages of a document that have to share one, and what share of its pages.
+EDGE, SHARED_PAGES, SHARED = 3, 3, 0.25
 #: Words after a hyphen that leave a word part hanging on purpose ("pre- and post-war").
 HANGING_BEFORE = frozenset("and or und oder bis et ou y e o i en of и или".split())
 
 _TOKEN = re.compile(r"(?:[^\W_]|[†|$])+")
 _LETTER = re.compile(r"[^\W\d_]")
-_ODD = re.compile(r"[†ɑ|$ﬁ-ﬄ0-9]")
 _HYPHEN_END = re.compile(r"(?<=[^\W_])([-‐¬­])[ \t\r]*$")
 _BROKEN = re.compile(r"[^\W_]+[-‐¬\xad][ \t\r]*\n\s*(?:[^\W_]|[†|$])+")
 _HANGING = re.compile(r"(?<![^\W_])[^\W\d_]+- (?=\S)")
-_NUMBERLIKE = re.compile(r"[0-9IlOo|]+")
 
 
 def count_words(lines: list[str], counts: Counter) -> None:
@@ -75,177 +75,153 @@ def lexicon_of(pages: DataFrame, size: int = LEXICON) -> dict[str, int]:
             yield pd.DataFrame({"word": list(counts), "n": list(counts.values())})
 
     words = spread(pages.select("text").filter(F.col("text").isNotNull())).mapInPandas(count, "word string, n long")
-    words = words.groupBy("word").agg(F.sum("n").alias("n")).filter((F.col("n") > 1) & (F.length("word") <= 40))
+    words = words.groupBy("word").agg(F.sum("n").alias("n")).filter(F.col("n") > 1)
     return {r["word"]: r["n"] for r in words.orderBy(F.desc("n"), "word").limit(size).collect()}
 
 
-class Reader:
-    """Decodes lines with a lexicon."""
-
-    def __init__(self, lexicon: dict[str, int]):
-        self.lexicon = lexicon
-        self.total = math.log(sum(lexicon.values()) + 1)
-        #: A piece met at most so often may be half a word.
-        self.rare = max(2, sum(lexicon.values()) // 50_000)
-        self.fine: set[str] = set()
-        self.correct = lru_cache(maxsize=200_000)(self._correct)
-        self.judge = lru_cache(maxsize=200_000)(self._judge)
-
-    def score(self, word: str) -> float:
-        """Log probability of a word; one that isn't in the lexicon counts as met once, less if long."""
-        n = self.lexicon.get(word)
-        return (math.log(n) if n else -0.3 * len(word)) - self.total
-
-    def _correct(self, word: str) -> tuple[float, str, int]:
-        """(log probability, reading, place of the first repair or -1) of a lower-case word."""
-        odd = _ODD.search(word) is not None
-        best = (self.score(word) - (6.0 if odd and _LETTER.search(word) else 0.0), word, -1)
-        if len(word) > 40:
-            return best
-        sites = [(i, a, b, REPAIR["glyph"]) for a, b in GLYPHS if a in word for i in _places(word, a)]
-        sites += [(i, a, b, REPAIR["confusion"]) for a, b in CONFUSIONS if a in word for i in _places(word, a)]
-        sites.sort()
-        odd_places = {m.start() for m in _ODD.finditer(word)}
-        # as few edits as give a known word; every odd glyph has to be among them
-        for k in range(max(1, len(odd_places)), 4):
-            if k == 3 and len(odd_places) < 2:
-                break
-            for edits in combinations(sites, k):
-                at, reading, cost, rest = 0, "", 0.0, len(odd_places)
-                for i, scanned, printed, price in edits:
-                    if i < at:
-                        break
-                    reading += word[at:i] + printed
-                    at = i + len(scanned)
-                    cost += price
-                    rest -= i in odd_places
+class Stream:
+    """The words of a page's body lines as one stream: pieces, what stands between them, and the best decoding."""
+
+    def __init__(self, lines: list[str], body: list[int], reader: Readings):
+        self.reader = reader
+        #: (piece, line, start, end)
+        self.pieces = [(m.group(), i, m.start(), m.end()) for i in body for m in _TOKEN.finditer(lines[i])]
+        self.low = [p[0].lower() for p in self.pieces]
+        self.letters = [_LETTER.search(w) is not None for w in self.low]
+        #: What lies behind each piece: ' ' or '\n' that a word may be torn by, '-' for a hyphen at a line end, '' for anything else.
+        self.gaps = [self._gap(lines, k) for k in range(len(self.pieces))]
+
+    def _gap(self, lines: list[str], k: int) -> str:
+        _, line, _, end = self.pieces[k]
+        if not self.letters[k]:
+            return ""
+        last = k + 1 == len(self.pieces)
+        if not last and self.pieces[k + 1][1] == line:
+            return " " if self.letters[k + 1] and lines[line][end : self.pieces[k + 1][2]] == " " else ""
+        if _HYPHEN_END.search(lines[line]):
+            return "-"
+        plain = not last and self.letters[k + 1] and not lines[line][end:].strip() and self.pieces[k + 1][1] == line + 1 and not lines[line + 1][: self.pieces[k + 1][2]].strip()
+        return "\n" if plain else ""
+
+    def decode(self) -> tuple[set[tuple[int, str]], dict[int, str], set[int]]:
+        """((line, defect), piece -> what it reads as, '' where it went into one before, pieces broken by a hyphen at their line's end)."""
+        pieces, low, gaps, reader = self.pieces, self.low, self.gaps, self.reader
+        n = len(pieces)
+        at = [0]
+        for w in low:
+            at.append(at[-1] + len(w))
+        bones = [skeleton(w) for w in low]
+        #: place in the stream -> (value, place before, reading, misread lines, lines that end inside the word)
+        best: dict[int, tuple[float, int, str, tuple[int, ...], tuple[int, ...]]] = {0: (0.0, 0, "", (), ())}
+        parts: dict[int, list[tuple[int, float, str, tuple[int, ...], tuple[int, ...]]]] = {}
+        judged = [reader.judge(p[0]) for p in pieces]
+        for k in range(n):
+            if self.letters[k] and judged[k][2] < 0 and len(low[k]) >= SPLIT_LETTERS and low[k] not in reader.lexicon:
+                self._open(k, at, parts)
+
+        def offer(value: float, place: int, to: int, gain: float, reading: str, misread: tuple[int, ...], broken: tuple[int, ...]) -> None:
+            if to not in best or value + gain > best[to][0]:
+                best[to] = (value + gain, place, reading, misread, broken)
+
+        for k in range(n):
+            if at[k] in best:
+                value = best[at[k]][0]
+                word, line = pieces[k][:2]
+                gain, reading, wrong = judged[k]
+                misread = () if wrong < 0 else (line,)
+                if gaps[k] != "-":
+                    offer(value, at[k], at[k + 1], gain, word if wrong < 0 else reading, misread, ())
+                elif k + 1 < n:
+                    hanging = reader.score(low[k] + "- ") + REPAIR["hang before and" if low[k + 1] in HANGING_BEFORE else "hang"]
+                    offer(value, at[k], at[k + 1], hanging, word, misread, ())
                 else:
-                    reading += word[at:]
-                    if not rest and reading in self.lexicon:
-                        value = self.score(reading) + cost
-                        if value > best[0]:
-                            best = (value, reading, edits[0][0])
-            if best[2] >= 0:
-                break
-        return best
-
-    def _judge(self, word: str) -> tuple[float, str, int]:
-        """correct() for a word as written; odd glyphs among letters are misreadings even where no reading is known."""
-        low = word.lower()
-        if not _LETTER.search(low):
-            return self.score(low), word, -1
-        value, reading, place = self.correct(low)
-        if place < 0 and _ODD.search(low) and not _NUMBERLIKE.fullmatch(word):
-            inner = re.search(r"[†ɑﬁ-ﬄ]|(?<=[^\W\d_])[|$](?=[^\W\d_])", low)
-            if inner and len(_LETTER.findall(low)) >= 2:
-                return value, reading, inner.start()
-            digit = re.search(r"(?<=[^\W\d_]{2})[01459](?=[^\W\d_]{2})", low)
-            if digit and sum(c.isdigit() for c in low) == 1 and len(low) >= 5:
-                return value, reading, digit.start()
-        return value, reading, place
-
-
-    def all_fine(self, words: set[str]) -> bool:
-        """Whether every word is read as it stands and is too frequent to be half a word."""
-        if len(self.fine) > 500_000:
-            self.fine.clear()
-        for word in words - self.fine:
-            if _LETTER.search(word) and (self.lexicon.get(word.lower(), 0) <= self.rare or self.judge(word)[2] >= 0):
-                return False
-            self.fine.add(word)
-        return True
-
-
-def _places(word: str, part: str) -> list[int]:
-    return [i for i in range(len(word) - len(part) + 1) if word.startswith(part, i)]
-
-
-def read_page(text: str | None, reader: Reader, repair: bool = True) -> tuple[list[tuple[int, str]], list[str]]:
-    """([(line number from 1, defect)], [paragraph]) of a page."""
+                    if low[k] + "- " in reader.lexicon:
+                        offer(value, at[k], at[k + 1], reader.score(low[k] + "- "), word, (), ())
+                    offer(value, at[k], at[k + 1], LONE_PART - reader.total, word, (), (line,))
+                joined, bone, cost = word, bones[k], 0.0
+                misread, broken = (), ()
+                for j in range(k + 1, min(n, k + MERGED)):
+                    gap = gaps[j - 1]
+                    if not gap:
+                        break
+                    joined, bone, cost = joined + pieces[j][0], bone + bones[j], cost + REPAIR[gap]
+                    if gap == " ":
+                        misread += (pieces[j - 1][1],)
+                    else:
+                        broken += (pieces[j - 1][1],)
+                    known = bone in reader.by_skeleton
+                    if known or (gap == "-" and j == k + 1):
+                        gain, reading, wrong = reader.judge(joined)
+                        if known and reading in reader.lexicon or gap == "-":
+                            offer(value, at[k], at[j + 1], gain + cost, joined if wrong < 0 else reading, misread + self._lines(k, j, wrong), broken)
+                    if gap == "-" and j == k + 1 and low[k] in reader.lexicon and low[j] in reader.lexicon and joined.lower() not in reader.lexicon:
+                        offer(value, at[k], at[j + 1], reader.score(low[k]) + reader.score(low[j]) + cost + REPAIR["compound"], f"{word}-{pieces[j][0]}", (), broken)
+            if parts:
+                for place in range(at[k], at[k + 1]):
+                    for to, gain, reading, misread, broken in parts.get(place, ()):
+                        if place in best:
+                            offer(best[place][0], place, to, gain, reading, misread, broken)
+        return self._trace(best, at)
+
+    def _lines(self, k: int, j: int, wrong: int) -> tuple[int, ...]:
+        """The line of the first repaired character of the pieces k to j."""
+        if wrong < 0:
+            return ()
+        for piece in range(k, j + 1):
+            wrong -= len(self.low[piece])
+            if wrong < 0:
+                return (self.pieces[piece][1],)
+        return (self.pieces[j][1],)
+
+    def _open(self, k: int, at: list[int], parts: dict) -> None:
+        """Edges for the words that lie inside an unknown piece, or reach from it into the pieces beside it."""
+        low, gaps, reader = self.low, self.gaps, self.reader
+        first = k - 1 if k and gaps[k - 1] == " " else k
+        last = k + 1 if gaps[k] == " " else k
+        text = "".join(low[first : last + 1])
+        begin, inner = at[first], range(at[k] + 1, at[k + 1])
+        ends = [*inner, *(at[j + 1] for j in range(k, last + 1))]
+        for x in [*(at[j] for j in range(first, k + 1)), *inner]:
+            for y in ends:
+                if 2 <= y - x <= reader.longest and (x in inner or y in inner) and text[x - begin : y - begin] in reader.lexicon:
+                    torn = [j for j in range(first, last) if x < at[j + 1] < y]
+                    gain = reader.score(text[x - begin : y - begin]) + REPAIR[" "] * len(torn) + REPAIR["split"] * (y in inner)
+                    parts.setdefault(x, []).append((y, gain, text[x - begin : y - begin], tuple(self.pieces[j][1] for j in torn), ()))
+
+    def _trace(self, best: dict, at: list[int]) -> tuple[set[tuple[int, str]], dict[int, str], set[int]]:
+        defects: set[tuple[int, str]] = set()
+        repaired = dict.fromkeys(range(len(self.pieces)), "")
+        joins: set[int] = set()
+        piece_at = {place: k for k, place in enumerate(at)}
+        last_of = {p[1]: k for k, p in enumerate(self.pieces)}
+        place, inside = at[-1], []
+        while place > 0:
+            _, before, reading, misread, broken = best[place]
+            defects.update((line, "misread") for line in misread)
+            defects.update((line, "hyphen") for line in broken)
+            joins.update(last_of[line] for line in broken)
+            inside.append(reading)
+            if before in piece_at:
+                repaired[piece_at[before]] = " ".join(reversed(inside))
+                inside = []
+            place = before
+        return defects, repaired, joins
+
+
+def read_page(text: str | None, reader: Readings, repair: bool = True, running: frozenset[int] = frozenset()) -> tuple[list[tuple[int, str]], list[str]]:
+    """([(line number from 1, defect)], [paragraph]) of a page; running: indexes of lines that other pages of the document share."""
     if not text:
         return [], []
     lines = text.split("\n")
-    heads = edge_lines(lines)
-    defects = {(i, kind) for i, kind in heads.items()}
+    heads = dict.fromkeys(sorted(running), "header") | edge_lines(lines)
     body = [i for i, line in enumerate(lines) if i not in heads and line.strip()]
-    if not repair and not any(_HYPHEN_END.search(lines[i]) for i in body) and reader.all_fine({w for i in body for w in _TOKEN.findall(lines[i])}):
-        return [(i + 1, kind) for i, kind in sorted(defects)], []
-    pieces: list[tuple[str, int, int, int]] = []  # word, line, start, end
-    for i in body:
-        pieces += [(m.group(), i, m.start(), m.end()) for m in _TOKEN.finditer(lines[i])]
-    joins: dict[int, str] = {}  # index of a piece that ends its line inside a word -> 'line' or 'page'
-    last_of: dict[int, int] = {p[1]: k for k, p in enumerate(pieces)}
-    for i in body:
-        if i not in last_of or not _HYPHEN_END.search(lines[i]):
-            continue
-        k = last_of[i]
-        part = pieces[k][0].lower()
-        if not _LETTER.search(part):
-            continue
-        if k + 1 < len(pieces):
-            after = pieces[k + 1][0].lower()
-            if after in HANGING_BEFORE and part + after not in reader.lexicon:
-                continue
-            joins[k] = "line"
-        elif part + "- " not in reader.lexicon:
-            joins[k] = "page"
-        if k in joins:
-            defects.add((i, "hyphen"))
-    repaired: dict[int, str] = {}  # piece -> what it reads as; '' where it went into the piece before
-    lexicon, n, rare = reader.lexicon, len(pieces), reader.rare
-    scarce = [lexicon.get(p[0].lower(), 0) <= rare for p in pieces]
-    reach: list[tuple[float, int, str, tuple[int, ...]] | None] = [None] * (n + 1)
-    reach[0] = (0.0, 0, "", ())
-    for k in range(n):
-        if reach[k] is None:  # inside a word that goes on over a line end
-            continue
-        value = reach[k][0]
-        word, line, start, end = pieces[k]
-
-        def offer(to: int, gain: float, reading: str, wrong: tuple[int, ...]) -> None:
-            if reach[to] is None or value + gain > reach[to][0]:
-                reach[to] = (value + gain, k, reading, wrong)
-
-        if k in joins:
-            if joins[k] == "page":
-                offer(k + 1, reader.score(word.lower()), word, ())
-                continue
-            other, other_line, _, _ = pieces[k + 1]
-            gain, reading, place = reader.judge(word + other)
-            if word.lower() in lexicon and other.lower() in lexicon and (word + other).lower() not in lexicon and place < 0:
-                reading = f"{word}-{other}"
-            wrong = () if place < 0 else (line if place < len(word) else other_line,)
-            offer(k + 2, gain + REPAIR["hyphen"], reading, wrong)
-            continue
-        gain, reading, place = reader.judge(word)
-        offer(k + 1, gain, word if place < 0 else reading, () if place < 0 else (line,))
-        if not scarce[k] and (k + 1 == n or not scarce[k + 1]):
-            continue
-        low = word.lower()
-        if place < 0 and low not in lexicon and 6 <= len(low) <= 40:
-            for cut in range(2, len(low) - 1):
-                if low[:cut] in lexicon and low[cut:] in lexicon:
-                    offer(k + 1, reader.score(low[:cut]) + reader.score(low[cut:]) + REPAIR["split"], f"{word[:cut]} {word[cut:]}", ())
-        if k + 1 < n and pieces[k + 1][1] == line and k + 1 not in joins and lines[line][end : pieces[k + 1][2]] == " ":
-            other = pieces[k + 1][0]
-            if _LETTER.search(word) and _LETTER.search(other):
-                merged, reading, place = reader.correct(low + other.lower())
-                if reading in lexicon:
-                    offer(k + 2, merged + REPAIR["blank"], reading, (line,))
-    k = n
-    while k > 0:
-        _, before, reading, wrong = reach[k]
-        for line in wrong:
-            defects.add((line, "misread"))
-        repaired[before] = reading
-        for inner in range(before + 1, k):
-            repaired[inner] = ""
-        k = before
-    found = [(i + 1, kind) for i, kind in sorted(defects)]
-    return found, paragraphs(lines, body, pieces, repaired, joins) if repair else []
-
-
-def paragraphs(lines: list[str], body: list[int], pieces: list[tuple[str, int, int, int]], repaired: dict[int, str], joins: dict[int, str]) -> list[str]:
+    stream = Stream(lines, body, reader)
+    defects, repaired, joins = stream.decode()
+    found = [(i + 1, kind) for i, kind in sorted(defects | set(heads.items()))]
+    return found, paragraphs(lines, body, stream.pieces, repaired, joins) if repair else []
+
+
+def paragraphs(lines: list[str], body: list[int], pieces: list[tuple[str, int, int, int]], repaired: dict[int, str], joins: set[int]) -> list[str]:
     """The body lines with repaired words, joined into paragraphs whose boundaries cost least."""
     if not pieces:
         return []
@@ -302,29 +278,69 @@ def paragraphs(lines: list[str], body: list[int], pieces: list[tuple[str, int, i
     return [p for p in result if p]
 
 
-def page_defects(pages: DataFrame, lexicon: dict[str, int], page_id: str = "page_id", text: str = "text") -> DataFrame:
-    """(page_id, line_no, defect) of every damaged line."""
+def running_lines(pages: DataFrame, page_id: str = "page_id", text: str = "text", document_id: str = "document_id", page_number: str = "page_number") -> DataFrame:
+    """(page_id, running: array of line indexes): lines at the edges of pages that several pages of the document share, misreadings and numbers aside, where their shape doesn't tell."""
+
+    def edges(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for page, document, number, text in zip(batch["page_id"], batch["document_id"], batch["page_number"], batch["text"]):
+                lines = text.split("\n")
+                filled = [i for i, line in enumerate(lines) if line.strip()]
+                shaped = edge_lines(lines)
+                for i in sorted({*filled[:EDGE], *filled[-EDGE:]}):
+                    key = skeleton(re.sub(r"[\W_]+", "", re.sub(r"\d+", "#", lines[i].lower())))
+                    if key:
+                        rows.append((page, document, number, i, key, i in shaped))
+            yield pd.DataFrame(rows, columns=["page_id", "document_id", "page_number", "line", "key", "shaped"])
+
+    kind = pages.schema[page_id].dataType.simpleString()
+    rows = pages.select(F.col(page_id).alias("page_id"), F.col(document_id).cast("string").alias("document_id"), F.col(page_number).cast("int").alias("page_number"), F.col(text).alias("text"))
+    rows = rows.filter(F.col("text").isNotNull() & F.col("page_id").isNotNull() & F.col("document_id").isNotNull() & F.col("page_number").isNotNull())
+    at_edges = cut(spread(rows).mapInPandas(edges, f"page_id {kind}, document_id string, page_number int, line int, key string, shaped boolean"))
+    per_page = at_edges.groupBy("document_id", "key", "page_number").agg(F.count(F.lit(1)).alias("n"))
+    shared = per_page.groupBy("document_id", "key").agg(F.count(F.lit(1)).alias("pages"), F.sum("n").alias("n")).filter(F.col("pages") >= SHARED_PAGES)
+    sizes = at_edges.select("document_id", "page_number").distinct().groupBy("document_id").agg(F.count(F.lit(1)).alias("all"))
+    shared = cut(shared.join(sizes, "document_id").filter(F.col("pages") >= SHARED * F.col("all")).select("document_id", "key", "n"))
+    unshaped = at_edges.filter("NOT shaped")
+    marked = split_join(unshaped, shared, ["document_id", "key"], "n", at_edges.count())
+    return cut(marked.groupBy("page_id").agg(F.collect_set("line").alias("running")))
+
+
+def _with_running(pages: DataFrame, running: DataFrame | None, page_id: str, text: str) -> DataFrame:
+    """(page_id, text, running) of the pages with text; few pages have such lines, so the marks are usually small enough for Spark to broadcast."""
+    rows = pages.select(F.col(page_id).alias("page_id"), F.col(text).alias("text")).filter(F.col("text").isNotNull())
+    if running is None or running.isEmpty():
+        return spread(rows).withColumn("running", F.array().cast("array<int>"))
+    return spread(rows).join(running, "page_id", "left")
+
+
+def _read(batch: pd.DataFrame, reader: Readings, repair: bool) -> Iterator[tuple]:
+    for page, text, running in zip(batch["page_id"], batch["text"], batch["running"]):
+        yield page, read_page(text, reader, repair, frozenset() if running is None else frozenset(map(int, running)))
+
+
+def page_defects(pages: DataFrame, lexicon: dict[str, int], running: DataFrame | None = None, page_id: str = "page_id", text: str = "text") -> DataFrame:
+    """(page_id, line_no, defect) of every damaged line; running as of running_lines()."""
 
     def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        reader = Reader(lexicon)
+        reader = Readings(lexicon)
         for batch in batches:
-            rows = [(page, *defect) for page, text in zip(batch["page_id"], batch["text"]) for defect in read_page(text, reader, repair=False)[0]]
+            rows = [(page, *defect) for page, (found, _) in _read(batch, reader, False) for defect in found]
             yield pd.DataFrame(rows, columns=["page_id", "line_no", "defect"])
 
     kind = pages.schema[page_id].dataType.simpleString()
-    rows = pages.select(F.col(page_id).alias("page_id"), F.col(text).alias("text")).filter(F.col("text").isNotNull())
-    return spread(rows).mapInPandas(find, f"page_id {kind}, line_no int, defect string")
+    return _with_running(pages, running, page_id, text).mapInPandas(find, f"page_id {kind}, line_no int, defect string")
 
 
-def page_paragraphs(pages: DataFrame, lexicon: dict[str, int], page_id: str = "page_id", text: str = "text") -> DataFrame:
+def page_paragraphs(pages: DataFrame, lexicon: dict[str, int], running: DataFrame | None = None, page_id: str = "page_id", text: str = "text") -> DataFrame:
     """(page_id, paragraph_no, text) of the repaired paragraphs."""
 
     def repair(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        reader = Reader(lexicon)
+        reader = Readings(lexicon)
         for batch in batches:
-            rows = [(page, k, p) for page, text in zip(batch["page_id"], batch["text"]) for k, p in enumerate(read_page(text, reader)[1], 1)]
+            rows = [(page, k, p) for page, (_, found) in _read(batch, reader, True) for k, p in enumerate(found, 1)]
             yield pd.DataFrame(rows, columns=["page_id", "paragraph_no", "text"])
 
     kind = pages.schema[page_id].dataType.simpleString()
-    rows = pages.select(F.col(page_id).alias("page_id"), F.col(text).alias("text")).filter(F.col("text").isNotNull())
-    return spread(rows).mapInPandas(repair, f"page_id {kind}, paragraph_no int, text string")
+    return _with_running(pages, running, page_id, text).mapInPandas(repair, f"page_id {kind}, paragraph_no int, text string")

@@ -8,7 +8,9 @@ from inkspan.llm import leaks as E
 from inkspan.llm import list_pages as P
 from inkspan.llm import mixing as M
 from inkspan.llm.page_lines import edge_lines
-from inkspan.llm.scan_repair import Reader, lexicon_of, page_defects, page_paragraphs, read_page
+from inkspan.llm import word_readings as R
+from inkspan.llm.scan_repair import lexicon_of, page_defects, page_paragraphs, read_page, running_lines
+from inkspan.llm.word_readings import Readings
 
 
 def brute_repeats(words):
@@ -214,7 +216,7 @@ def lexicon():
 
 
 def defects(text):
-    return read_page(text, Reader(lexicon()))[0]
+    return read_page(text, Readings(lexicon()))[0]
 
 
 def test_defects():
@@ -232,6 +234,44 @@ def test_defects():
         assert defects(nothing) == []
 
 
+def test_skeletons_survive_every_confusion():
+    for scanned, printed in R.GLYPHS + R.CONFUSIONS:
+        assert R.skeleton(scanned) == R.skeleton(printed), (scanned, printed)
+
+
+def test_any_number_of_repairs_and_any_length():
+    long = "counterrevolutionary" * 3
+    reader = Readings({long: 5000, "modern": 5000})
+    assert reader.judge(long.replace("r", "ı").replace("ı", "r").replace("o", "0").replace("e", "c").replace("l", "1"))[1] == long  # dozens of places
+    assert reader.judge("rnodcrn")[1:] == ("modern", 0)
+
+
+def test_words_are_decoded_jointly():
+    read = lambda text: read_page(text, Readings(lexicon()))
+    assert read("The pub lis hed report") == ([(1, "misread")], ["The published report"])
+    assert read("The editorremovedanother archive") == ([], ["The editor removed another archive"])
+    assert read("The edit orremoved archive") == ([(1, "misread")], ["The editor removed archive"])
+    assert read("The arch ivc was\nremoved") == ([(1, "misread")], ["The archive was removed"])  # torn and misread at once
+    assert read("The report was remo\nved by the group") == ([(1, "hyphen")], ["The report was removed by the group"])
+    assert read("The report was pub-\nlis hed by the group") == ([(1, "hyphen"), (2, "misread")], ["The report was published by the group"])
+    assert read("by the group after") == ([], ["by the group after"])  # frequent words stay apart
+
+
+def test_running_lines_are_known_from_other_pages(spark):
+    head, part = "draft for the meeting of the group", "the group removed the report"
+    rng = np.random.default_rng(5)
+    bodies = ["\n".join(" ".join(rng.choice(WORDS, 9)) for _ in range(8)) + "." for _ in range(5)]
+    rows = [(k, "d", k, f"{head if k != 3 else head.replace('meeting', 'mccting')}\n{bodies[k]}", "x") for k in range(1, 5)]
+    rows += [(10 + k, "e", k, f"{part if k < 3 else PLAIN}\nThe report was published.", "x") for k in range(1, 15)] + [(30, None, 1, head, "x"), (31, "f", None, head, "x"), (32, "f", 1, None, "x"), (33, "f", 1, "", "x")]
+    pages = spark.createDataFrame(rows, "page_id long, document_id string, page_number int, text string, running string")
+    running = running_lines(pages)
+    assert {(r["page_id"], tuple(r["running"])) for r in running.filter("page_id < 10").collect()} == {(k, (0,)) for k in range(1, 5)}
+    assert running.filter("page_id IN (30, 31, 32, 33) OR (page_id IN (11, 12) AND array_contains(running, 0))").count() == 0  # two pages of fourteen, one page, no number, no text
+    assert {tuple(r) for r in page_defects(pages.filter("page_id < 10"), lexicon(), running).collect()} == {(k, 1, "header") for k in range(1, 5)}
+    assert {r["text"] for r in page_paragraphs(pages.filter("page_id < 3"), lexicon(), running).collect()} == {bodies[k].replace("\n", " ") for k in (1, 2)}
+    assert running_lines(pages.limit(0)).count() == 0
+
+
 def test_heads_by_shape():
     head = lambda line: edge_lines([line, *PLAIN.split("\n")]).get(0)
     for line in ("D R E G O R   P A P E R S", "GORMIX: REMOTE MIRROR AND    Summer 2021    2", "4 | Gorm Research Desk", "Internal use only – Spr1ng 2023", "Chap†er 1: Quiet Harbour", "The quiet mailbox of"):
@@ -242,7 +282,7 @@ def test_heads_by_shape():
 
 def test_paragraphs_are_repaired():
     text = "Lamdor Working Papers\nThe rep0rt was pub-\nlished by the group.\n\nThe edi tor removed another\narchive during the summer.\n7"
-    assert read_page(text, Reader(lexicon()))[1] == ["The report was published by the group.", "The editor removed another archive during the summer."]
+    assert read_page(text, Readings(lexicon()))[1] == ["The report was published by the group.", "The editor removed another archive during the summer."]
 
 
 def test_repair_frames(spark):
