@@ -16,6 +16,7 @@ hanging before its hyphen. The defects are read off the best path. Paragraph bou
 
 from __future__ import annotations
 
+import hashlib
 import math
 import re
 from collections import Counter
@@ -278,6 +279,10 @@ def paragraphs(lines: list[str], body: list[int], pieces: list[tuple[str, int, i
     return [p for p in result if p]
 
 
+def _digest(text: str) -> bytes:
+    return hashlib.blake2b(text.encode(), digest_size=16).digest()
+
+
 def running_lines(pages: DataFrame, page_id: str = "page_id", text: str = "text", document_id: str = "document_id", page_number: str = "page_number") -> DataFrame:
     """(page_id, running: array of line indexes): lines at the edges of pages that several pages of the document share, misreadings and numbers aside, where their shape doesn't tell."""
 
@@ -291,19 +296,20 @@ def running_lines(pages: DataFrame, page_id: str = "page_id", text: str = "text"
                 for i in sorted({*filled[:EDGE], *filled[-EDGE:]}):
                     key = skeleton(re.sub(r"[\W_]+", "", re.sub(r"\d+", "#", lines[i].lower())))
                     if key:
-                        rows.append((page, document, number, i, key, i in shaped))
-            yield pd.DataFrame(rows, columns=["page_id", "document_id", "page_number", "line", "key", "shaped"])
+                        rows.append((page, _digest(document), number, i, _digest(f"{document}\n{key}"), i in shaped))
+            yield pd.DataFrame(rows, columns=["page_id", "document", "page_number", "line", "key", "shaped"])
 
     kind = pages.schema[page_id].dataType.simpleString()
     rows = pages.select(F.col(page_id).alias("page_id"), F.col(document_id).cast("string").alias("document_id"), F.col(page_number).cast("int").alias("page_number"), F.col(text).alias("text"))
     rows = rows.filter(F.col("text").isNotNull() & F.col("page_id").isNotNull() & F.col("document_id").isNotNull() & F.col("page_number").isNotNull())
-    at_edges = cut(spread(rows).mapInPandas(edges, f"page_id {kind}, document_id string, page_number int, line int, key string, shaped boolean"))
-    per_page = at_edges.groupBy("document_id", "key", "page_number").agg(F.count(F.lit(1)).alias("n"))
-    shared = per_page.groupBy("document_id", "key").agg(F.count(F.lit(1)).alias("pages"), F.sum("n").alias("n")).filter(F.col("pages") >= SHARED_PAGES)
-    sizes = at_edges.select("document_id", "page_number").distinct().groupBy("document_id").agg(F.count(F.lit(1)).alias("all"))
-    shared = cut(shared.join(sizes, "document_id").filter(F.col("pages") >= SHARED * F.col("all")).select("document_id", "key", "n"))
-    unshaped = at_edges.filter("NOT shaped")
-    marked = split_join(unshaped, shared, ["document_id", "key"], "n", at_edges.count())
+    at_edges = cut(spread(rows).mapInPandas(edges, f"page_id {kind}, document binary, page_number int, line int, key binary, shaped boolean"))
+    # keys hold their document
+    per_page = at_edges.groupBy("key", "page_number").agg(F.first("document").alias("document"), F.count(F.lit(1)).alias("n"))
+    shared = per_page.groupBy("key").agg(F.first("document").alias("document"), F.count(F.lit(1)).alias("pages"), F.sum("n").alias("n")).filter(F.col("pages") >= SHARED_PAGES)
+    sizes = at_edges.select("document", "page_number").distinct().groupBy("document").agg(F.count(F.lit(1)).alias("all"))
+    shared = cut(shared.join(sizes, "document").filter(F.col("pages") >= SHARED * F.col("all")).select("key", "n"))
+    unshaped = at_edges.filter("NOT shaped").select("page_id", "line", "key")
+    marked = split_join(unshaped, shared, ["key"], "n", at_edges.count())
     return cut(marked.groupBy("page_id").agg(F.collect_set("line").alias("running")))
 
 
