@@ -169,3 +169,27 @@ def test_large_groups_of_equal_vectors_are_exact(spark):
     frame = spark.createDataFrame([(n, [float(y) for y in v]) for n, v in zip(names, x)], "id string, vector array<float>")
     got = {r["id"]: [n["id"] for n in r["neighbours"]] for r in nearest_vectors(frame.unionByName(frame.limit(50))).collect()}
     assert got == brute_neighbours(names, x, 10)
+
+
+def test_a_hot_region_is_divided_and_its_askers_are_spread(spark, monkeypatch):
+    from inkspan.llm import neighbours as V
+
+    for name, value in {"SAMPLE": 256, "PER_CENTRE": 64, "CAPACITY": 128, "ASKERS": 16}.items():
+        monkeypatch.setattr(V, name, value)
+    rng = np.random.default_rng(3)
+    inner = rng.normal(size=24) + 0.15 * rng.normal(size=(100, 24))
+    hot = np.repeat(inner, 15, axis=0) + 0.03 * rng.normal(size=(1500, 24))  # one dense region of small clusters holds most of the rows
+    x = np.concatenate([hot, np.repeat(rng.normal(size=(35, 24)), 20, axis=0) + 0.3 * rng.normal(size=(700, 24))]).astype(np.float32)
+    names = [f"v{i:05d}" for i in range(len(x))]
+    frame = spark.createDataFrame([(n, [float(y) for y in v]) for n, v in zip(names, x)], "id string, vector array<float>")
+    groups = {}
+    grouped = V._grouped
+    monkeypatch.setattr(V, "_grouped", lambda routed: groups.setdefault("rows", grouped(routed)))
+    got = {r["id"]: [n["id"] for n in r["neighbours"]] for r in nearest_vectors(frame).collect()}
+    true = brute_neighbours(names, x, 10)
+    assert set(got) == set(names)
+    assert np.mean([len(set(got[n]) & set(true[n])) / 10 for n in names]) > 0.9
+    sizes = groups["rows"].groupBy("shard", "part").agg({"member": "count"}).toPandas()
+    members = groups["rows"].filter("member").groupBy("shard", "part").count().toPandas()
+    assert members["count"].max() <= 128 and sizes["count(member)"].max() <= 128 + 3 * 16  # parts are drawn by hash
+    assert sizes["part"].max() > 0 and sizes["shard"].str.contains(".", regex=False).any()
