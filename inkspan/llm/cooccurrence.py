@@ -13,9 +13,9 @@ n_ab <= min(n_a, n_b) needs n_a <= n / f; the second removes every item that lie
 are numbered by rising frequency, and a pair belongs to its rarer item: an item held by many baskets then owns few pairs.
 A pair needs t baskets, so the t - 1 largest ones alone never suffice: where they would make most of the pairs, pairs are made in the
 other baskets only, and the largest add to the counts of these by a bit per basket and item. A third exact saving, whatever one basket
-holds. A basket's items are put into blocks of about BLOCK, so a huge basket is many rows. Ordered pairs are emitted combined on the
-map side, one row per basket block and item with the list of its partners (4 bytes a pair), and are counted behind one
-shuffle by the rarer item.
+holds. A basket's items are put into blocks of about BLOCK, so a huge basket is many rows, and every pair of blocks a key of its own. The ordered pairs of the
+FREQUENT most frequent items, at most FREQUENT**2 / 2 different ones, are combined on the map side. All other pairs hardly repeat within a task: they are
+emitted as one row per basket block and item with the list of its partners (4 bytes a pair), and counted behind one shuffle by the rarer item.
 """
 
 from __future__ import annotations
@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 
 from inkspan.skew import cut, key_of
 
-#: Items of one basket in one block.
-BLOCK = 512
+#: Items of one basket in one block; most frequent items whose pairs are counted on the map side.
+BLOCK, FREQUENT = 512, 1000
 
 
 def basket_items(rows: DataFrame, basket: str, item: str) -> DataFrame:
@@ -72,11 +72,18 @@ def frequent_pairs(items: DataFrame, min_together: int = 4, min_lift: float = 5.
     placed = kept.join(sizes, "b").select("b", "no", blocks.alias("blocks"), F.pmod(F.xxhash64("no"), blocks.cast("long")).cast("int").alias("own"))
     grouped = cut(placed.groupBy("b", "own", "blocks").agg(F.sort_array(F.collect_list("no")).alias("nos")))
     inside = grouped.select(F.posexplode("nos").alias("at", "x"), "nos").select("x", F.expr("slice(nos, at + 2, size(nos))").alias("ys"))
+    # every pair of blocks of a basket has a key of its own, so a huge basket spreads over all tasks
     many = grouped.filter("blocks > 1")
-    others = many.select("b", F.col("own").alias("other"), F.col("nos").alias("there"))
-    across = many.join(others, "b").filter("own != other").select(F.explode("nos").alias("x"), "there").select("x", F.expr("filter(there, y -> y > x)").alias("ys"))
-    stripes = inside.unionByName(across).filter(F.size("ys") > 0).repartition("x")
-    counts = stripes.select("x", F.explode("ys").alias("y")).groupBy("x", "y").agg(F.count(F.lit(1)).alias("n_ab"))
+    lower = many.filter("own < blocks - 1").select("b", "own", F.explode(F.sequence(F.col("own") + 1, F.col("blocks") - 1)).alias("other"), F.col("nos").alias("here"))
+    upper = many.filter("own > 0").select("b", F.col("own").alias("other"), F.explode(F.sequence(F.lit(0), F.col("own") - 1)).alias("own"), F.col("nos").alias("there"))
+    sides = F.explode(F.array(F.struct(F.col("here").alias("xs"), F.col("there").alias("ys")), F.struct(F.col("there").alias("xs"), F.col("here").alias("ys"))))
+    across = lower.join(upper, ["b", "own", "other"]).select(sides.alias("s")).select(F.explode("s.xs").alias("x"), F.col("s.ys").alias("ys")).select("x", F.expr("filter(ys, y -> y > x)").alias("ys"))
+    stripes = inside.unionByName(across).filter(F.size("ys") > 0)
+    # the most frequent items lie in many baskets but have few partners of a higher number: their pairs are counted on the map side, all others as
+    # lists behind a shuffle by their rarer item, which lies in less than 1 / FREQUENT of all rows
+    frequent = F.col("x") >= n_kept - FREQUENT
+    pairs = lambda rows: rows.select("x", F.explode("ys").alias("y")).groupBy("x", "y").agg(F.count(F.lit(1)).alias("n_ab"))
+    counts = pairs(stripes.filter(~frequent).repartition("x")).unionByName(pairs(stripes.filter(frequent)))
     counts = counts.filter(F.col("n_ab") >= min_together - len(huge))
     if in_huge is not None:
         both = counts.join(in_huge.select(F.col("no").alias("x"), F.col("bits").alias("bits_x")), "x", "left").join(in_huge.select(F.col("no").alias("y"), F.col("bits").alias("bits_y")), "y", "left")
