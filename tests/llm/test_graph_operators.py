@@ -193,3 +193,43 @@ def test_a_hot_region_is_divided_and_its_askers_are_spread(spark, monkeypatch):
     members = groups["rows"].filter("member").groupBy("shard", "part").count().toPandas()
     assert members["count"].max() <= 128 and sizes["count(member)"].max() <= 128 + 3 * 16  # parts are drawn by hash
     assert sizes["part"].max() > 0 and sizes["shard"].str.contains(".", regex=False).any()
+
+
+def test_hot_roots_are_not_shuffled_by(spark, monkeypatch):
+    from inkspan.llm import components as C
+
+    monkeypatch.setattr(C, "HOT_LEAST", 4)
+    rng = np.random.default_rng(4)
+    star = [(f"hub{i % 3}", f"leaf{i:04d}") for i in range(300)]  # most components hook to three hubs
+    chain = [(f"c{i:03d}", f"c{i + 1:03d}") for i in range(120)] + [("c050", "hub1")]
+    some = [(f"x{a:03d}", f"x{b:03d}") for a, b in rng.integers(0, 150, (110, 2))]
+    links = star + chain + some
+    group = {}
+    for u, v in links:
+        group.setdefault(u, {u}), group.setdefault(v, {v})
+        if group[u] is not group[v]:
+            group[u] |= group[v]
+            for w in list(group[v]):
+                group[w] = group[u]
+    frame = spark.createDataFrame(links, "u string, v string")
+    got = {r["record_id"]: r["group_id"] for r in connected_groups(frame).collect()}
+    assert got == {w: min(g) for w, g in group.items()}
+
+
+def test_frequent_items_and_huge_baskets_are_counted_exactly(spark, monkeypatch):
+    from collections import Counter
+    from itertools import combinations
+
+    from inkspan.llm import cooccurrence as O
+
+    rng = np.random.default_rng(6)
+    baskets = {f"b{k}": sorted(set(rng.zipf(1.6, 12) % 60)) for k in range(150)} | {f"huge{k}": list(range(60)) for k in range(5)}
+    rows = [(b, f"i{i:02d}") for b, items in baskets.items() for i in items]
+    counts = Counter(p for items in baskets.values() for p in combinations(sorted(f"i{i:02d}" for i in items), 2))
+    n_of = Counter(i for _, i in rows)
+    n = len(baskets)
+    true = {p: c for p, c in counts.items() if c >= 4 and c * n >= 1.2 * n_of[p[0]] * n_of[p[1]]}
+    for frequent in (0, 7, 1000):
+        monkeypatch.setattr(O, "FREQUENT", frequent)
+        got = {(r["item_a"], r["item_b"]): r["n_ab"] for r in O.frequent_pairs(spark.createDataFrame(rows, "basket string, item string"), 4, 1.2, block=8).collect()}
+        assert got == true
