@@ -8,18 +8,18 @@ from inkspan.operators.orphans import orphan_references, orphans_by_month
 from inkspan.sources.tables import table
 
 
-def _orphans(spark: SparkSession, folder: str) -> DataFrame:
-    return orphan_references(*(table(spark, folder, t) for t in ("indicator_mentions", "indicators", "pdf_documents", "deleted_records")))
+def _tables(spark: SparkSession, folder: str) -> list[DataFrame]:
+    return [table(spark, folder, t) for t in ("indicator_mentions", "indicators", "pdf_documents", "deleted_records")]
 
 
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     """Every reference of a mention to a row that is deleted, missing or created later."""
-    return _orphans(spark, folder).select("mention_id", "ref_column", "state").distinct()
+    return orphan_references(*_tables(spark, folder)).select("mention_id", "ref_column", "state").distinct()
 
 
 def p6_orphans_by_month(spark: SparkSession, folder: str) -> DataFrame:
     """The same references counted per referenced table, month of the mention and state."""
-    return orphans_by_month(_orphans(spark, folder))
+    return orphans_by_month(*_tables(spark, folder))
 
 
 _REFS = r"""

@@ -39,5 +39,18 @@ def test_empty_tables(spark):
 def test_hot_key_and_months(spark):
     mentions = [(i, "hot" if i % 3 else f"k{i}", "d", DAY(1 + i % 28), None, 1) for i in range(3000)]
     frames = tables(spark, mentions, [], [("d", DAY(1), 1)], [("indicators", "hot", DAY(1))])
-    months = {(r["ref_table"], r["month"], r["state"]): r["n_refs"] for r in orphans_by_month(orphan_references(*frames)).collect()}
+    months = {(r["ref_table"], r["month"], r["state"]): r["n_refs"] for r in orphans_by_month(*frames).collect()}
     assert months == {("indicators", "2024-01", "deleted"): 2000, ("indicators", "2024-01", "missing"): 1000}
+
+
+def test_months_agree_with_the_single_references(spark):
+    rows = [(i, f"k{i % 7}", f"d{i % 5}", DAY(1 + i % 28) if i % 11 else None, None, 1) for i in range(400)]
+    rows += [(1000 + i, "k1", "d1", datetime(2024, 1 + i % 6, 3), None, 1) for i in range(60)]
+    indicators = [("k1", DAY(9), None), ("k1", DAY(12), None), ("k2", datetime(2024, 3, 3), None), ("k3", None, None)]
+    frames = tables(spark, rows, indicators, [("d1", DAY(14), 1), ("d2", DAY(1), 1)], [("indicators", "k4", DAY(1)), ("pdf_documents", "d3", DAY(1))])
+    from collections import Counter
+
+    names = {"indicator_id": "indicators", "document_id": "pdf_documents"}
+    one_by_one = Counter((names[r["ref_column"]], r["created_at"] and r["created_at"].strftime("%Y-%m"), r["state"]) for r in orphan_references(*frames).collect())
+    assert {(r["ref_table"], r["month"], r["state"]): r["n_refs"] for r in orphans_by_month(*frames).collect()} == one_by_one
+    assert orphans_by_month(*tables(spark, [], [], [], [])).count() == 0
