@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkspan.skew import cut, forget
+from inkspan.skew import cut, forget, meet
 
 
 def both_ways(edges: DataFrame) -> DataFrame:
@@ -22,44 +22,60 @@ def mention_edges(mentions: DataFrame) -> DataFrame:
     return mentions.select(F.concat(F.lit("i:"), F.col("indicator_id")).alias("u"), F.concat(F.lit("d:"), F.col("document_id")).alias("v")).distinct()
 
 
-def neighbourhood(edges: DataFrame, start: str, hops: int) -> DataFrame:
+def _start(edges: DataFrame, start: str | DataFrame) -> DataFrame:
+    """(id) of the node or the few nodes, given as a table of one column, that a walk begins at."""
+    return edges.sparkSession.createDataFrame([(start,)], "id string") if isinstance(start, str) else start.select(F.col(start.columns[0]).alias("id"))
+
+
+def _step(edges: DataFrame, frontier: DataFrame, *carried: str) -> DataFrame:
+    """(id, carried columns) of the nodes one edge away. A small frontier is broadcast, being a written table of known size, and the edges are not shuffled."""
+    out = edges.select("u", "v").filter("u <> v").join(frontier.withColumnRenamed("id", "u"), "u").select(F.col("v").alias("id"), F.col("u").alias("from"), *carried)
+    back = edges.select("u", "v").filter("u <> v").join(frontier.withColumnRenamed("id", "v"), "v").select(F.col("u").alias("id"), F.col("v").alias("from"), *carried)
+    return out.unionByName(back)
+
+
+def neighbourhood(edges: DataFrame, start: str | DataFrame, hops: int) -> DataFrame:
     """(id, distance) of the nodes within so many hops of start, start itself at 0."""
-    ways = both_ways(edges)
-    spark = edges.sparkSession
-    reached = spark.createDataFrame([(start, 0)], "id string, distance int")
-    frontier = reached
+    frontier = cut(_start(edges, start).withColumn("distance", F.lit(0)))
+    reached = frontier
     for hop in range(1, hops + 1):
-        step = ways.join(frontier.select(F.col("id").alias("u")), "u").select(F.col("v").alias("id")).distinct()
+        step = _step(edges, frontier.select("id")).select("id").distinct()
         frontier = cut(step.join(reached.select("id"), "id", "left_anti").withColumn("distance", F.lit(hop)))
         reached = reached.unionByName(frontier)
     return reached
 
 
-def subgraph(edges: DataFrame, center: str, hops: int) -> tuple[DataFrame, DataFrame]:
+def subgraph(edges: DataFrame, center: str | DataFrame, hops: int) -> tuple[DataFrame, DataFrame]:
     """(nodes, edges) of the neighbourhood: nodes as (id, distance), edges with both ends inside."""
     nodes = cut(neighbourhood(edges, center, hops))
     inside = edges.select("u", "v").distinct().join(nodes.select(F.col("id").alias("u")), "u", "left_semi").join(nodes.select(F.col("id").alias("v")), "v", "left_semi")
     return nodes, inside
 
 
-def cooccurrence(mentions: DataFrame, least: int = 2) -> DataFrame:
-    """(indicator_a, indicator_b, documents) of pairs that share at least so many documents.
+def _pairs(mentions: DataFrame) -> DataFrame:
+    return cut(mentions.select("indicator_id", "document_id").distinct())
 
-    Each indicator needs that many documents itself; the others are dropped before documents are paired.
-    """
-    pairs = cut(mentions.select("indicator_id", "document_id").distinct())
+
+def _counted(pairs: DataFrame, least: int) -> DataFrame:
+    """Each indicator needs `least` documents itself; the others are dropped before documents are paired."""
     often = pairs.groupBy("indicator_id").count().filter(F.col("count") >= least).select("indicator_id")
-    kept = pairs.join(often, "indicator_id", "left_semi")
-    left, right = kept.withColumnRenamed("indicator_id", "indicator_a"), kept.withColumnRenamed("indicator_id", "indicator_b")
-    counts = left.join(right, "document_id").filter("indicator_a < indicator_b").groupBy("indicator_a", "indicator_b").agg(F.count(F.lit(1)).alias("documents"))
+    kept = cut(pairs.join(often, "indicator_id", "left_semi"))
+    both = meet(kept.withColumnRenamed("indicator_id", "indicator_a"), kept.withColumnRenamed("indicator_id", "indicator_b"), "document_id")
+    counts = both.filter("indicator_a < indicator_b").groupBy("indicator_a", "indicator_b").agg(F.count(F.lit(1)).alias("documents"))
     return counts.filter(F.col("documents") >= least)
 
 
+def cooccurrence(mentions: DataFrame, least: int = 2) -> DataFrame:
+    """(indicator_a, indicator_b, documents) of pairs that share at least so many documents; large documents are paired block by block."""
+    return _counted(_pairs(mentions), least)
+
+
 def ego_clusters(mentions: DataFrame, least: int = 2, smallest: int = 3, limit: int = 10) -> DataFrame:
     """(center, size): indicators that are the smaller of a co-occurring pair, with the number of all they are mentioned with."""
-    centers = cooccurrence(mentions, least).select(F.col("indicator_a").alias("center")).distinct()
-    pairs = mentions.select("indicator_id", "document_id").distinct()
-    around = pairs.select(F.col("indicator_id").alias("center"), "document_id").join(centers, "center", "left_semi").join(pairs, "document_id").filter("indicator_id <> center")
+    pairs = _pairs(mentions)
+    centers = cut(_counted(pairs, least).select(F.col("indicator_a").alias("indicator_id")).distinct())
+    own = pairs.join(centers, "indicator_id", "left_semi").withColumnRenamed("indicator_id", "center")
+    around = meet(own, pairs, "document_id").filter("indicator_id <> center")
     sizes = around.select("center", "indicator_id").distinct().groupBy("center").agg((F.count(F.lit(1)) + 1).alias("size"))
     return sizes.filter(F.col("size") >= smallest).orderBy(F.desc("size"), "center").limit(limit)
 
@@ -109,29 +125,22 @@ def page_rank(edges: DataFrame, rounds: int = 10, damping: float = 0.85) -> Data
     return ranks.select("id", "rank")
 
 
-def shortest_path(edges: DataFrame, start: str, end: str, most: int = 10) -> DataFrame:
-    """(step, id) of one shortest path, the smallest parent ids of a tie; empty if end is not reached in so many hops."""
-    ways = cut(both_ways(edges))
-    spark = edges.sparkSession
-    reached = spark.createDataFrame([(start, None, 0)], "id string, parent string, distance int")
-    frontier = reached
-    found = start == end
-    for hop in range(1, most + 1):
-        if found:
-            break
-        step = ways.join(frontier.select(F.col("id").alias("u")), "u").groupBy(F.col("v").alias("id")).agg(F.min("u").alias("parent"))
-        frontier = cut(step.join(reached.select("id"), "id", "left_anti").withColumn("distance", F.lit(hop)))
-        if frontier.isEmpty():
+def shortest_path(edges: DataFrame, start: str | DataFrame, end: str | DataFrame, most: int = 10) -> DataFrame:
+    """(step, id) of one shortest path, that with the smallest ids from its end back; empty if end is not reached in so many hops.
+
+    Every node of the frontier carries its path, at most `most` ids.
+    """
+    goal = cut(_start(edges, end))
+    frontier = cut(_start(edges, start).withColumn("path", F.array("id")))
+    reached = frontier.select("id")
+    for hop in range(most + 1):
+        arrived = frontier.join(F.broadcast(goal), "id")
+        if hop == most or not arrived.isEmpty() or frontier.isEmpty():
             break
-        reached = reached.unionByName(frontier)
-        found = not frontier.filter(F.col("id") == end).isEmpty()
-    path = []
-    at = end if found else None
-    while at is not None:  # one lookup per hop, at most `most`
-        row = reached.filter(F.col("id") == at).first()
-        path.append((row["distance"], at))
-        at = row["parent"]
-    return spark.createDataFrame(path[::-1], "step int, id string")
+        step = _step(edges, frontier, "path").groupBy("id").agg(F.min_by("path", F.reverse("path")).alias("path"))
+        frontier = cut(step.join(reached, "id", "left_anti").select("id", F.concat("path", F.array("id")).alias("path")))
+        reached = reached.unionByName(frontier.select("id"))
+    return arrived.select(F.posexplode("path").alias("step", "id"))
 
 
 def cross_campaign(links: DataFrame, limit: int = 10) -> DataFrame:

@@ -23,23 +23,40 @@ def search(indicators: DataFrame, pattern: str | None = None, kind: str | None =
     return indicators.orderBy(F.desc_nulls_last("occurrence_count"), "indicator_id").limit(limit)
 
 
-def mentions_of(mentions: DataFrame, documents: DataFrame, indicator_id: str) -> DataFrame:
-    """Mentions of one indicator with their documents, surest first."""
-    own = mentions.filter(F.col("indicator_id") == indicator_id)
+def with_documents(mentions: DataFrame, documents: DataFrame) -> DataFrame:
+    """Mentions with the title and source of their documents; those of unknown documents are left out."""
     titles = documents.select(F.col("doc_id").alias("document_id"), "title", "source")
-    return own.join(titles, "document_id").select("mention_id", "document_id", "title", "source", "context", "confidence", "page_number", "position")
+    return mentions.join(titles, "document_id")
 
 
-def related(links: DataFrame, indicators: DataFrame, indicator_id: str, limit: int = 20, directed: bool = True) -> DataFrame:
-    """Indicators linked to one, by correlation score; undirected takes links from either end."""
-    out = links.filter(F.col("source") == indicator_id).select(F.col("target").alias("indicator_id"), "type", "score")
+def mentions_of(mentions: DataFrame, documents: DataFrame, indicator_id: str) -> DataFrame:
+    """Mentions of one indicator with their documents."""
+    own = with_documents(mentions.filter(F.col("indicator_id") == indicator_id), documents)
+    return own.select("mention_id", "document_id", "title", "source", "context", "confidence", "page_number", "position")
+
+
+def links_of(links: DataFrame, ids: DataFrame, directed: bool = True) -> DataFrame:
+    """(indicator_id, type, score) of the other ends of the links of a few ids, a table of one column; undirected takes links from either end."""
+    few = F.broadcast(ids.select(F.col(ids.columns[0]).alias("own")))
+    out = links.join(few, F.col("source") == F.col("own")).select(F.col("target").alias("indicator_id"), "type", "score")
     if not directed:
-        out = out.unionByName(links.filter(F.col("target") == indicator_id).select(F.col("source").alias("indicator_id"), "type", "score"))
-    best = out.groupBy("indicator_id").agg(F.max("score").alias("score"))
+        out = out.unionByName(links.join(few, F.col("target") == F.col("own")).select(F.col("source").alias("indicator_id"), "type", "score"))
+    return out
+
+
+def related_to(ends: DataFrame, indicators: DataFrame, limit: int = 20) -> DataFrame:
+    """The indicators at the other ends of links, by correlation score."""
+    best = ends.groupBy("indicator_id").agg(F.max("score").alias("score"))
     found = best.join(indicators.select("indicator_id", F.col("type").alias("indicator_type"), "value"), "indicator_id")
     return found.orderBy(F.desc_nulls_last("score"), "indicator_id").limit(limit)
 
 
+def related(links: DataFrame, indicators: DataFrame, indicator_id: str, limit: int = 20, directed: bool = True) -> DataFrame:
+    """Indicators linked to one, by correlation score; undirected takes links from either end."""
+    one = links.sparkSession.createDataFrame([(indicator_id,)], "id string")
+    return related_to(links_of(links, one, directed), indicators, limit)
+
+
 def campaigns_with_actors(links: DataFrame) -> DataFrame:
     """(indicator_id, campaign, actors): campaigns of every indicator, with their attributed actors or an empty array."""
     member = links.filter(F.col("type") == "PART_OF_CAMPAIGN").select(F.col("source").alias("indicator_id"), F.col("target").alias("campaign"))
@@ -96,17 +113,27 @@ def indicator_statistics(indicators: DataFrame, mentions: DataFrame) -> DataFram
     return joined.fillna(0, ["document_count"])
 
 
-def similar_indicators(mentions: DataFrame, indicators: DataFrame, indicator_id: str, threshold: float = 0.5, limit: int = 10) -> DataFrame:
-    """Indicators by the share of the target's mention rows whose documents they share; repeats can lift it above 1."""
-    mine = mentions.filter(F.col("indicator_id") == indicator_id).groupBy("document_id").agg(F.count(F.lit(1)).alias("rows"))
-    n = mine.agg(F.sum("rows").alias("target_rows"))
-    theirs = mentions.filter(F.col("indicator_id") != indicator_id).groupBy("document_id", "indicator_id").agg(F.count(F.lit(1)).alias("other_rows"))
-    common = theirs.join(mine, "document_id").groupBy("indicator_id").agg(F.sum(F.col("rows") * F.col("other_rows")).alias("common"))
-    scored = common.crossJoin(F.broadcast(n)).withColumn("score", F.col("common") / F.col("target_rows")).filter(F.col("score") >= threshold)
+def sharing_documents(mentions: DataFrame, indicators: DataFrame, target: DataFrame, threshold: float = 0.5, limit: int = 10) -> DataFrame:
+    """Indicators by the share of the target's mention rows whose documents they share; repeats can lift it above 1. target: a table of one id.
+
+    Both sides are counted per document and indicator before they meet, so the join has one row of the target per document.
+    """
+    counts = mentions.groupBy("document_id", "indicator_id").agg(F.count(F.lit(1)).alias("rows"))
+    one = F.broadcast(target.select(F.col(target.columns[0]).alias("own_id")))
+    mine = counts.join(one, F.col("indicator_id") == F.col("own_id")).select("document_id", F.col("rows").alias("own_rows"))
+    n = mine.agg(F.sum("own_rows").alias("target_rows"))
+    theirs = counts.join(one, F.col("indicator_id") == F.col("own_id"), "left_anti")
+    common = theirs.join(mine, "document_id").groupBy("indicator_id").agg(F.sum(F.col("rows") * F.col("own_rows")).alias("common"))
+    scored = common.crossJoin(F.broadcast(n)).withColumn("score", F.col("common") / F.col("target_rows")).filter(F.col("score") >= threshold)  # one row
     found = scored.join(indicators.select("indicator_id", "type", "value"), "indicator_id").select("indicator_id", "type", "value", "score")
     return found.orderBy(F.desc("score"), "indicator_id").limit(limit)
 
 
+def similar_indicators(mentions: DataFrame, indicators: DataFrame, indicator_id: str, threshold: float = 0.5, limit: int = 10) -> DataFrame:
+    """The same for one id."""
+    return sharing_documents(mentions, indicators, mentions.sparkSession.createDataFrame([(indicator_id,)], "id string"), threshold, limit)
+
+
 def timeline(mentions: DataFrame, indicator_id: str | None = None, days: int | None = 30, anchor: Column | None = None) -> DataFrame:
     """(date, mention_count, unique_documents) per day; the last days before the anchor (the latest mention unless given)."""
     own = mentions.filter(F.col("indicator_id") == indicator_id) if indicator_id else mentions

@@ -2,7 +2,7 @@
 
 Every function is one pass with map-side combine (`latest`, `merge_counts`) or one join; nothing is kept outside the tables.
 Null keys are distinct, as in a UNIQUE constraint: such rows are never merged. Ties of the order are broken by the
-remaining columns, so results don't depend on partitioning.
+remaining columns but for maps, so results don't depend on partitioning.
 """
 
 from __future__ import annotations
@@ -13,18 +13,29 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def latest(rows: DataFrame, keys: list[str], order: list[str], keep_first: list[str] = ()) -> DataFrame:
-    """One row per key: the last in the order, with the columns of keep_first from the first one (created_at and the like)."""
+def latest(rows: DataFrame, keys: list[str], order: list[str], keep_first: list[str] = (), loose: list[str] | None = None, total: bool = False) -> DataFrame:
+    """One row per key: the last in the order, with the columns of keep_first from the first one (created_at and the like).
+
+    loose names the keys that may be null (all unless given): only for these the rows with a null are looked for, in a scan of their own. total says that the order
+    leaves no ties; else the other columns break them, but for maps, which have no order (rows that differ in these alone are one of them, any).
+    Columns that nobody reads are best dropped before: what is left goes through the shuffle.
+    """
     columns = rows.columns
     others = [c for c in columns if c not in keys]
-    rank = F.struct(*[F.col(c) for c in order], *[F.col(c) for c in others if c not in order and not dict(rows.dtypes)[c].startswith("map")])
-    whole = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys])
-    picked = rows.filter(whole).groupBy(*keys).agg(
-        F.max_by(F.struct(*others), rank).alias("last"),
-        *[F.min_by(F.col(c), F.when(F.col(c).isNotNull(), rank)).alias(f"first_{c}") for c in keep_first],
-    )
-    merged = picked.select(*[F.col(c) if c in keys else F.coalesce(f"first_{c}", f"last.{c}").alias(c) if c in keep_first else F.col(f"last.{c}").alias(c) for c in columns])
-    return merged.unionByName(rows.filter(~whole))
+    ties = [] if total else [c for c in others if c not in order and not dict(rows.dtypes)[c].startswith("map")]
+    rank = F.struct(*[F.col(c) for c in (*order, *ties)])
+    loose = keys if loose is None else loose
+    whole = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in loose], F.lit(True))
+    kept = rows.filter(whole) if loose else rows
+    if not others:
+        merged = kept.distinct()
+    else:
+        picked = kept.groupBy(*keys).agg(
+            F.max_by(F.struct(*others), rank).alias("last"),
+            *[F.min_by(F.col(c), F.when(F.col(c).isNotNull(), rank)).alias(f"first_{c}") for c in keep_first],
+        )
+        merged = picked.select(*[F.col(c) if c in keys else F.coalesce(f"first_{c}", f"last.{c}").alias(c) if c in keep_first else F.col(f"last.{c}").alias(c) for c in columns])
+    return merged.unionByName(rows.filter(~whole)) if loose else merged
 
 
 def upsert(stored: DataFrame, fresh: DataFrame, keys: list[str], keep: list[str] = ()) -> DataFrame:

@@ -14,26 +14,44 @@ from inkspan.skew import key_of
 from inkspan.sources.tables import table
 
 
-def documents(spark: SparkSession, folder: str) -> DataFrame:
-    rows = table(spark, folder, "pdf_documents").select(key_of("doc_id").alias("doc_id"), "title", "source", "file_hash", "processed_at", "total_pages", "created_at")
-    return latest(rows.filter("doc_id IS NOT NULL"), ["doc_id"], ["processed_at"], ["created_at"])
+def _only(rows: DataFrame, key: str, ids: DataFrame | None) -> DataFrame:
+    """The rows whose key is in ids, a table of a few keys, before anything is shuffled."""
+    return rows if ids is None else rows.join(F.broadcast(ids.select(F.col(ids.columns[0]).alias(key))), key, "left_semi")
 
 
-def indicators(spark: SparkSession, folder: str) -> DataFrame:
-    rows = table(spark, folder, "indicators").select(key_of("indicator_id").alias("indicator_id"), "type", "value", "normalized_value", "first_seen", "last_seen", "occurrence_count")
-    return latest(rows.filter("indicator_id IS NOT NULL"), ["indicator_id"], ["last_seen"], ["first_seen"])
+def documents(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
+    """One row per document; with columns, doc_id and these alone are carried along."""
+    wanted = columns or ("title", "source", "file_hash", "processed_at", "total_pages", "created_at")
+    needed = dict.fromkeys([*[c for c in wanted if c != "doc_id"], "processed_at", "title", "source"])
+    rows = table(spark, folder, "pdf_documents").select(key_of("doc_id").alias("doc_id"), *(needed if set(wanted) - {"doc_id"} else []))
+    merged = latest(rows.filter("doc_id IS NOT NULL"), ["doc_id"], ["processed_at", "title", "source"] if len(rows.columns) > 1 else [], [c for c in ("created_at",) if c in wanted], [])
+    return merged.select("doc_id", *[c for c in wanted if c != "doc_id"])
 
 
-def mentions(spark: SparkSession, folder: str) -> DataFrame:
-    rows = table(spark, folder, "indicator_mentions").select(
-        "mention_id", key_of("indicator_id").alias("indicator_id"), key_of("document_id").alias("document_id"), "context", "confidence", "page_number", "position", "created_at"
-    )
-    return latest(rows.dropna(subset=["indicator_id", "document_id"]), ["indicator_id", "document_id", "position"], ["created_at", "mention_id"])
+def indicators(spark: SparkSession, folder: str, *columns: str, only: DataFrame | None = None) -> DataFrame:
+    """One row per indicator; with columns, indicator_id and these alone are carried along; only limits them to a few ids."""
+    wanted = columns or ("type", "value", "normalized_value", "first_seen", "last_seen", "occurrence_count")
+    order = ["last_seen", "type", "value", "normalized_value", "first_seen", "occurrence_count"]
+    plain = set(wanted) <= {"indicator_id"}
+    rows = table(spark, folder, "indicators").select(key_of("indicator_id").alias("indicator_id"), *([] if plain else order)).filter("indicator_id IS NOT NULL")
+    merged = latest(_only(rows, "indicator_id", only), ["indicator_id"], [] if plain else order, [c for c in ("first_seen",) if c in wanted], [], total=True)
+    return merged.select("indicator_id", *[c for c in wanted if c != "indicator_id"])
+
+
+def mentions(spark: SparkSession, folder: str, *columns: str, only: DataFrame | None = None) -> DataFrame:
+    """The last mention of each (indicator, document, position); with columns, the keys and these alone are carried along; only limits them to a few indicators."""
+    keys = ["indicator_id", "document_id", "position"]
+    wanted = columns or ("mention_id", "context", "confidence", "page_number", "created_at")
+    needed = dict.fromkeys([*[c for c in wanted if c not in keys], *(["created_at", "mention_id"] if set(wanted) - set(keys) else [])])
+    rows = table(spark, folder, "indicator_mentions").select(key_of("indicator_id").alias("indicator_id"), key_of("document_id").alias("document_id"), "position", *needed)
+    rows = _only(rows.dropna(subset=["indicator_id", "document_id"]), "indicator_id", only)
+    merged = latest(rows, keys, ["created_at", "mention_id"] if needed else [], loose=["position"], total=bool(needed))
+    return merged.select(*[c for c in ("mention_id", "indicator_id", "document_id", "context", "confidence", "page_number", "position", "created_at") if c in keys or c in wanted])
 
 
 def chunks(spark: SparkSession, folder: str) -> DataFrame:
     rows = table(spark, folder, "document_chunks").select("chunk_id", "document_id", "content", "chunk_index", "start_position", "end_position", "page_numbers", "language", "indicators_count", "created_at")
-    return latest(rows.filter("chunk_id IS NOT NULL"), ["chunk_id"], ["created_at"])
+    return latest(rows.filter("chunk_id IS NOT NULL"), ["chunk_id"], ["created_at"], loose=[])
 
 
 def relationship_type() -> F.Column:

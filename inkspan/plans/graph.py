@@ -16,13 +16,16 @@ def _related(spark, folder):
 
 
 def _hub(edges):
-    return G.both_ways(edges).groupBy("u").count().orderBy(F.desc("count"), "u").first()["u"]
+    """(id): the node with the most different neighbours, as a table of one row."""
+    return G.both_ways(edges).groupBy(F.col("u").alias("id")).count().orderBy(F.desc("count"), "id").limit(1).select("id")
 
 
 def n_hop(spark, folder):
-    """Indicators within 2 hops of the busiest one over shared documents (a hop to a document, a hop back)."""
-    edges = cut(G.mention_edges(C.mentions(spark, folder)))
-    reached = G.neighbourhood(edges, "i:" + busiest(spark, folder), 2).filter("id LIKE 'i:%' AND distance > 0")
+    """Indicators within 2 hops of the busiest one over links of every type and over shared documents."""
+    links = C.links(spark, folder).select(F.concat(F.lit("i:"), "source").alias("u"), F.concat(F.lit("i:"), "target").alias("v"))
+    edges = cut(G.mention_edges(C.mentions(spark, folder, "indicator_id")).unionByName(links.distinct()))
+    start = busiest(spark, folder).select(F.concat(F.lit("i:"), "id").alias("id"))
+    reached = G.neighbourhood(edges, start, 2).filter("id LIKE 'i:%' AND distance > 0")
     return reached.select(F.substring("id", 3, 1000).alias("indicator_id"), "distance")
 
 
@@ -42,11 +45,11 @@ def subgraph_nodes(spark, folder):
 
 
 def cooccurrence_pairs(spark, folder):
-    return G.cooccurrence(C.mentions(spark, folder), 3)
+    return G.cooccurrence(C.mentions(spark, folder, "indicator_id"), 3)
 
 
 def ego_clusters(spark, folder):
-    return G.ego_clusters(C.mentions(spark, folder), 3)
+    return G.ego_clusters(C.mentions(spark, folder, "indicator_id"), 3)
 
 
 def components(spark, folder):
@@ -54,6 +57,12 @@ def components(spark, folder):
     return G.components(edges)
 
 
+def mention_clusters(spark, folder):
+    """The component of every indicator that shares at least 3 documents with another, over such pairs."""
+    pairs = G.cooccurrence(C.mentions(spark, folder, "indicator_id"), 3)
+    return G.components(cut(pairs.select(F.col("indicator_a").alias("u"), F.col("indicator_b").alias("v"))))
+
+
 def communities(spark, folder):
     return G.communities(_related(spark, folder))
 
@@ -63,10 +72,10 @@ def page_rank(spark, folder):
 
 
 def shortest_path(spark, folder):
-    """From the hub to the largest id of its component within 10 hops."""
+    """From the hub to the farthest node within 10 hops, the largest id of these."""
     edges = cut(_related(spark, folder))
-    hub = _hub(edges)
-    far = G.neighbourhood(edges, hub, 3).orderBy(F.desc("distance"), F.desc("id")).first()["id"]
+    hub = cut(_hub(edges))
+    far = G.neighbourhood(edges, hub, 10).orderBy(F.desc("distance"), F.desc("id")).limit(1).select("id")
     return G.shortest_path(edges, hub, far)
 
 
@@ -83,7 +92,7 @@ def degree_distribution(spark, folder):
 
 
 QUERIES = {f.__name__: f for f in (
-    n_hop, related_n_hop, subgraph_edges, subgraph_nodes, cooccurrence_pairs, ego_clusters, components, communities, page_rank, shortest_path, cross_campaign, dominant_type, degree_distribution,
+    n_hop, related_n_hop, subgraph_edges, subgraph_nodes, cooccurrence_pairs, ego_clusters, components, mention_clusters, communities, page_rank, shortest_path, cross_campaign, dominant_type, degree_distribution,
 )}
 
 _WAYS = """ , w AS MATERIALIZED (SELECT source AS u, target AS v FROM l WHERE type = '{kind}' AND source <> target UNION SELECT target, source FROM l WHERE type = '{kind}' AND source <> target)"""
@@ -94,8 +103,10 @@ _CO = """ , p AS (SELECT DISTINCT indicator_id, document_id FROM m),
   co AS (SELECT a.indicator_id AS x, b.indicator_id AS y, count(*) AS k FROM p a JOIN p b ON a.document_id = b.document_id AND a.indicator_id < b.indicator_id GROUP BY 1, 2 HAVING count(*) >= 3)"""
 
 SQL = {
-    "n_hop": with_views("m", f""" , p AS (SELECT DISTINCT indicator_id, document_id FROM m), t AS (SELECT {BUSIEST} AS id)
-      SELECT DISTINCT b.indicator_id, 2 AS distance FROM p a JOIN t ON a.indicator_id = t.id JOIN p b ON b.document_id = a.document_id AND b.indicator_id <> t.id"""),
+    "n_hop": with_views("ml", f""" , e AS MATERIALIZED (SELECT DISTINCT 'i:' || indicator_id AS u, 'd:' || document_id AS v FROM m UNION SELECT 'i:' || source, 'i:' || target FROM l WHERE source <> target),
+      w AS MATERIALIZED (SELECT u, v FROM e UNION SELECT v, u FROM e), one AS (SELECT v FROM w WHERE u = 'i:' || {BUSIEST}),
+      r AS (SELECT v AS id, 1 AS distance FROM one UNION ALL SELECT w.v, 2 FROM one JOIN w ON w.u = one.v)
+      SELECT substring(id, 3) AS indicator_id, min(distance) AS distance FROM r WHERE id LIKE 'i:%' AND id <> 'i:' || {BUSIEST} GROUP BY 1"""),
     "related_n_hop": with_views("l", _REACH.format(start=_START, hops=4) + " SELECT * FROM near", recursive=True),
     "subgraph_nodes": with_views("l", _REACH.format(start=_START, hops=2) + " SELECT * FROM near", recursive=True),
     "subgraph_edges": with_views("l", _REACH.format(start=_START, hops=2) + " SELECT DISTINCT source, target FROM l WHERE type = 'RELATED_TO' AND source IN (SELECT id FROM near) AND target IN (SELECT id FROM near)", recursive=True),
@@ -104,6 +115,8 @@ SQL = {
       JOIN p b ON b.document_id = a.document_id AND b.indicator_id <> center GROUP BY 1) SELECT * FROM s WHERE size >= 3 ORDER BY size DESC, center LIMIT 10"""),
     "components": with_views("l", _WAYS.format(kind="USES") + """ , r AS (SELECT source AS id, source AS other FROM l WHERE type = 'USES' UNION SELECT target, target FROM l WHERE type = 'USES'
       UNION SELECT r.id, w.v FROM r JOIN w ON w.u = r.other) SELECT id, min(other) AS component FROM r GROUP BY 1""", recursive=True),
+    "mention_clusters": with_views("m", _CO + """ , w AS MATERIALIZED (SELECT x AS u, y AS v FROM co UNION SELECT y, x FROM co), r AS (SELECT u AS id, u AS other FROM w
+      UNION SELECT r.id, w.v FROM r JOIN w ON w.u = r.other) SELECT id, min(other) AS component FROM r GROUP BY 1""", recursive=True),
     "cross_campaign": with_views("l", " SELECT source AS indicator_id, count(DISTINCT target) AS campaigns, least(count(DISTINCT target) / 10, 1.0) AS confidence FROM l WHERE type = 'PART_OF_CAMPAIGN' GROUP BY 1 HAVING count(DISTINCT target) > 1 ORDER BY campaigns DESC, indicator_id LIMIT 10"),
     "dominant_type": with_views("i", " , n AS (SELECT type, count(*) AS n, round(count(*) / (SELECT count(*) FROM i), 6) AS ratio FROM i GROUP BY 1) SELECT * FROM n WHERE ratio > 0.1"),
     "degree_distribution": with_views("l", _RELATED + " , g AS (SELECT u, count(*) AS degree FROM w GROUP BY 1) SELECT degree, count(*) AS nodes FROM g GROUP BY 1"),

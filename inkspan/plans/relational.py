@@ -13,16 +13,21 @@ from inkspan.skew import key_of
 from inkspan.sources.tables import table
 
 
-def busiest(spark: SparkSession, folder: str) -> str:
-    """The indicator with the most mentions: one row."""
+def busiest(spark: SparkSession, folder: str) -> DataFrame:
+    """(id): the indicator with the most mentions, as a table of one row."""
     counts = table(spark, folder, "indicator_mentions").select(key_of("indicator_id").alias("id")).dropna().groupBy("id").count()
-    return counts.orderBy(F.desc("count"), "id").first()["id"]
+    return counts.orderBy(F.desc("count"), "id").limit(1).select("id")
 
 
-def largest_campaign(spark: SparkSession, folder: str) -> str:
-    """The campaign with the most members: one row."""
-    counts = C.links(spark, folder, "PART_OF_CAMPAIGN").groupBy("target").count()
-    return counts.orderBy(F.desc("count"), "target").first()["target"]
+def _own(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
+    """The mentions of the busiest indicator."""
+    return C.mentions(spark, folder, *columns, only=busiest(spark, folder))
+
+
+def _largest_campaign(links: DataFrame) -> DataFrame:
+    """(campaign): the campaign with the most members, as a table of one row."""
+    counts = links.filter("type = 'PART_OF_CAMPAIGN'").groupBy(F.col("target").alias("campaign")).count()
+    return counts.orderBy(F.desc("count"), "campaign").limit(1).select("campaign")
 
 
 #: The same choices in SQL.
@@ -39,26 +44,27 @@ def indicator_search_ilike(spark, folder):
 
 
 def indicator_detail(spark, folder):
-    return C.indicators(spark, folder).filter(F.col("indicator_id") == busiest(spark, folder)).select("indicator_id", "type", "value", "normalized_value", "first_seen", "last_seen", "occurrence_count")
+    return C.indicators(spark, folder, only=busiest(spark, folder)).select("indicator_id", "type", "value", "normalized_value", "first_seen", "last_seen", "occurrence_count")
 
 
 def indicator_mentions(spark, folder):
-    found = R.mentions_of(C.mentions(spark, folder), C.documents(spark, folder), busiest(spark, folder))
+    found = R.with_documents(_own(spark, folder, "mention_id", "confidence", "page_number"), C.documents(spark, folder, "title", "source"))
     return found.select("mention_id", "document_id", "title", "confidence", "page_number")
 
 
 def related_directed(spark, folder):
     links = C.links(spark, folder, "RELATED_TO")
-    return R.related(links, C.indicators(spark, folder), _hub(links)).select("indicator_id", "indicator_type", "score")
+    return R.related_to(R.links_of(links, _hub(links)), C.indicators(spark, folder, "type", "value")).select("indicator_id", "indicator_type", "score")
 
 
 def related_undirected(spark, folder):
     links = C.links(spark, folder, "RELATED_TO")
-    return R.related(links, C.indicators(spark, folder), _hub(links), 10, directed=False).select("indicator_id", "indicator_type", "score")
+    return R.related_to(R.links_of(links, _hub(links), directed=False), C.indicators(spark, folder, "type", "value"), 10).select("indicator_id", "indicator_type", "score")
 
 
-def _hub(links: DataFrame) -> str:
-    return links.groupBy("source").count().orderBy(F.desc("count"), "source").first()["source"]
+def _hub(links: DataFrame) -> DataFrame:
+    """(id): the source with the most links, as a table of one row."""
+    return links.groupBy(F.col("source").alias("id")).count().orderBy(F.desc("count"), "id").limit(1).select("id")
 
 
 _HUB = "(SELECT source FROM l WHERE type = 'RELATED_TO' GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1)"
@@ -69,33 +75,33 @@ def indicator_campaigns(spark, folder):
 
 
 def indicator_context_counts(spark, folder):
-    return R.context_counts(C.indicators(spark, folder), C.mentions(spark, folder), C.links(spark, folder))
+    return R.context_counts(C.indicators(spark, folder, "value"), C.mentions(spark, folder, "indicator_id"), C.links(spark, folder))
 
 
 def store_statistics(spark, folder):
-    return R.store_statistics(C.documents(spark, folder), C.indicators(spark, folder), C.mentions(spark, folder), C.chunks(spark, folder))
+    return R.store_statistics(C.documents(spark, folder, "doc_id"), C.indicators(spark, folder, "type"), C.mentions(spark, folder, "indicator_id"), C.chunks(spark, folder))
 
 
 def graph_statistics(spark, folder):
-    found = R.graph_statistics(C.documents(spark, folder), C.indicators(spark, folder), C.mentions(spark, folder), C.links(spark, folder))
+    found = R.graph_statistics(C.documents(spark, folder, "doc_id"), C.indicators(spark, folder, "type"), C.mentions(spark, folder, "indicator_id"), C.links(spark, folder))
     return found.withColumn("types", F.array_join("types", ","))
 
 
 def indicator_statistics(spark, folder):
-    return R.indicator_statistics(C.indicators(spark, folder), C.mentions(spark, folder)).withColumn("avg_confidence", F.round("avg_confidence", 6))
+    return R.indicator_statistics(C.indicators(spark, folder, "type", "last_seen"), C.mentions(spark, folder, "confidence")).withColumn("avg_confidence", F.round("avg_confidence", 6))
 
 
 def similar_indicators(spark, folder):
-    found = R.similar_indicators(C.mentions(spark, folder), C.indicators(spark, folder), busiest(spark, folder), 0.001)
+    found = R.sharing_documents(C.mentions(spark, folder, "indicator_id"), C.indicators(spark, folder, "type", "value"), busiest(spark, folder), 0.001)
     return found.select("indicator_id", "type", F.round("score", 6).alias("score"))
 
 
 def indicator_timeline(spark, folder):
-    return R.timeline(C.mentions(spark, folder), busiest(spark, folder), 365).withColumn("date", F.date_format("date", "yyyy-MM-dd"))
+    return R.timeline(_own(spark, folder, "created_at"), None, 365).withColumn("date", F.date_format("date", "yyyy-MM-dd"))
 
 
 def mention_timeline(spark, folder):
-    return R.timeline(C.mentions(spark, folder), None, None).withColumn("date", F.date_format("date", "yyyy-MM-dd"))
+    return R.timeline(C.mentions(spark, folder, "created_at"), None, None).withColumn("date", F.date_format("date", "yyyy-MM-dd"))
 
 
 def fulltext_and(spark, folder):
@@ -104,11 +110,12 @@ def fulltext_and(spark, folder):
 
 def campaign_members(spark, folder):
     links = C.links(spark, folder)
-    return R.campaign_members(links, C.indicators(spark, folder), largest_campaign(spark, folder)).select("indicator_id", "type", "value")
+    members = links.filter("type = 'PART_OF_CAMPAIGN'").join(F.broadcast(_largest_campaign(links)), F.col("target") == F.col("campaign")).select(F.col("source").alias("indicator_id"))
+    return C.indicators(spark, folder, "type", "value").join(members, "indicator_id", "left_semi").select("indicator_id", "type", "value")
 
 
 def filtered_mentions(spark, folder):
-    joined = C.mentions(spark, folder).join(C.indicators(spark, folder).select("indicator_id", "type"), "indicator_id")
+    joined = C.mentions(spark, folder, "mention_id", "confidence", "created_at").join(C.indicators(spark, folder, "type"), "indicator_id")
     kept = joined.filter(R.mention_filter(["domain", "email", "url"], 0.8, "2023-06-01 00:00:00", "2024-06-30 00:00:00"))
     return kept.select("mention_id", "indicator_id", "type", "confidence")
 
@@ -120,10 +127,10 @@ def tlp_containment(spark, folder):
 
 def trigram_titles(spark, folder):
     """Titles by trigram similarity to the first title in order; keeps those at 0.3 or more."""
-    docs = C.documents(spark, folder).select("doc_id", "title").filter("title IS NOT NULL")
-    probe = docs.orderBy("title", "doc_id").first()["title"]
-    scored = docs.withColumn("similarity", F.round(R.trigram_similarity(F.col("title"), F.lit(probe)), 6))
-    return scored.filter("similarity >= 0.3")
+    docs = C.documents(spark, folder, "title").filter("title IS NOT NULL")
+    probe = docs.orderBy("title", "doc_id").limit(1).select(F.col("title").alias("probe"))
+    scored = docs.crossJoin(F.broadcast(probe)).withColumn("similarity", F.round(R.trigram_similarity(F.col("title"), F.col("probe")), 6))  # one row
+    return scored.filter("similarity >= 0.3").drop("probe")
 
 
 def sighting_counts(spark, folder):
@@ -141,7 +148,7 @@ def latest_indicators(spark, folder):
 
 
 def latest_mentions(spark, folder):
-    return C.mentions(spark, folder).select("mention_id", "indicator_id", "document_id", "position", "confidence")
+    return C.mentions(spark, folder, "mention_id", "confidence").select("mention_id", "indicator_id", "document_id", "position", "confidence")
 
 
 def latest_chunks(spark, folder):
@@ -150,14 +157,14 @@ def latest_chunks(spark, folder):
 
 def valid_mention_links(spark, folder):
     """Distinct (indicator, document) edges of which both ends exist."""
-    edges = C.mentions(spark, folder).select(F.col("indicator_id").alias("source"), F.col("document_id").alias("target")).distinct()
-    return linked(edges, C.indicators(spark, folder), "indicator_id", C.documents(spark, folder), "doc_id").select("source", "target")
+    edges = C.mentions(spark, folder, "indicator_id").select(F.col("indicator_id").alias("source"), F.col("document_id").alias("target")).distinct()
+    return linked(edges, C.indicators(spark, folder, "indicator_id"), "indicator_id", C.documents(spark, folder, "doc_id"), "doc_id").select("source", "target")
 
 
 def campaign_edges(spark, folder):
     """Campaign memberships of existing indicators with their best score."""
     edges = C.links(spark, folder, "PART_OF_CAMPAIGN")
-    return edges.join(C.indicators(spark, folder).select(F.col("indicator_id").alias("source")), "source", "left_semi").select("source", "target", "score")
+    return edges.join(C.indicators(spark, folder, "indicator_id").select(F.col("indicator_id").alias("source")), "source", "left_semi").select("source", "target", "score")
 
 
 def attribution_edges(spark, folder):

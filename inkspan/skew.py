@@ -63,6 +63,30 @@ def spread(scan: DataFrame) -> DataFrame:
     return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
 
 
+#: Rows of one basket in one block.
+BLOCK = 512
+
+
+def meet(left: DataFrame, right: DataFrame, basket: str) -> DataFrame:
+    """Inner join of two tables on a basket in which a huge basket is cut into blocks: every pair of blocks has a key of its own.
+
+    The tables share no other column. A row of a basket of n blocks is sent n times, so a block pair never holds more than about BLOCK rows of a side.
+    """
+    sizes = left.groupBy(basket).agg(F.count(F.lit(1)).alias("n_left")).join(right.groupBy(basket).agg(F.count(F.lit(1)).alias("n_right")), basket)
+    parts = [F.ceil(F.col(c) / BLOCK).cast("int") for c in ("n_left", "n_right")]
+    # only baskets of more than one block; a table with its real size
+    many = cut(sizes.filter(F.greatest("n_left", "n_right") > BLOCK).select(basket, parts[0].alias("parts_left"), parts[1].alias("parts_right")))
+    ones = F.coalesce("parts_left", F.lit(1)), F.coalesce("parts_right", F.lit(1))
+
+    def placed(rows: DataFrame, own: Column, other: Column, own_name: str, other_name: str) -> DataFrame:
+        drawn = F.pmod(F.xxhash64(*[c for c in rows.columns if c != basket]), own.cast("long")).cast("int")
+        return rows.join(many, basket, "left").select(*rows.columns, drawn.alias(own_name), F.explode(F.sequence(F.lit(0), other - 1)).alias(other_name))
+
+    a = placed(left, ones[0], ones[1], "block_left", "block_right")
+    b = placed(right, ones[1], ones[0], "block_right", "block_left")
+    return a.join(b, [basket, "block_left", "block_right"]).drop("block_left", "block_right")
+
+
 #: Characters that are cut from both ends of keys.
 BLANKS = " \t\n\r\f\v\u00a0"
 
