@@ -50,13 +50,12 @@ def _up(rows: DataFrame, above: DataFrame, hot: DataFrame | None) -> DataFrame:
     return heavy.unionByName(light)
 
 
-def _collapse(forest: DataFrame, total: int) -> tuple[DataFrame, DataFrame | None]:
-    """((id, parent, degree) with the root as parent, hot roots) of a forest (id, parent, degree, moved) whose roots are their own parents."""
-    moved, hot = _hot_parents(forest, total)
+def _collapse(forest: DataFrame, total: int, hot: DataFrame | None) -> tuple[DataFrame, DataFrame | None]:
+    """((id, parent, degree) with the root as parent, hot roots) of a forest (id, parent, degree) whose roots are their own parents, given its hot parents."""
+    moved = True
     while moved:
-        forest_rows = forest.drop("moved")
         second = forest.select(F.col("id").alias("parent"), F.col("parent").alias("second"))
-        up = _up(forest_rows, second, hot)
+        up = _up(forest.select("id", "parent", "degree"), second, hot)
         if hot is None:
             # two doublings a job: three steps up
             third = forest.select(F.col("id").alias("second"), F.col("parent").alias("third"))
@@ -89,8 +88,8 @@ def connected_groups(links: DataFrame) -> DataFrame:
         _, hot = _hot_parents(hooks, total)
         mutual = (F.col("back") == F.col("id")) & (F.col("id") < F.col("parent"))
         back = hooks.select(F.col("id").alias("parent"), F.col("parent").alias("back"))
-        forest = _up(hooks, back, hot).select("id", F.when(mutual, F.col("id")).otherwise(F.col("parent")).alias("parent"), "degree", F.lit(True).alias("moved"))
-        roots, hot = _collapse(cut(forest), total)
+        forest = _up(hooks, back, hot).select("id", F.when(mutual, F.col("id")).otherwise(F.col("parent")).alias("parent"), "degree")
+        roots, hot = _collapse(cut(forest), total, hot)
         forget(hooks)
         maps.append((roots, hot))
         relabelled = _relabel(_relabel(edges, "u", roots, total), "v", roots, total).filter("u != v")
