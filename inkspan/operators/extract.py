@@ -1,4 +1,4 @@
-"""Indicator extraction: one array expression per type over the text, exploded once, deduplicated by one shuffle.
+"""Indicator extraction: one array expression per type over the text, deduplicated within it and exploded once; nothing is shuffled.
 
 Defined results of odd input: null and empty texts have no indicators; long texts are read whole; repeated rows are extracted each; an indicator
 found several times in a text counts once, with its surest and then first match.
@@ -57,6 +57,11 @@ def domains(text: Column, suffixes: tuple[str, ...] = SUFFIXES) -> Column:
     return T.let(F.struct(named.alias("named"), within.alias("within")), lambda s: F.filter(s["named"], lambda r: ~F.array_contains(s["within"], r["normalized_value"])))
 
 
+def ip_candidates(text: Column) -> Column:
+    """array of (value, start, public) of everything that looks like an IPv4 address, with the verdict on it."""
+    return F.transform(_found(text, "ip_address"), lambda m: F.struct(m["value"].alias("value"), m["start"].alias("start"), T.public_ip(m["value"]).alias("public")))
+
+
 def ips(text: Column) -> Column:
     version = F.create_map(F.lit("ip_version"), F.lit("4"))
     return _as_indicators(_found(text, "ip_address"), "ip_address", lambda v: v, lambda r: T.public_ip(r["value"]), meta=lambda _: version)
@@ -115,22 +120,32 @@ def all_indicators(text: Column, suffixes: tuple[str, ...] = SUFFIXES) -> Column
     return F.concat(*parts)
 
 
+def surest(found: Column) -> Column:
+    """Of an array of indicators, for each (type, normalized_value) the surest, then the first match."""
+
+    def pick(all_: Column) -> Column:
+        keyed = F.transform(all_, lambda x, i: F.struct(x["type"].alias("type"), x["normalized_value"].alias("name"), (-x["confidence"]).alias("unsure"), x["start"].alias("start"), i.alias("i")))
+        return T.let(F.array_sort(keyed), lambda order: F.transform(F.filter(order, lambda x, k: _new(order, x, k)), lambda x: F.get(all_, x["i"])))
+
+    return T.let(found, pick)
+
+
+def _new(order: Column, x: Column, k: Column) -> Column:
+    before = F.get(order, k - 1)
+    return (k == 0) | (before["type"] != x["type"]) | ~before["name"].eqNullSafe(x["name"])
+
+
 def extract(rows: DataFrame, key: str, text: str, found: Column | None = None, window: int = 100, dedup: bool = True, source: str | None = None) -> DataFrame:
     """(key, type, value, normalized_value, start, confidence, metadata, context) of the indicators in a text column.
 
-    dedup keeps one row per (key, type, normalized_value): the surest, then the first. source names a column whose value is added
+    dedup keeps of each row one per (type, normalized_value): the surest, then the first. source names a column whose value is added
     to the metadata as source_document.
     """
     array = all_indicators(F.col(text)) if found is None else found
     extra = [F.col(source).cast("string").alias("_source")] if source else []
-    flat = rows.select(F.col(key), F.col(text).alias("_text"), *extra, F.explode(array).alias("x")).select(F.col(key), "_text", *(["_source"] if source else []), "x.*")
+    flat = rows.select(F.col(key), F.col(text).alias("_text"), *extra, F.explode(surest(array) if dedup else array).alias("x")).select(F.col(key), "_text", *(["_source"] if source else []), "x.*")
     metadata = F.map_concat("metadata", F.create_map(F.lit("source_document"), F.col("_source"))) if source else F.col("metadata")
-    flat = flat.select(key, "type", "value", "normalized_value", "start", "confidence", metadata.alias("metadata"), T.context(F.col("_text"), F.col("start"), F.length("value"), window).alias("context"))
-    if not dedup:
-        return flat
-    best = F.struct(F.col("confidence"), -F.col("start"))
-    picked = flat.groupBy(key, "type", "normalized_value").agg(*[F.max_by(c, best).alias(c) for c in ("value", "start", "confidence", "metadata", "context")])
-    return picked.select(key, "type", "value", "normalized_value", "start", "confidence", "metadata", "context")
+    return flat.select(key, "type", "value", "normalized_value", "start", "confidence", metadata.alias("metadata"), T.context(F.col("_text"), F.col("start"), F.length("value"), window).alias("context"))
 
 
 def with_ids(found: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from inkspan.functions import text as T
-from inkspan.functions.patterns import HASHES, LOOSE, PATTERNS, RESERVED_IPV4, SOCIAL, SUFFIXES, WHITELIST, CALLING_CODES
+from inkspan.functions.patterns import CALLING_CODES, CRYPTO, HASHES, LOOSE, PATTERNS, RESERVED_IPV4, SOCIAL, SUFFIXES, TRACKING, WHITELIST
 from inkspan.operators import extract as X
 from inkspan.skew import spread
 from inkspan.sources.tables import table
@@ -28,11 +28,13 @@ def extract_url(spark, folder):
 
 
 def extract_domain(spark, folder):
-    return _values(spark, folder, X.domains(F.col("context"), HOSTS)).drop("start")
+    return _values(spark, folder, X.domains(F.col("context"), HOSTS))
 
 
 def extract_ip_address(spark, folder):
-    return _values(spark, folder, X.ips(F.col("context")))
+    """Everything that looks like an IPv4 address, with the verdict on it."""
+    flat = _contexts(spark, folder).select("mention_id", F.explode(X.ip_candidates(F.col("context"))).alias("x"))
+    return flat.select("mention_id", "x.value", "x.start", "x.public")
 
 
 def extract_email(spark, folder):
@@ -40,7 +42,7 @@ def extract_email(spark, folder):
 
 
 def extract_phone(spark, folder):
-    return _values(spark, folder, X.phones(F.col("context"))).drop("start")
+    return _values(spark, folder, X.phones(F.col("context")))
 
 
 def extract_hashes(spark, folder):
@@ -48,7 +50,7 @@ def extract_hashes(spark, folder):
 
 
 def extract_social(spark, folder):
-    return _values(spark, folder, F.concat(*[X.social(F.col("context"), k) for k in SOCIAL])).drop("start")
+    return _values(spark, folder, F.concat(*[X.social(F.col("context"), k) for k in SOCIAL]))
 
 
 def extract_tracking(spark, folder):
@@ -72,16 +74,18 @@ def document_indicators(spark, folder):
     return X.with_ids(X.extract(texts, "doc_id", "text", X.all_indicators(F.col("text"), HOSTS))).select("doc_id", "indicator_id", "type", "value", "normalized_value", "start", "confidence", "context")
 
 
+def _unique(spark, folder):
+    """Every indicator of every mention's context once."""
+    return _contexts(spark, folder).select("mention_id", F.explode(X.surest(X.all_indicators(F.col("context"), HOSTS))).alias("x")).select("mention_id", "x.type", "x.normalized_value", "x.confidence").distinct()
+
+
 def extraction_statistics(spark, folder):
-    found = _contexts(spark, folder).select("mention_id", F.explode(F.concat(X.urls(F.col("context")), X.emails(F.col("context")), *[X.hashes(F.col("context"), k) for k in HASHES])).alias("x"))
-    unique = found.select("mention_id", "x.type", "x.normalized_value", "x.confidence").distinct()
-    return X.statistics(unique)
+    return X.statistics(_unique(spark, folder))
 
 
 def top_extracted(spark, folder):
     """Extracted indicators by the number of mentions whose context holds them."""
-    found = _contexts(spark, folder).select("mention_id", F.explode(F.concat(X.ips(F.col("context")), X.emails(F.col("context")), *[X.hashes(F.col("context"), k) for k in HASHES])).alias("x"))
-    unique = X.with_ids(found.select("mention_id", "x.type", "x.normalized_value").distinct())
+    unique = X.with_ids(_unique(spark, folder).select("mention_id", "type", "normalized_value").distinct())
     counts = unique.groupBy("indicator_id", "type", "normalized_value").agg(F.count(F.lit(1)).alias("mentions"))
     return counts.orderBy(F.desc("mentions"), "indicator_id").limit(100)
 
@@ -91,10 +95,9 @@ def loose_counts(spark, folder):
 
 
 def url_contexts(spark, folder):
-    """The window of 20 characters around the first URL of each context."""
-    first = F.get(X.urls(F.col("context")), 0)
-    rows = _contexts(spark, folder).select("mention_id", "context", first.alias("x")).filter("x IS NOT NULL")
-    return rows.select("mention_id", T.context(F.col("context"), F.col("x.start"), F.length("x.value"), 20).alias("around"))
+    """The window of 20 characters around every URL of each context."""
+    rows = _contexts(spark, folder).select("mention_id", "context", F.explode(X.urls(F.col("context"))).alias("x"))
+    return rows.select("mention_id", "x.start", T.context(F.col("context"), F.col("x.start"), F.length("x.value"), 20).alias("around"))
 
 
 QUERIES = {f.__name__: f for f in (
@@ -111,53 +114,99 @@ def _regex(kind: str) -> str:
     return _quoted(("(?i)" if PATTERNS[kind].ignore_case else "") + PATTERNS[kind].regex)
 
 
-def _matched(kind: str, more: str = "") -> str:
-    return f"SELECT mention_id, context, '{kind}' AS type, unnest(regexp_extract_all(context, {_regex(kind)})) AS value {more} FROM indicator_mentions WHERE context IS NOT NULL"
-
-
 def _number(ip: str) -> int:
     a, b, c, d = map(int, ip.split("."))
     return ((a * 256 + b) * 256 + c) * 256 + d
 
 
-# the first place of a value is its start where it occurs once; contexts hold each value once
-_START = "strpos(context, value) - 1 AS start"
-_PUBLIC = " AND NOT (" + " OR ".join(f"n BETWEEN {_number(a)} AND {_number(b)}" for a, b in RESERVED_IPV4) + ")"
+# the pieces between the matches give their places
+_STARTS = "list_transform(range(1, len(found) + 1), lambda k: coalesce(list_sum(list_transform(pieces[1:k], lambda p: length(p))), 0)::BIGINT + coalesce(list_sum(list_transform(found[1:k - 1], lambda f: length(f))), 0)::BIGINT)"
+
+
+def _matched(kind: str, rows: str = "contexts") -> str:
+    """(id, text, type, value, start) of every match of a type in the rows, which are (id, text)."""
+    return f"""SELECT id, text, '{kind}' AS type, unnest(found) AS value, unnest({_STARTS})::INT AS start
+      FROM (SELECT id, text, regexp_extract_all(text, {_regex(kind)}) AS found, string_split_regex(text, {_regex(kind)}) AS pieces FROM {rows})"""
+
+
+_PUBLIC = "NOT (" + " OR ".join(f"n BETWEEN {_number(a)} AND {_number(b)}" for a, b in RESERVED_IPV4) + ")"
 _OCTETS = "list_reduce(list_transform(string_split(value, '.'), lambda p: p::BIGINT), lambda a, p: a * 256 + p)"
+_VALID_IP = "regexp_matches(value, '^(?:0|[1-9][0-9]{0,2})(?:\\.(?:0|[1-9][0-9]{0,2})){3}$') AND list_max(list_transform(string_split(value, '.'), lambda p: p::BIGINT)) <= 255"
 _URL_NORMAL = "regexp_replace(url_decode(regexp_replace(regexp_replace(lower(value), '%([^0-9a-f]|$|[0-9a-f]([^0-9a-f]|$))', '%25\\1', 'g'), '\\+', '%2B', 'g')), '/$', '')"
+_HOST = "lower(regexp_extract(value, '^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)', 1))"
 _ENDS = "|".join(s.replace(".", r"\.") for s in sorted(HOSTS, key=len, reverse=True))
 _CODES = "|".join(sorted(CALLING_CODES, key=len, reverse=True))
-_SOCIAL = " UNION ALL ".join(_matched(k) for k in SOCIAL)
-_HASHED = " UNION ALL ".join(_matched(k) for k in HASHES)
 _HASH_OK = "NOT regexp_matches(lower(value), '^(" + "|".join(f"{c}+" for c in "0123456789abcdef") + ")$')"
 _EMAIL_OK = """length(string_split(value, '@')[1]) BETWEEN 1 AND 64 AND NOT regexp_matches(string_split(value, '@')[1], '^\\.|\\.$|\\.\\.')
   AND regexp_matches(string_split(value, '@')[2], '^(?:[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?\\.)+[A-Za-z]{2,63}$') AND length(value) <= 254"""
-_IP_OK = "regexp_matches(value, '^(?:0|[1-9][0-9]{0,2})(?:\\.(?:0|[1-9][0-9]{0,2})){3}$')" + _PUBLIC
-_IPS = f"SELECT * FROM (SELECT *, {_OCTETS} AS n FROM ({_matched('ip_address')})) WHERE {_IP_OK}"
+_DOMAIN_OK = f"""lower(value) NOT IN ({', '.join(map(_quoted, WHITELIST))}) AND length(value) <= 253
+  AND regexp_matches(lower(value), '\\.(?:{_ENDS})$') AND length(value) - length(replace(value, '.', '')) <= 10"""
+_DIGITS = "regexp_replace(value, '[^0-9]', '', 'g')"
+_PHONE_OK = f"CASE WHEN value LIKE '+%' THEN regexp_matches({_DIGITS}, '^(?:{_CODES})[0-9]+$') AND length({_DIGITS}) BETWEEN 8 AND 15 ELSE length({_DIGITS}) >= 7 END"
+_ACCOUNT = "CASE WHEN type = 'telegram' THEN string_split(string_split(lower(value), 't.me/')[2], '/')[1] ELSE lower(value) END"
+
+
+def _judged(kind: str, rows: str = "contexts") -> str:
+    """(id, text, type, value, start, normalized_value, confidence) of the indicators of a type."""
+    matched = f"FROM ({_matched(kind, rows)})"
+    sure = f"{PATTERNS[kind].confidence}::DOUBLE"
+    if kind == "url":
+        return f"SELECT *, {_URL_NORMAL} AS normalized_value, {sure} AS confidence {matched} WHERE {_HOST} <> ''"
+    if kind == "domain":
+        hosts = f"SELECT DISTINCT id, {_HOST} AS host FROM ({_matched('url', rows)})"
+        return f"SELECT x.*, lower(value) AS normalized_value, {sure} AS confidence FROM ({_matched(kind, rows)}) x LEFT JOIN ({hosts}) u ON u.id = x.id AND u.host = lower(x.value) WHERE u.id IS NULL AND {_DOMAIN_OK}"
+    if kind == "ip_address":
+        return f"SELECT id, text, type, value, start, value AS normalized_value, {sure} AS confidence FROM (SELECT *, {_OCTETS} AS n {matched} WHERE {_VALID_IP}) WHERE {_PUBLIC}"
+    if kind == "email":
+        return f"SELECT *, lower(value) AS normalized_value, {sure} AS confidence {matched} WHERE {_EMAIL_OK}"
+    if kind == "phone":
+        return f"SELECT *, CASE WHEN value LIKE '+%' THEN '+' || {_DIGITS} ELSE {_DIGITS} END AS normalized_value, CASE WHEN value LIKE '+%' THEN 1.0 ELSE 0.7 END::DOUBLE AS confidence {matched} WHERE {_PHONE_OK}"
+    if kind in HASHES:
+        return f"SELECT *, lower(value) AS normalized_value, {sure} AS confidence {matched} WHERE {_HASH_OK}"
+    if kind in SOCIAL:
+        return f"SELECT *, {_ACCOUNT} AS normalized_value, {sure} AS confidence {matched}"
+    return f"SELECT *, value AS normalized_value, {sure} AS confidence {matched}"
+
+
+_KINDS = ["url", "domain", "ip_address", "email", "phone", *HASHES, *SOCIAL, *TRACKING, *CRYPTO]
+_CONTEXTS = "WITH contexts AS (SELECT mention_id AS id, context AS text FROM indicator_mentions WHERE context IS NOT NULL) "
+
+
+def _of(*kinds: str) -> str:
+    return _CONTEXTS + "SELECT id AS mention_id, type, value, normalized_value, start FROM (" + " UNION ALL ".join(_judged(k) for k in kinds) + ")"
+
+
+def _best(rows: str) -> str:
+    """Of every indicator of a row of (id, text) the surest, then first match."""
+    every = " UNION ALL ".join(_judged(k, rows) for k in _KINDS)
+    return f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id, type, normalized_value ORDER BY confidence DESC, start) AS rn FROM ({every})) WHERE rn = 1"
+
+
+def _around(window: int) -> str:
+    a, b = f"greatest(0, start - {window})", f"least(length(text), start + length(value) + {window})"
+    blanks = r"[\s\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
+    return f"CASE WHEN {a} > 0 THEN '...' ELSE '' END || trim(regexp_replace(substring(text, {a} + 1, {b} - {a}), '{blanks}', ' ', 'g')) || CASE WHEN {b} < length(text) THEN '...' ELSE '' END"
+
+
+_COLUMNS = f"md5(type || ':' || normalized_value) AS indicator_id, type, value, normalized_value, start, confidence, {_around(100)} AS context"
 
 SQL = {
-    "extract_url": f"SELECT mention_id, type, value, {_URL_NORMAL} AS normalized_value, {_START} FROM ({_matched('url')})",
-    "extract_domain": f"""WITH x AS ({_matched('domain')}), u AS (SELECT mention_id, lower(regexp_extract(value, '^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)', 1)) AS host FROM ({_matched('url')}))
-      SELECT mention_id, type, value, lower(value) AS normalized_value FROM x WHERE lower(value) NOT IN ({', '.join(map(_quoted, WHITELIST))}) AND length(value) <= 253
-      AND regexp_matches(lower(value), '\\.(?:{_ENDS})$') AND length(value) - length(replace(value, '.', '')) <= 10
-      AND NOT EXISTS (SELECT 1 FROM u WHERE u.mention_id = x.mention_id AND u.host = lower(x.value))""",
-    "extract_ip_address": f"SELECT mention_id, type, value, value AS normalized_value, {_START} FROM ({_IPS})",
-    "extract_email": f"SELECT mention_id, type, value, lower(value) AS normalized_value, {_START} FROM ({_matched('email')}) WHERE {_EMAIL_OK}",
-    "extract_phone": f"""WITH x AS (SELECT *, regexp_replace(value, '[^0-9]', '', 'g') AS digits FROM ({_matched('phone')}))
-      SELECT mention_id, type, value, CASE WHEN value LIKE '+%' THEN '+' || digits ELSE digits END AS normalized_value FROM x
-      WHERE CASE WHEN value LIKE '+%' THEN regexp_matches(digits, '^(?:{_CODES})[0-9]+$') AND length(digits) BETWEEN 8 AND 15 ELSE length(digits) >= 7 END""",
-    "extract_hashes": f"SELECT mention_id, type, value, lower(value) AS normalized_value, {_START} FROM ({_HASHED}) WHERE {_HASH_OK}",
-    "extract_social": f"SELECT mention_id, type, value, CASE WHEN type = 'telegram' THEN string_split(string_split(lower(value), 't.me/')[2], '/')[1] ELSE lower(value) END AS normalized_value FROM ({_SOCIAL})",
-    "extract_tracking": f"SELECT mention_id, type, value, value AS normalized_value, {_START} FROM ({_matched('google_analytics')} UNION ALL {_matched('adsense')})",
-    "extract_crypto": f"SELECT mention_id, type, value, value AS normalized_value, {_START} FROM ({_matched('bitcoin')} UNION ALL {_matched('ethereum')})",
-    "extraction_statistics": f"""WITH x AS (SELECT DISTINCT mention_id, type, {_URL_NORMAL} AS v, 0.95 AS confidence FROM ({_matched('url')})
-      UNION SELECT mention_id, type, lower(value), 1.0 FROM ({_matched('email')}) WHERE {_EMAIL_OK} UNION SELECT mention_id, type, lower(value), 1.0 FROM ({_HASHED}) WHERE {_HASH_OK})
-      SELECT type, count(*) AS total, count(*) FILTER (confidence >= 0.9) AS high, count(*) FILTER (confidence >= 0.7 AND confidence < 0.9) AS medium, count(*) FILTER (confidence < 0.7) AS low FROM x GROUP BY 1""",
-    "top_extracted": f"""WITH x AS (SELECT DISTINCT mention_id, type, value AS v FROM ({_IPS}) UNION SELECT mention_id, type, lower(value) FROM ({_matched('email')}) WHERE {_EMAIL_OK}
-      UNION SELECT mention_id, type, lower(value) FROM ({_HASHED}) WHERE {_HASH_OK})
-      SELECT md5(type || ':' || v) AS indicator_id, type, v AS normalized_value, count(*) AS mentions FROM x GROUP BY type, v ORDER BY mentions DESC, indicator_id LIMIT 100""",
+    "extract_url": _of("url"),
+    "extract_domain": _of("domain"),
+    "extract_ip_address": _CONTEXTS + f"""SELECT id AS mention_id, value, start, CASE WHEN {_VALID_IP} THEN {_PUBLIC} ELSE FALSE END AS public
+      FROM (SELECT *, CASE WHEN length(value) <= 15 THEN {_OCTETS} END AS n FROM ({_matched('ip_address')}))""",
+    "extract_email": _of("email"),
+    "extract_phone": _of("phone"),
+    "extract_hashes": _of(*HASHES),
+    "extract_social": _of(*SOCIAL),
+    "extract_tracking": _of("google_analytics", "adsense"),
+    "extract_crypto": _of("bitcoin", "ethereum"),
+    "page_indicators": f"WITH texts AS (SELECT page_id AS id, text FROM pdf_pages WHERE text IS NOT NULL) SELECT id AS page_id, {_COLUMNS}, document_id AS source_document FROM ({_best('texts')}) JOIN (SELECT page_id, document_id FROM pdf_pages) ON page_id = id",
+    "document_indicators": f"WITH texts AS (SELECT doc_id AS id, text FROM documents WHERE text IS NOT NULL) SELECT id AS doc_id, {_COLUMNS} FROM ({_best('texts')})",
+    "extraction_statistics": _CONTEXTS + f"""SELECT type, count(*) AS total, count(*) FILTER (confidence >= 0.9) AS high, count(*) FILTER (confidence >= 0.7 AND confidence < 0.9) AS medium, count(*) FILTER (confidence < 0.7) AS low
+      FROM ({_best('contexts')}) GROUP BY 1""",
+    "top_extracted": _CONTEXTS + f"""SELECT md5(type || ':' || normalized_value) AS indicator_id, type, normalized_value, count(*) AS mentions FROM (SELECT DISTINCT id, type, normalized_value FROM ({_best('contexts')}))
+      GROUP BY type, normalized_value ORDER BY mentions DESC, indicator_id LIMIT 100""",
     "loose_counts": "SELECT DISTINCT chunk_id, " + " + ".join(f"coalesce(len(regexp_extract_all(content, {_quoted('(?i)' + r)})), 0)" for r in LOOSE) + " AS n FROM document_chunks WHERE chunk_id IS NOT NULL",
-    "url_contexts": f"""WITH x AS (SELECT mention_id, context, regexp_extract_all(context, {_regex('url')})[1] AS value FROM indicator_mentions WHERE context IS NOT NULL),
-      y AS (SELECT mention_id, context, greatest(0, strpos(context, value) - 21) AS a, least(length(context), strpos(context, value) - 1 + length(value) + 20) AS b FROM x WHERE value IS NOT NULL)
-      SELECT mention_id, CASE WHEN a > 0 THEN '...' ELSE '' END || trim(regexp_replace(substring(context, a + 1, b - a), '\\s+', ' ', 'g')) || CASE WHEN b < length(context) THEN '...' ELSE '' END AS around FROM y""",
+    "url_contexts": _CONTEXTS + f"SELECT id AS mention_id, start, {_around(20)} AS around FROM ({_judged('url')})",
 }
