@@ -12,6 +12,7 @@ from inkspan.operators import vectors as V
 from inkspan.operators.upsert import latest, merge_counts, upsert
 from inkspan.plans import catalog as C
 from inkspan.plans import router
+from inkspan.skew import cut
 from inkspan.sources.tables import table
 
 
@@ -39,35 +40,50 @@ class Engine:
         return {"indicators": merged, "mentions": latest(mentions, ["indicator_id", "document_id", "position"], ["created_at", "page_number"])}
 
     def search(self, query: str, limit: int = 20) -> DataFrame:
-        """(score, type, id, content) of a query, by the path its words route it to."""
+        """(score, type, id, content, source, metadata, highlights) of a query, by the path its words route it to."""
         row = router.routed(self.spark.createDataFrame([(query,)], "query string")).first()
         if row["path"] == "indicator":
-            return R.search(self.indicators, None, row["indicator_type"], limit).select(F.lit(1.0).alias("score"), F.lit("indicator").alias("type"), F.col("indicator_id").alias("id"), F.col("value").alias("content"))
+            found = R.search(self.indicators, None, row["indicator_type"], limit)
+            return self._results(found, F.lit(1.0), "indicator", "indicator_id", "value", F.lit("indicators"), {"indicator_type": "type", "occurrence_count": "occurrence_count"}, query)
         if row["path"] == "graph":
-            if row["node_id"] is None:
-                return self.spark.createDataFrame([], "score double, type string, id string, content string")
-            near = self.relationships(row["node_id"], row["hops"], limit)
-            return near.select((1 / (F.col("distance") + 1)).alias("score"), F.lit("relationship").alias("type"), F.col("indicator_id").alias("id"), F.col("value").alias("content"))
+            near = self.relationships(row["node_id"] or "", row["hops"], limit)
+            return self._results(near, 1 / (F.col("distance") + 1), "relationship", "indicator_id", "value", F.lit("relationships"), {"distance": "distance", "indicator_type": "type"}, query)
         if row["path"] == "pattern":
             clusters = G.ego_clusters(self.mentions, 2, 3, 10)
-            return clusters.select((F.col("size") / 100).alias("score"), F.lit("cluster").alias("type"), F.col("center").alias("id"), F.col("size").cast("string").alias("content"))
-        return self.semantic(query, limit).select("score", F.lit("chunk").alias("type"), "id", "content")
+            return self._results(clusters, F.col("size") / 100, "cluster", "center", "center", F.lit("mentions"), {"size": "size"}, query)
+        return self._results(self.semantic(query, limit), F.col("score"), "chunk", "id", "content", F.col("document_id"), {"page_numbers": "page_numbers", "chunk_index": "chunk_index"}, query)
+
+    def _results(self, rows: DataFrame, score, kind: str, key: str, content: str, source, metadata: dict[str, str], query: str) -> DataFrame:
+        """Rows in the one form of all results; highlights are the query's words that the content holds."""
+        words = F.array_distinct(F.filter(F.split(F.lower(F.lit(query)), r"\W+"), lambda w: F.length(w) > 2))
+        held = F.filter(words, lambda w: F.contains(F.lower(F.col(content)), w))
+        pairs = F.create_map(*[x for name, column in metadata.items() for x in (F.lit(name), F.col(column).cast("string"))])
+        return rows.select(score.cast("double").alias("score"), F.lit(kind).alias("type"), F.col(key).alias("id"), F.col(content).alias("content"), source.alias("source"), pairs.alias("metadata"), held.alias("highlights"))
 
     def semantic(self, query: str, limit: int = 10, threshold: float = 0.5, dimension: int = 384) -> DataFrame:
-        """(score, id, content) of the chunks most similar to a query, by hashed word vectors, above the threshold."""
+        """(score, id, content, document_id, chunk_index, page_numbers) of the chunks most similar to a query, by hashed word vectors, above the threshold."""
         wanted = V.hashed_embedding(F.lit(query), dimension)
-        rows = self.chunks.filter("content IS NOT NULL").select(F.col("chunk_id").alias("id"), "content", V.cosine(V.hashed_embedding(F.col("content"), dimension), wanted).alias("score"))
+        rows = self.chunks.filter("content IS NOT NULL").select(F.col("chunk_id").alias("id"), "content", "document_id", "chunk_index", "page_numbers", V.cosine(V.hashed_embedding(F.col("content"), dimension), wanted).alias("score"))
         return rows.filter(F.col("score") > threshold).orderBy(F.desc("score"), "id").limit(limit)
 
     def lookup(self, kind: str, limit: int = 100) -> DataFrame:
         return R.by_type(self.indicators, kind, limit)
 
-    def context(self, indicator_id: str) -> DataFrame:
-        """One row with an indicator, its counts, and its campaigns with their actors."""
-        own = self.indicators.filter(F.col("indicator_id") == indicator_id)
-        counts = R.context_counts(own, self.mentions.filter(F.col("indicator_id") == indicator_id), self.links).drop("value")
+    def context(self, indicator_id: str, limit: int = 20) -> DataFrame:
+        """One row with an indicator, its counts, its campaigns with their actors, its mentions with their documents (surest first) and the indicators linked to it; none if it is unknown."""
+        one = self.spark.createDataFrame([(indicator_id,)], "id string")
+        own = C.indicators(self.spark, self.folder, only=one)
+        mentions = C.mentions(self.spark, self.folder, only=one)
+        counts = R.context_counts(own, mentions, self.links).drop("value")
         campaigns = R.campaigns_with_actors(self.links).filter(F.col("indicator_id") == indicator_id).groupBy("indicator_id").agg(F.collect_list(F.struct("campaign", "actors")).alias("campaigns"))
-        return own.join(counts, "indicator_id").join(campaigns, "indicator_id", "left")
+        told = R.with_documents(mentions, self.documents).orderBy(F.desc_nulls_last("confidence"), "mention_id").limit(limit)
+        listed = told.groupBy("indicator_id").agg(F.collect_list(F.struct("document_id", "title", "context", "confidence", "page_number", "position")).alias("mentions"))
+        near = R.related(self.links, self.indicators, indicator_id, limit, directed=False).select(F.struct("indicator_id", "indicator_type", "value", "score").alias("r"))
+        related = near.agg(F.collect_list("r").alias("related")).withColumn("indicator_id", F.lit(indicator_id))
+        joined = own
+        for part in (counts, campaigns, listed, related):
+            joined = joined.join(part, "indicator_id", "left")
+        return joined
 
     def relationships(self, indicator_id: str, hops: int = 2, limit: int = 50) -> DataFrame:
         """Indicators within 1 to 5 hops over links and shared documents, nearest and most frequent first."""
@@ -76,8 +92,23 @@ class Engine:
         named = near.select(F.substring("id", 3, 1000).alias("indicator_id"), "distance").join(self.indicators, "indicator_id")
         return named.select("indicator_id", "type", "value", "distance", "occurrence_count").orderBy("distance", F.desc_nulls_last("occurrence_count"), "indicator_id").limit(limit)
 
-    def network(self, center: str, hops: int = 1) -> tuple[DataFrame, DataFrame]:
-        return G.subgraph(self.links.select(F.col("source").alias("u"), F.col("target").alias("v")), center, min(3, max(1, hops)))
+    def network(self, center: str, hops: int = 1, limit: int = 100) -> tuple[DataFrame, DataFrame]:
+        """(nodes, edges) around an indicator, campaign or actor within 1 to 3 hops, over the `limit` nearest links: nodes as (id, label, properties, distance), edges as
+        (source, target, type, properties). Empty if nothing is linked to it."""
+        links = self.links.select(F.col("source").alias("u"), F.col("target").alias("v"), "type", "score")
+        near = G.neighbourhood(links, center, min(3, max(1, hops)))
+        ends = links.join(near.select(F.col("id").alias("u"), F.col("distance").alias("from_u")), "u").join(near.select(F.col("id").alias("v"), F.col("distance").alias("from_v")), "v")
+        order = (F.least("from_u", "from_v") + F.greatest("from_u", "from_v"), "u", "v", "type")
+        edges = cut(ends.orderBy(*order).limit(min(500, max(10, limit))))
+        touched = edges.select(F.explode(F.array(F.struct(F.col("u").alias("id"), F.col("from_u").alias("distance")), F.struct(F.col("v").alias("id"), F.col("from_v").alias("distance")))).alias("n")).select("n.*").distinct()
+        campaign, actor = self.links.filter("type = 'PART_OF_CAMPAIGN'").select(F.col("target").alias("id")), self.links.filter("type = 'ATTRIBUTED_TO'").select(F.col("target").alias("id"))
+        kinds = campaign.distinct().withColumn("kind", F.lit("Campaign")).unionByName(actor.distinct().withColumn("kind", F.lit("ThreatActor")))
+        label = touched.join(kinds.groupBy("id").agg(F.min("kind").alias("kind")), "id", "left")
+        known = label.join(self.indicators.withColumnRenamed("indicator_id", "id"), "id", "left")
+        names = F.map_filter(F.create_map(*[x for c in ("type", "value", "first_seen", "last_seen", "occurrence_count") for x in (F.lit(c), F.col(c).cast("string"))]), lambda _, v: v.isNotNull())
+        nodes = known.select("id", F.coalesce("kind", F.lit("Indicator")).alias("label"), names.alias("properties"), "distance")
+        scored = F.map_filter(F.create_map(F.lit("score"), F.col("score").cast("string")), lambda _, v: v.isNotNull())
+        return nodes, edges.select(F.col("u").alias("source"), F.col("v").alias("target"), "type", scored.alias("properties"))
 
     def campaign(self, name: str) -> DataFrame:
         return R.campaign_members(self.links, self.indicators, name)
@@ -97,7 +128,11 @@ class Engine:
         return R.timeline(self.mentions, indicator_id, days)
 
     def statistics(self) -> DataFrame:
-        return R.store_statistics(self.documents, self.indicators, self.mentions, self.chunks)
+        """(what, n): rows of the tables, indicators by type, links by type, campaigns and actors."""
+        stored = R.store_statistics(self.documents, self.indicators, self.mentions, self.chunks)
+        links = self.links.groupBy(F.concat(F.lit("links:"), "type").alias("what")).agg(F.count(F.lit(1)).alias("n"))
+        named = [self.links.filter(F.col("type") == kind).agg(F.count_distinct("target").alias("n")).select(F.lit(what).alias("what"), "n") for what, kind in (("campaigns", "PART_OF_CAMPAIGN"), ("actors", "ATTRIBUTED_TO"))]
+        return stored.unionByName(links).unionByName(named[0]).unionByName(named[1])
 
     def pages(self) -> DataFrame:
         return table(self.spark, self.folder, "pdf_pages")

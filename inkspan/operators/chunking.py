@@ -11,7 +11,9 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pandas as pd
@@ -131,32 +133,24 @@ def boundaries(vectors: np.ndarray) -> set[int]:
 
 
 def pack(parts: list[str], cuts: set[int], largest: int = LARGEST, smallest: int = SMALLEST, overlap: int = OVERLAP) -> list[tuple[str, int]]:
-    """(content, start) of chunks of sentences: full before the largest size is passed (with overlap), or at a cut once the smallest size is reached."""
+    """(content, start) of chunks of sentences, start being the place of the first one among the sentences joined by blanks.
+
+    With running sums of the sentences' words, every end follows by bisection: a chunk ends with the first cut sentence by which it has `smallest` words, or else
+    before it would pass `largest`, in which case the next chunk goes back by the sentences that fit into `overlap` words. A chunk has a new sentence at least.
+    """
+    words = [0, *accumulate(len(s.split()) for s in parts)]
+    places = [0, *accumulate(len(s) + 1 for s in parts)]
+    at_cuts = sorted(cuts)
     chunks: list[tuple[str, int]] = []
-    held: list[str] = []
-    sizes: list[int] = []
-    start = 0
-    for i, sentence in enumerate(parts):
-        size = len(sentence.split())
-        if held and sum(sizes) + size > largest:
-            text = " ".join(held)
-            chunks.append((text, start))
-            kept = len(held)
-            tokens = 0
-            while kept > 0 and tokens + sizes[kept - 1] <= overlap:
-                tokens += sizes[kept - 1]
-                kept -= 1
-            held, sizes = held[kept:], sizes[kept:]
-            start += len(text) - len(" ".join(held)) if overlap > 0 else len(text) + 1
-        held.append(sentence)
-        sizes.append(size)
-        if i in cuts and sum(sizes) >= smallest:
-            text = " ".join(held)
-            chunks.append((text, start))
-            start += len(text) + 1
-            held, sizes = [], []
-    if held:
-        chunks.append((" ".join(held), start))
+    first = new = 0
+    while new < len(parts):
+        full = max(new + 1, bisect_right(words, words[first] + largest) - 1)
+        enough = bisect_left(words, words[first] + smallest) - 1
+        later = bisect_left(at_cuts, max(new, enough))
+        cut = at_cuts[later] + 1 if later < len(at_cuts) else len(parts)
+        end = min(cut, full)
+        chunks.append((" ".join(parts[first:end]), places[first]))
+        first, new = max(first, bisect_left(words, words[end] - overlap)) if full < cut else end, end
     return chunks
 
 

@@ -72,3 +72,14 @@ def delete_where(rows: DataFrame, key: str, gone: DataFrame) -> DataFrame:
 def update_where(rows: DataFrame, condition, **new) -> DataFrame:
     """rows with the given columns set where the condition holds."""
     return rows.withColumns({c: F.when(condition, v).otherwise(F.col(c)) for c, v in new.items()})
+
+
+def merge_named(stored: DataFrame, fresh: DataFrame) -> DataFrame:
+    """Campaigns or actors (name, properties, updated_at): one row per name; a name met again gets the new properties, the last ones of fresh."""
+    named = fresh.filter(F.btrim("name") != "").withColumn("name", F.btrim("name"))
+    return upsert(stored, latest(named, ["name"], ["updated_at"], loose=[]), ["name"])
+
+
+def cleared(rows: DataFrame) -> DataFrame:
+    """The empty table that is left of a store once it is cleared: to be written over it."""
+    return rows.limit(0)

@@ -5,6 +5,10 @@ Null input is never valid and has a null value.
 
 from __future__ import annotations
 
+import re
+from json import dumps, loads
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -114,6 +118,48 @@ def redact(values: Column) -> Column:
     return F.transform_values(values, masked)
 
 
+def redacted_json(json: Column) -> Column:
+    """JSON with the values of secret keys masked at every level as in redact(), whatever kind they are; texts that are no JSON give null."""
+    return _nested(json, True)
+
+
+def sanitized_json(json: Column) -> Column:
+    """JSON objects of at most 10,000 characters with every text in them, keys too, freed of control characters and of blanks around it; others give null."""
+    return F.when(metadata(json)["valid"], _nested(json, False))
+
+
+def _nested(json: Column, hide: bool) -> Column:
+    """Objects nest to any depth, which no expression walks: Arrow batches through the json module."""
+    secret = re.compile("|".join(SECRETS))
+    control = re.compile(r"[\x00-\x08\x0b-\x1f]")
+
+    def mask(value) -> str:
+        text = value if isinstance(value, str) else dumps(value)
+        return text[:2] + "*" * (len(text) - 4) + text[-2:] if len(text) > 4 else "****"
+
+    def walk(value):
+        if isinstance(value, dict):
+            return {clean(k): mask(v) if hide and v is not None and secret.search(k.lower()) else walk(v) for k, v in value.items()}
+        if isinstance(value, list):
+            return [walk(v) for v in value]
+        return clean(value)
+
+    def clean(value):
+        return value if hide or not isinstance(value, str) else control.sub("", value.strip())
+
+    def one(text: str | None) -> str | None:
+        try:
+            return None if text is None else dumps(walk(loads(text)), ensure_ascii=False)
+        except (ValueError, RecursionError):
+            return None
+
+    @F.pandas_udf("string")
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(one, na_action="ignore")
+
+    return run(json)
+
+
 def rate_window(events: DataFrame, client: str, at: str, kind: str = "search") -> DataFrame:
     """events with `recent`, the client's requests in the window up to and with each one, and `over`, whether they pass the limit."""
     limit, seconds = RATES[kind]
@@ -127,8 +173,6 @@ def rate_admitted(events: DataFrame, client: str, at: str, order: str, limit: in
     A fold over each client's requests in time: its state is the times of the admitted requests in the window, at most `limit`.
     The requests of a client are read batch by batch, so a client with a third of all rows is never held whole.
     """
-    import pandas as pd
-
     kinds = {f.name: f.dataType.simpleString() for f in events.schema}
 
     def run(batches):

@@ -61,12 +61,14 @@ def read_embeddings(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema("model_name string, dimension int, id string, embedding array<double>").json(path)
 
 
-def publish(rows: DataFrame, root: str) -> str:
-    """Writes a new version of a table beside the old ones and returns its path; readers take the largest version.
+def page_metadata(rows: DataFrame, text: str = "text") -> DataFrame:
+    """rows with `details`, the struct (title, author, subject, creator, producer, created, modified, pages) that the head of an HTML text or a parser's JSON in `metadata` names; null where it names none."""
 
-    A version is complete once its _SUCCESS file is there, so a lost executor or driver never leaves half a table to read.
-    """
-    spark = rows.sparkSession
-    path = f"{root}/v={int(spark.sql('SELECT unix_micros(current_timestamp())').first()[0])}"
-    rows.write.parquet(path)
-    return path
+    def named(name: str, *meta: str):
+        tags = [F.nullif(F.regexp_extract(text, rf"(?is)<meta\s+name=[\"']{m}[\"']\s+content=[\"']([^\"']*)[\"']", 1), F.lit("")) for m in meta]
+        given = [F.get_json_object("metadata", f"$.{k}") for k in (name, *meta)] if "metadata" in rows.columns else []
+        return F.coalesce(*given, *tags, F.lit(None).cast("string"))
+
+    title = F.coalesce(named("title", "title"), F.nullif(F.btrim(F.regexp_replace(F.regexp_extract(text, r"(?is)<title[^>]*>(.*?)</title>", 1), r"\s+", " ")), F.lit("")))
+    fields = [title.alias("title"), *(named(n, *m).alias(n) for n, m in (("author", ("author",)), ("subject", ("subject", "description")), ("creator", ("creator",)), ("producer", ("producer", "generator")), ("created", ("creationDate", "created")), ("modified", ("modDate", "modified"))))]
+    return rows.withColumn("details", F.struct(*fields, named("pages", "pages").try_cast("int").alias("pages")))

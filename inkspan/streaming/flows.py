@@ -1,4 +1,4 @@
-"""Structured Streaming: timelines with watermarks, upserts of new rows by batch, exact rate limits with state.
+"""Structured Streaming: timelines with watermarks, the last row of every key, exact rate limits with state.
 
 All flows run to the end of what is there (availableNow) or on and on with a processing time; checkpoints belong in the shared folder.
 """
@@ -12,7 +12,6 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkspan.operators.upsert import latest, upsert
 from inkspan.session import ensure_checkpoint_dir
 
 
@@ -49,27 +48,12 @@ def drain(stream: DataFrame, mode: str = "append") -> DataFrame:
     return spark.read.schema(stream.schema).parquet(out).select(*stream.columns)
 
 
-def upsert_stream(stream: DataFrame, store: str, keys: list[str], order: list[str], keep: tuple[str, ...] = ()) -> None:
-    """Upserts every batch of a stream into the versioned table below store; a repeated batch writes its version again."""
-    spark = stream.sparkSession
-
-    def merge(batch: DataFrame, number: int) -> None:
-        fresh = latest(batch, keys, order)
-        before = f"{store}/v={number - 1}"
-        path = spark._jvm.org.apache.hadoop.fs.Path(before)
-        if path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
-            fresh = upsert(spark.read.parquet(before), fresh, keys, list(keep))
-        fresh.write.mode("overwrite").parquet(f"{store}/v={number}")
-
-    query = stream.writeStream.option("checkpointLocation", _place(spark, "upsert")).trigger(availableNow=True).foreachBatch(merge).start()
-    query.awaitTermination()
-
-
-def latest_version(spark: SparkSession, store: str) -> DataFrame:
-    """The table of the highest version below store."""
-    root = spark._jvm.org.apache.hadoop.fs.Path(store)
-    names = [f.getPath().getName() for f in root.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(root)]
-    return spark.read.parquet(f"{store}/v={max(int(n[2:]) for n in names if n.startswith('v='))}")
+def latest_stream(stream: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """The last row of every key of a stream so far, kept in Spark's state store; for output modes update and complete. Rows with a null key are left out."""
+    others = [c for c in stream.columns if c not in keys]
+    rank = F.struct(*order, *[c for c in others if c not in order])
+    picked = stream.dropna(subset=keys).groupBy(*keys).agg(F.max_by(F.struct(*others), rank).alias("last"))
+    return picked.select(*[F.col(c) if c in keys else F.col(f"last.{c}").alias(c) for c in stream.columns])
 
 
 def admitted_stream(requests: DataFrame, limit: int, seconds: int) -> DataFrame:

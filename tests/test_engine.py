@@ -21,8 +21,19 @@ def test_engine_verbs(spark, folder):
     assert engine.search("the takedown of the newsroom archive", 4).count() <= 4
     assert engine.statistics().filter("what = 'chunks'").first()["n"] > 0
     assert set(engine.patterns().columns) == {"pattern_type", "subject", "confidence"}
-    nodes, edges = engine.network(some, 1)
-    assert nodes.count() >= 1 and edges.count() >= 0
+    full = engine.context(some).first()
+    assert full["mentions"] and len(full["mentions"]) <= 20 and full["n_mentions"] >= len(full["mentions"])
+    assert engine.context("no such id").count() == 0
+    hub = engine.links.filter("type = 'PART_OF_CAMPAIGN'").groupBy("target").count().orderBy(F.desc("count"), "target").first()["target"]
+    nodes, edges = engine.network(hub, 1, 10)
+    labels = {r["id"]: r["label"] for r in nodes.collect()}
+    assert labels[hub] == "Campaign" and 0 < edges.count() <= 10 and set(labels.values()) >= {"Campaign", "Indicator"}
+    assert {r["source"] for r in edges.collect()} | {r["target"] for r in edges.collect()} == set(labels)
+    assert all(t.count() == 0 for t in engine.network("no such id"))
+    for query in ("find all domains", "show related things", "the takedown of the newsroom archive", "detect patterns in campaigns"):
+        assert engine.search(query, 3).columns == ["score", "type", "id", "content", "source", "metadata", "highlights"]
+    assert engine.search("find all domains", 1).first()["metadata"]["indicator_type"] == "domain"
+    assert {"campaigns", "actors"} <= {r["what"] for r in engine.statistics().collect()}
 
 
 def test_ingest_counts_again(spark, folder):
@@ -69,17 +80,23 @@ def test_files(spark, tmp_path):
     assert pages == [(1, "one", "unknown"), (2, "two", "unknown")]
     files.write_embeddings(spark.createDataFrame([("x", [0.5])], "id string, embedding array<double>"), str(tmp_path / "e"), "m", 1)
     assert files.read_embeddings(spark, str(tmp_path / "e")).first()["model_name"] == "m"
-    assert spark.read.parquet(files.publish(rows.select("path"), str(tmp_path / "t"))).count() == 2
     docs = spark.createDataFrame([("d", "t")], "doc_id string, title string")
     parts = spark.createDataFrame([("d", 1, "x", None, "en")], "document_id string, page_number int, text string, layout_type string, language string")
     files.write_documents(docs, parts, str(tmp_path / "docs"))
     assert json.loads(spark.read.text(str(tmp_path / "docs")).first()[0])["pages"][0]["text"] == "x"
 
 
-def test_upsert_stream(spark, tmp_path):
-    rows = spark.createDataFrame([("a", 1, "x"), ("a", 2, "y"), ("b", 1, "z")], "k string, at int, v string")
+def test_latest_stream(spark, tmp_path):
+    rows = spark.createDataFrame([("a", 1, "x"), ("a", 2, "y"), ("b", 1, "z"), (None, 1, "n")], "k string, at int, v string")
     rows.repartition(3).write.parquet(str(tmp_path / "in" / "t.parquet"))
     stream = flows.stream_table(spark, str(tmp_path / "in"), "t", files_per_batch=1)
-    flows.upsert_stream(stream, str(tmp_path / "store"), ["k"], ["at"])
-    got = {r["k"]: r["v"] for r in flows.latest_version(spark, str(tmp_path / "store")).collect()}
-    assert set(got) == {"a", "b"} and got["b"] == "z"
+    got = flows.drain(flows.latest_stream(stream, ["k"], ["at"]), "complete")
+    assert {r["k"]: r["v"] for r in got.collect()} == {"a": "y", "b": "z"}
+
+
+def test_page_metadata(spark):
+    rows = spark.createDataFrame([("<html><head><TITLE>A\n b</TITLE><meta name='author' content='X'></head>", None), ("plain", '{"title": "T", "pages": 3, "producer": "p"}'), (None, "no json"), ("", None)], "text string, metadata string")
+    got = [r["details"] for r in files.page_metadata(rows).collect()]
+    assert (got[0]["title"], got[0]["author"], got[0]["pages"]) == ("A b", "X", None)
+    assert (got[1]["title"], got[1]["producer"], got[1]["pages"]) == ("T", "p", 3)
+    assert not any(got[2].asDict().values()) and not any(got[3].asDict().values())

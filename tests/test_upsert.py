@@ -39,3 +39,11 @@ def test_counts_delete_update_link(spark):
     edges = spark.createDataFrame([("a", "d"), ("b", "d"), ("a", "e")], "source string, target string")
     ends = spark.createDataFrame([("a",)], "id string"), spark.createDataFrame([("d",)], "id string")
     assert [tuple(r) for r in U.linked(edges, ends[0], "id", ends[1], "id").collect()] == [("a", "d")]
+
+
+def test_campaigns_are_merged_by_name(spark):
+    kind = "name string, properties map<string,string>, updated_at int"
+    stored = spark.createDataFrame([("Gorm", {"a": "1"}, 1)], kind)
+    fresh = spark.createDataFrame([(" Gorm", {"b": "2"}, 2), ("Gorm", {"c": "3"}, 3), ("New", None, 1), ("  ", {}, 9), (None, {}, 9)], kind)
+    assert {r["name"]: r["properties"] for r in U.merge_named(stored, fresh).collect()} == {"Gorm": {"c": "3"}, "New": None}
+    assert U.cleared(stored).count() == 0 and U.cleared(stored).schema == stored.schema

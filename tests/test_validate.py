@@ -1,3 +1,5 @@
+import json
+
 from pyspark.sql import functions as F
 
 from inkspan.functions import text as T
@@ -57,3 +59,12 @@ def test_layout(spark):
     assert tables.select(L.clean_tables(F.col("t")).alias("t")).first()["t"] == [[["a", ""]]]
     text = tables.select(L.export(F.array(F.lit("p1"), F.lit("p2")), L.clean_tables(F.col("t"))).alias("x")).first()["x"]
     assert text == "p1\n\np2\n\n[Table]\na\t"
+
+
+def test_nested_metadata(spark):
+    texts = ['{"api_key": "abcdefgh", "x": [{"Password": "abc", "n": 1}, "  a\\u0001b "], "token": {"k": 5}}', "no json", None, "[1, 2]", "[" * 5000, '{"password": null}']
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select(W.redacted_json(F.col("t")).alias("r"), W.sanitized_json(F.col("t")).alias("s")).collect()
+    got = json.loads(rows[0]["r"])
+    assert got["api_key"] == "ab****gh" and got["x"][0] == {"Password": "****", "n": 1} and got["token"].startswith('{"') and "*" in got["token"]
+    assert json.loads(rows[0]["s"])["x"][1] == "ab" and rows[1]["r"] is None and rows[2]["r"] is None and rows[3]["s"] is None and rows[4]["r"] is None
+    assert json.loads(rows[5]["r"]) == {"password": None}
