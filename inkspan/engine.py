@@ -60,11 +60,18 @@ class Engine:
         pairs = F.create_map(*[x for name, column in metadata.items() for x in (F.lit(name), F.col(column).cast("string"))])
         return rows.select(score.cast("double").alias("score"), F.lit(kind).alias("type"), F.col(key).alias("id"), F.col(content).alias("content"), source.alias("source"), pairs.alias("metadata"), held.alias("highlights"))
 
-    def semantic(self, query: str, limit: int = 10, threshold: float = 0.5, dimension: int = 384) -> DataFrame:
+    def embedded(self, dimension: int = 384) -> DataFrame:
+        """(chunk_id, embedding) of all chunks by hashed words: to be stored once and given to semantic()."""
+        return self.chunks.filter("content IS NOT NULL").select("chunk_id", V.hashed_embedding(F.col("content"), dimension).alias("embedding"))
+
+    def semantic(self, query: str, limit: int = 10, threshold: float = 0.5, dimension: int = 384, stored: DataFrame | None = None) -> DataFrame:
         """(score, id, content, document_id, chunk_index, page_numbers) of the chunks most similar to a query, by hashed word vectors, above the threshold."""
-        wanted = V.hashed_embedding(F.lit(query), dimension)
-        rows = self.chunks.filter("content IS NOT NULL").select(F.col("chunk_id").alias("id"), "content", "document_id", "chunk_index", "page_numbers", V.cosine(V.hashed_embedding(F.col("content"), dimension), wanted).alias("score"))
-        return rows.filter(F.col("score") > threshold).orderBy(F.desc("score"), "id").limit(limit)
+        vectors = self.embedded(dimension) if stored is None else stored
+        wanted = F.array(*[F.lit(float(x)) for x in V.hashed_vector(query, dimension)])
+        scored = vectors.select(F.col("chunk_id").alias("id"), V.cosine(F.col("embedding"), wanted).alias("score")).filter(F.col("score") > threshold)
+        best = scored.orderBy(F.desc("score"), "id").limit(limit)
+        told = self.chunks.select(F.col("chunk_id").alias("id"), "content", "document_id", "chunk_index", "page_numbers")
+        return told.join(F.broadcast(best), "id").select("score", "id", "content", "document_id", "chunk_index", "page_numbers").orderBy(F.desc("score"), "id")
 
     def lookup(self, kind: str, limit: int = 100) -> DataFrame:
         return R.by_type(self.indicators, kind, limit)

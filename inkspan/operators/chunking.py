@@ -9,8 +9,6 @@ texts are read whole.
 
 from __future__ import annotations
 
-import hashlib
-import re
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from itertools import accumulate
@@ -21,6 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkspan.functions.text import collapse, let
+from inkspan.operators.vectors import hashed_vector
 
 SIZE, OVERLAP, SMALLEST, LARGEST = 512, 128, 100, 1000
 
@@ -114,16 +113,6 @@ def statistics(chunks: DataFrame) -> DataFrame:
     )
 
 
-def hashed_vector(tokens: list[str], dimension: int) -> np.ndarray:
-    """A unit bag-of-words vector: each word's md5 gives its place and sign."""
-    vector = np.zeros(dimension)
-    for token in tokens:
-        h = int.from_bytes(hashlib.md5(token.encode()).digest()[:8], "big")
-        vector[h % dimension] += 1.0 if (h >> 32) & 1 else -1.0
-    length = np.linalg.norm(vector)
-    return vector / length if length else vector
-
-
 def boundaries(vectors: np.ndarray) -> set[int]:
     """Places i + 1 such that sentences i and i + 1 are less similar than the mean by more than a (population) deviation."""
     if len(vectors) < 2:
@@ -163,7 +152,7 @@ def semantic_chunks(rows: DataFrame, key: str, text: str, largest: int = LARGEST
             out = []
             for k, parts in zip(batch["key"], batch["parts"]):
                 parts = list(parts)
-                vectors = embed(parts) if embed else np.array([hashed_vector(re.findall(r"\w+", s.lower()), dimension) for s in parts])
+                vectors = embed(parts) if embed else np.array([hashed_vector(s, dimension) for s in parts])
                 out += [(k, i, content, start) for i, (content, start) in enumerate(pack(parts, boundaries(vectors), largest, smallest, overlap))]
             yield pd.DataFrame(out, columns=["key", "chunk_index", "content", "start"])
 

@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
+from functools import lru_cache
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from inkspan.functions.text import let
+_WORD = re.compile(r"[^\W_]+")
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -37,18 +43,28 @@ def top_k_inner(vectors: DataFrame, key: str, vector: str, query: list[float], k
     return rows.orderBy(F.desc("score"), key).limit(k)
 
 
-def hashed_embedding(text: Column, dimension: int = 384) -> Column:
-    """A unit bag-of-words vector of a text: words are counted per place, the place being their hash; zero for texts without words."""
-    words = F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
-    places = F.transform(words, lambda w: F.pmod(F.xxhash64(w), F.lit(dimension)).cast("int"))
+@lru_cache(maxsize=500_000)
+def word_place(word: str) -> int:
+    """The first 8 bytes of a word's md5 as a number: its place is the remainder by the dimension, its sign the lowest bit of the upper half."""
+    return int.from_bytes(hashlib.md5(word.encode()).digest()[:8], "big")
+
 
-    def counted(found: Column) -> Column:
-        return F.transform(F.sequence(F.lit(0), F.lit(dimension - 1)), lambda i: F.size(F.filter(found, lambda p: p == i)).cast("double"))
+def hashed_vector(text: str, dimension: int = 384) -> np.ndarray:
+    """A unit bag-of-words vector of a text; zero for texts without words."""
+    hashes = np.array([word_place(w) for w in _WORD.findall(text.lower())], np.uint64)
+    vector = np.bincount((hashes % np.uint64(dimension)).astype(np.int64), np.where((hashes >> np.uint64(32)) & np.uint64(1), 1.0, -1.0), dimension)
+    length = np.linalg.norm(vector)
+    return vector / length if length else vector
+
+
+def hashed_embedding(text: Column, dimension: int = 384) -> Column:
+    """hashed_vector() of a text column in Arrow batches; null for null."""
 
-    def unit(counts: Column) -> Column:
-        return let(F.struct(counts.alias("c"), norm(counts).alias("n")), lambda s: F.when(s["n"] > 0, F.transform(s["c"], lambda x: x / s["n"])).otherwise(s["c"]))
+    @F.pandas_udf("array<double>")
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: None if t is None else hashed_vector(t, dimension))
 
-    return let(places, lambda found: let(counted(found), unit))
+    return run(text)
 
 
 def cache_misses(texts: DataFrame, text: str, cached: DataFrame) -> DataFrame:

@@ -102,7 +102,15 @@ _REACH = _RELATED + ", r AS (SELECT {start} AS id, 0 AS distance UNION SELECT w.
 _CO = """ , p AS (SELECT DISTINCT indicator_id, document_id FROM m),
   co AS (SELECT a.indicator_id AS x, b.indicator_id AS y, count(*) AS k FROM p a JOIN p b ON a.document_id = b.document_id AND a.indicator_id < b.indicator_id GROUP BY 1, 2 HAVING count(*) >= 3)"""
 
+_ARCS = """ , a AS MATERIALIZED (SELECT DISTINCT source AS u, target AS v FROM l WHERE type = 'RELATED_TO' AND source <> target), o AS (SELECT u, count(*) AS d FROM a GROUP BY 1),
+  x AS MATERIALIZED (SELECT id, d, (SELECT count(*) FROM (SELECT u FROM a UNION SELECT v FROM a)) AS n FROM (SELECT u AS id FROM a UNION SELECT v FROM a) LEFT JOIN o ON o.u = id), r0 AS (SELECT id, d, n, 1.0::DOUBLE / n AS rank FROM x)"""
+_ROUND = """, r{1} AS MATERIALIZED (SELECT x.id, x.d, x.n, 0.15 / x.n + 0.85 * (coalesce(got, 0) + coalesce(lost, 0) / x.n) AS rank FROM x LEFT JOIN (SELECT a.v, sum(r.rank / r.d) AS got FROM a JOIN r{0} r ON r.id = a.u GROUP BY 1) g ON g.v = x.id,
+  (SELECT sum(rank) AS lost FROM r{0} WHERE d IS NULL))"""
+
 SQL = {
+    "page_rank": with_views("l", _ARCS + "".join(_ROUND.format(k, k + 1) for k in range(10)) + " SELECT id, round(rank, 9) AS rank FROM r10"),
+    "shortest_path": with_views("l", _REACH.format(start=_START, hops=10) + """ , f AS (SELECT id, distance FROM near ORDER BY distance DESC, id DESC LIMIT 1),
+      b AS (SELECT distance AS step, id FROM f UNION ALL SELECT step - 1, (SELECT min(w.u) FROM w JOIN near ON near.id = w.u WHERE w.v = b.id AND near.distance = b.step - 1) FROM b WHERE step > 0) SELECT step, id FROM b""", recursive=True),
     "n_hop": with_views("ml", f""" , e AS MATERIALIZED (SELECT DISTINCT 'i:' || indicator_id AS u, 'd:' || document_id AS v FROM m UNION SELECT 'i:' || source, 'i:' || target FROM l WHERE source <> target),
       w AS MATERIALIZED (SELECT u, v FROM e UNION SELECT v, u FROM e), one AS (SELECT v FROM w WHERE u = 'i:' || {BUSIEST}),
       r AS (SELECT v AS id, 1 AS distance FROM one UNION ALL SELECT w.v, 2 FROM one JOIN w ON w.u = one.v)

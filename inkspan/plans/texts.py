@@ -91,9 +91,9 @@ def embedding_cache_misses(spark, folder):
 
 
 def hashed_embeddings(spark, folder):
-    """Word-hash vectors of 64 places of all chunk texts, with their squared length."""
+    """Signed word-hash vectors of 64 places of all chunk texts."""
     rows = table(spark, folder, "document_chunks").select("chunk_id", V.hashed_embedding(F.col("content"), 64).alias("embedding")).filter("embedding IS NOT NULL")
-    return rows.select("chunk_id", "embedding", F.round(V.norm(F.col("embedding")), 6).alias("length")).distinct()
+    return rows.select("chunk_id", F.transform("embedding", lambda x: F.round(x, 6)).alias("embedding")).distinct()
 
 
 def vector_stats(spark, folder):
@@ -172,6 +172,17 @@ SQL = {
     "vector_norms": "SELECT label, round(avg(sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]))), 6) AS mean_norm, count(*) AS n FROM embeddings GROUP BY 1",
     "embedding_cache_misses": """SELECT DISTINCT md5(content) AS text_key, length(content) AS n_chars FROM document_chunks WHERE content IS NOT NULL
       AND md5(content) NOT IN (SELECT md5(content) FROM document_chunks WHERE embedding IS NOT NULL AND content IS NOT NULL)""",
+    "hashed_embeddings": r"""WITH w AS (SELECT DISTINCT chunk_id, content, list_transform(regexp_extract_all(lower(content), '[\p{L}\p{N}]+'), lambda w: ('0x' || substr(md5(w), 1, 16))::UBIGINT) AS h FROM document_chunks WHERE content IS NOT NULL),
+      p AS (SELECT chunk_id, unnest(h) % 64 AS place, CASE WHEN (unnest(h) >> 32) & 1 = 1 THEN 1 ELSE -1 END AS sign, content FROM w),
+      n AS (SELECT chunk_id, content, place, sum(sign)::DOUBLE AS x FROM p GROUP BY 1, 2, 3), l AS (SELECT chunk_id, content, sqrt(sum(x * x)) AS norm FROM n GROUP BY 1, 2),
+      g AS (SELECT w.chunk_id, w.content, k AS place FROM w, range(64) t(k))
+      SELECT chunk_id, list(value ORDER BY place) AS embedding FROM (SELECT g.chunk_id, g.content, g.place, CASE WHEN coalesce(norm, 0) > 0 THEN round(coalesce(x, 0) / norm, 6) ELSE 0.0 END AS value
+        FROM g LEFT JOIN n USING (chunk_id, content, place) LEFT JOIN l USING (chunk_id, content)) GROUP BY chunk_id, content""",
+    "merged_page_chunks": """WITH RECURSIVE p AS (SELECT document_id, page_number, arg_min(text, page_id) AS content FROM pdf_pages WHERE text IS NOT NULL AND document_id IS NOT NULL AND page_number IS NOT NULL GROUP BY 1, 2),
+      o AS MATERIALIZED (SELECT document_id, page_number, content, row_number() OVER w AS k, coalesce(lead(page_number) OVER w = page_number + 1 AND length(content) + length(lead(content) OVER w) <= 1500, false) AS joins,
+        lead(content) OVER w AS after, lead(page_number) OVER w AS next_page FROM p WINDOW w AS (PARTITION BY document_id ORDER BY page_number)),
+      r AS (SELECT o.*, 0 AS chunk_index FROM o WHERE k = 1 UNION ALL SELECT o.*, r.chunk_index + 1 FROM r JOIN o ON o.document_id = r.document_id AND o.k = r.k + CASE WHEN r.joins THEN 2 ELSE 1 END)
+      SELECT document_id, chunk_index, CASE WHEN joins THEN page_number || ',' || next_page ELSE page_number::VARCHAR END AS pages, CASE WHEN joins THEN content || ' ' || after ELSE content END AS content FROM r""",
     "vector_stats": "SELECT count(*) AS chunks, count(embedding) AS embedded, count(DISTINCT document_id) AS documents FROM document_chunks",
     "delete_chunks": with_views("c", " SELECT chunk_id, document_id FROM c WHERE document_id IS NULL OR document_id NOT IN (SELECT record_key FROM deleted_records WHERE table_name = 'pdf_documents' AND record_key IS NOT NULL)"),
     "relabelled_chunks": with_views("c", " SELECT chunk_id, CASE WHEN lower(language) IN ('xx', 'und', 'n/a', 'unknown', '') THEN NULL ELSE language END AS language FROM c"),
