@@ -87,8 +87,11 @@ class Stream:
         self.reader = reader
         #: (piece, line, start, end)
         self.pieces = [(m.group(), i, m.start(), m.end()) for i in body for m in _TOKEN.finditer(lines[i])]
-        self.low = [p[0].lower() for p in self.pieces]
-        self.letters = [_LETTER.search(w) is not None for w in self.low]
+        known = [reader.piece(p[0]) for p in self.pieces]
+        self.low = [k[0] for k in known]
+        self.letters = [k[1] for k in known]
+        self.bones = [k[2] for k in known]
+        self.judged = [k[3] for k in known]
         #: What lies behind each piece: ' ' or '\n' that a word may be torn by, '-' for a hyphen at a line end, '' for anything else.
         self.gaps = [self._gap(lines, k) for k in range(len(self.pieces))]
 
@@ -111,11 +114,10 @@ class Stream:
         at = [0]
         for w in low:
             at.append(at[-1] + len(w))
-        bones = [skeleton(w) for w in low]
+        bones, judged = self.bones, self.judged
         #: place in the stream -> (value, place before, reading, misread lines, lines that end inside the word)
         best: dict[int, tuple[float, int, str, tuple[int, ...], tuple[int, ...]]] = {0: (0.0, 0, "", (), ())}
         parts: dict[int, list[tuple[int, float, str, tuple[int, ...], tuple[int, ...]]]] = {}
-        judged = [reader.judge(p[0]) for p in pieces]
         for k in range(n):
             if self.letters[k] and judged[k][2] < 0 and len(low[k]) >= SPLIT_LETTERS and low[k] not in reader.lexicon:
                 self._open(k, at, parts)
@@ -198,13 +200,19 @@ class Stream:
         place, inside = at[-1], []
         while place > 0:
             _, before, reading, misread, broken = best[place]
-            defects.update((line, "misread") for line in misread)
-            defects.update((line, "hyphen") for line in broken)
-            joins.update(last_of[line] for line in broken)
-            inside.append(reading)
-            if before in piece_at:
-                repaired[piece_at[before]] = " ".join(reversed(inside))
+            for line in misread:
+                defects.add((line, "misread"))
+            for line in broken:
+                defects.add((line, "hyphen"))
+                joins.add(last_of[line])
+            piece = piece_at.get(before)
+            if piece is None:
+                inside.append(reading)
+            elif inside:
+                repaired[piece] = " ".join([reading, *reversed(inside)])
                 inside = []
+            else:
+                repaired[piece] = reading
             place = before
         return defects, repaired, joins
 

@@ -49,6 +49,17 @@ class Readings:
         self.rules = rules
         self.correct = lru_cache(maxsize=200_000)(self._correct)
         self.judge = lru_cache(maxsize=200_000)(self._judge)
+        self.known_as: dict[str, tuple[str, bool, str, tuple[float, str, int]]] = {}
+
+    def piece(self, written: str) -> tuple[str, bool, str, tuple[float, str, int]]:
+        """(lower case, whether it has letters, skeleton, judge()) of a piece of text; kept, as most pieces come again."""
+        known = self.known_as.get(written)
+        if known is None:
+            if len(self.known_as) > 500_000:
+                self.known_as.clear()
+            low = written.lower()
+            known = self.known_as[written] = (low, _LETTER.search(low) is not None, skeleton(low), self.judge(written))
+        return known
 
     def score(self, word: str) -> float:
         """Log probability of a word; one that isn't in the lexicon counts as met once, less if long."""
