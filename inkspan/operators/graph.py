@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 
 from inkspan.skew import cut, forget, meet
 
+#: Documents whose members are counted without being listed for every center.
+LARGEST = 8
+
 
 def both_ways(edges: DataFrame) -> DataFrame:
     """(u, v) in both directions, distinct, without loops."""
@@ -56,13 +59,31 @@ def _pairs(mentions: DataFrame) -> DataFrame:
     return cut(mentions.select("indicator_id", "document_id").distinct())
 
 
+def _largest(pairs: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
+    """((indicator_id, bits), pairs of the other documents): a bit for each of the n largest documents that an indicator is in, n being small."""
+    ids = [r[0] for r in pairs.groupBy("document_id").count().orderBy(F.desc("count"), "document_id").limit(n).collect()] if n else []
+    bit = F.coalesce(*[F.when(F.col("document_id") == d, F.lit(1 << k).cast("long")) for k, d in enumerate(ids)], F.lit(0).cast("long"))
+    inside = F.col("document_id").isin(ids)
+    return cut(pairs.filter(inside).groupBy("indicator_id").agg(F.bit_or(bit).alias("bits"))), pairs.filter(~inside)
+
+
+def _with_bits(rows: DataFrame, column: str, bits: DataFrame, name: str) -> DataFrame:
+    joined = rows.join(bits.select(F.col("indicator_id").alias(column), F.col("bits").alias(name)), column, "left")
+    return joined.withColumn(name, F.coalesce(name, F.lit(0).cast("long")))
+
+
 def _counted(pairs: DataFrame, least: int) -> DataFrame:
-    """Each indicator needs `least` documents itself; the others are dropped before documents are paired."""
+    """Each indicator needs `least` documents itself; the others are dropped before documents are paired.
+
+    The least - 1 largest documents alone never suffice: pairs are made in the other ones only, and the largest add to their counts by a bit per indicator.
+    """
     often = pairs.groupBy("indicator_id").count().filter(F.col("count") >= least).select("indicator_id")
-    kept = cut(pairs.join(often, "indicator_id", "left_semi"))
-    both = meet(kept.withColumnRenamed("indicator_id", "indicator_a"), kept.withColumnRenamed("indicator_id", "indicator_b"), "document_id")
-    counts = both.filter("indicator_a < indicator_b").groupBy("indicator_a", "indicator_b").agg(F.count(F.lit(1)).alias("documents"))
-    return counts.filter(F.col("documents") >= least)
+    bits, rest = _largest(cut(pairs.join(often, "indicator_id", "left_semi")), min(least - 1, 60))
+    both = meet(rest.withColumnRenamed("indicator_id", "indicator_a"), rest.withColumnRenamed("indicator_id", "indicator_b"), "document_id")
+    counts = both.filter("indicator_a < indicator_b").groupBy("indicator_a", "indicator_b").agg(F.count(F.lit(1)).alias("n"))
+    marked = _with_bits(_with_bits(counts, "indicator_a", bits, "bits_a"), "indicator_b", bits, "bits_b")
+    whole = marked.withColumn("documents", F.col("n") + F.bit_count(F.col("bits_a").bitwiseAND(F.col("bits_b"))))
+    return whole.filter(F.col("documents") >= least).select("indicator_a", "indicator_b", "documents")
 
 
 def cooccurrence(mentions: DataFrame, least: int = 2) -> DataFrame:
@@ -71,13 +92,23 @@ def cooccurrence(mentions: DataFrame, least: int = 2) -> DataFrame:
 
 
 def ego_clusters(mentions: DataFrame, least: int = 2, smallest: int = 3, limit: int = 10) -> DataFrame:
-    """(center, size): indicators that are the smaller of a co-occurring pair, with the number of all they are mentioned with."""
+    """(center, size): indicators that are the smaller of a co-occurring pair, with the number of all they are mentioned with.
+
+    The members that a center meets in the largest documents are counted from these documents' sizes, one union per set of them that occurs;
+    only members met elsewhere, and not in a large document of the center, are listed.
+    """
     pairs = _pairs(mentions)
-    centers = cut(_counted(pairs, least).select(F.col("indicator_a").alias("indicator_id")).distinct())
-    own = pairs.join(centers, "indicator_id", "left_semi").withColumnRenamed("indicator_id", "center")
-    around = meet(own, pairs, "document_id").filter("indicator_id <> center")
-    sizes = around.select("center", "indicator_id").distinct().groupBy("center").agg((F.count(F.lit(1)) + 1).alias("size"))
-    return sizes.filter(F.col("size") >= smallest).orderBy(F.desc("size"), "center").limit(limit)
+    centers = cut(_counted(pairs, least).select(F.col("indicator_a").alias("center")).distinct())
+    bits, rest = _largest(pairs, LARGEST)
+    masks = bits.groupBy("bits").agg(F.count(F.lit(1)).alias("n"))  # at most 2 ** LARGEST rows
+    unions = F.broadcast(masks.select(F.col("bits").alias("mask"))).crossJoin(F.broadcast(masks)).groupBy("mask").agg(F.sum(F.when(F.col("mask").bitwiseAND(F.col("bits")) != 0, F.col("n")).otherwise(0)).alias("inside"))
+    marked = cut(_with_bits(centers, "center", bits, "mask"))
+    around = meet(marked.join(rest.withColumnRenamed("indicator_id", "center"), "center").select("center", "mask", "document_id"), _with_bits(rest, "indicator_id", bits, "bits"), "document_id")
+    met = around.filter("indicator_id <> center AND (mask & bits) = 0").select("center", "indicator_id").distinct().groupBy("center").agg(F.count(F.lit(1)).alias("outside"))
+    joined = marked.join(met, "center", "left").join(F.broadcast(unions), "mask", "left")
+    # the union of a center's large documents holds the center itself
+    size = F.coalesce("outside", F.lit(0)) + F.when(F.col("mask") != 0, F.col("inside")).otherwise(1)
+    return joined.select("center", size.alias("size")).filter(F.col("size") >= smallest).orderBy(F.desc("size"), "center").limit(limit)
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -83,3 +83,28 @@ def test_cooccurrence_and_empty(spark):
     assert [tuple(r) for r in G.cooccurrence(frame).collect()] == [("i1", "i2", 2)]
     assert G.cooccurrence(frame.limit(0)).count() == 0
     assert G.components(spark.createDataFrame([], "u string, v string")).count() == 0
+
+
+def test_large_documents_are_counted_exactly(spark, monkeypatch):
+    import random
+    from collections import Counter, defaultdict
+    from itertools import combinations
+
+    from inkspan import skew
+
+    monkeypatch.setattr(skew, "BLOCK", 5)
+    rng = random.Random(8)
+    docs = {f"d{k:02d}": rng.sample(range(40), rng.choice([1, 3, 6])) for k in range(40)} | {f"huge{k}": rng.sample(range(40), 30 - k) for k in range(12)}
+    frame = spark.createDataFrame([(f"i{i:02d}", d) for d, items in docs.items() for i in items] * 2, "indicator_id string, document_id string")
+    counts = Counter(p for items in docs.values() for p in combinations(sorted(f"i{i:02d}" for i in items), 2))
+    near = defaultdict(set)
+    for items in docs.values():
+        for a in items:
+            near[f"i{a:02d}"] |= {f"i{b:02d}" for b in items}
+    for least in (1, 2, 4, 7):
+        got = {(r["indicator_a"], r["indicator_b"]): r["documents"] for r in G.cooccurrence(frame, least).collect()}
+        assert got == {p: n for p, n in counts.items() if n >= least}
+    for largest in (0, 2, 8):
+        monkeypatch.setattr(G, "LARGEST", largest)
+        centers = {a for (a, _), n in counts.items() if n >= 4}
+        assert {r["center"]: r["size"] for r in G.ego_clusters(frame, 4, 3, 100).collect()} == {c: len(near[c]) for c in centers if len(near[c]) >= 3}
