@@ -67,9 +67,12 @@ def _largest(pairs: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
     return cut(pairs.filter(inside).groupBy("indicator_id").agg(F.bit_or(bit).alias("bits"))), pairs.filter(~inside)
 
 
-def _with_bits(rows: DataFrame, column: str, bits: DataFrame, name: str) -> DataFrame:
-    joined = rows.join(bits.select(F.col("indicator_id").alias(column), F.col("bits").alias(name)), column, "left")
-    return joined.withColumn(name, F.coalesce(name, F.lit(0).cast("long")))
+def _numbered(pairs: DataFrame, n: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """((indicator_id, no, bits), (document_id, no, bits) of all but the n largest documents, bits of the members of these): numbers make pairs small."""
+    bits, rest = _largest(pairs, n)
+    names = pairs.select("indicator_id").distinct().withColumn("no", F.monotonically_increasing_id())
+    named = cut(names.join(bits, "indicator_id", "left").withColumn("bits", F.coalesce("bits", F.lit(0).cast("long"))))
+    return named, cut(rest.join(named, "indicator_id").select("document_id", "no", "bits")), bits
 
 
 def _counted(pairs: DataFrame, least: int) -> DataFrame:
@@ -78,12 +81,13 @@ def _counted(pairs: DataFrame, least: int) -> DataFrame:
     The least - 1 largest documents alone never suffice: pairs are made in the other ones only, and the largest add to their counts by a bit per indicator.
     """
     often = pairs.groupBy("indicator_id").count().filter(F.col("count") >= least).select("indicator_id")
-    bits, rest = _largest(cut(pairs.join(often, "indicator_id", "left_semi")), min(least - 1, 60))
-    both = meet(rest.withColumnRenamed("indicator_id", "indicator_a"), rest.withColumnRenamed("indicator_id", "indicator_b"), "document_id")
-    counts = both.filter("indicator_a < indicator_b").groupBy("indicator_a", "indicator_b").agg(F.count(F.lit(1)).alias("n"))
-    marked = _with_bits(_with_bits(counts, "indicator_a", bits, "bits_a"), "indicator_b", bits, "bits_b")
-    whole = marked.withColumn("documents", F.col("n") + F.bit_count(F.col("bits_a").bitwiseAND(F.col("bits_b"))))
-    return whole.filter(F.col("documents") >= least).select("indicator_a", "indicator_b", "documents")
+    named, rows, _ = _numbered(cut(pairs.join(often, "indicator_id", "left_semi")), min(least - 1, 60))
+    both = meet(rows.select("document_id", F.col("no").alias("a"), F.col("bits").alias("bits_a")), rows.select("document_id", F.col("no").alias("b"), F.col("bits").alias("bits_b")), "document_id")
+    shared = F.bit_count(F.col("bits_a").bitwiseAND(F.col("bits_b")))
+    counts = both.filter("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.max(shared).alias("shared")).withColumn("documents", F.col("n") + F.col("shared"))
+    kept = counts.filter(F.col("documents") >= least).select("a", "b", "documents")
+    told = kept.join(named.select(F.col("no").alias("a"), F.col("indicator_id").alias("x")), "a").join(named.select(F.col("no").alias("b"), F.col("indicator_id").alias("y")), "b")
+    return told.select(F.least("x", "y").alias("indicator_a"), F.greatest("x", "y").alias("indicator_b"), "documents")
 
 
 def cooccurrence(mentions: DataFrame, least: int = 2) -> DataFrame:
@@ -98,14 +102,15 @@ def ego_clusters(mentions: DataFrame, least: int = 2, smallest: int = 3, limit:
     only members met elsewhere, and not in a large document of the center, are listed.
     """
     pairs = _pairs(mentions)
-    centers = cut(_counted(pairs, least).select(F.col("indicator_a").alias("center")).distinct())
-    bits, rest = _largest(pairs, LARGEST)
+    centers = _counted(pairs, least).select(F.col("indicator_a").alias("indicator_id")).distinct()
+    named, rows, bits = _numbered(pairs, LARGEST)
     masks = bits.groupBy("bits").agg(F.count(F.lit(1)).alias("n"))  # at most 2 ** LARGEST rows
     unions = F.broadcast(masks.select(F.col("bits").alias("mask"))).crossJoin(F.broadcast(masks)).groupBy("mask").agg(F.sum(F.when(F.col("mask").bitwiseAND(F.col("bits")) != 0, F.col("n")).otherwise(0)).alias("inside"))
-    marked = cut(_with_bits(centers, "center", bits, "mask"))
-    around = meet(marked.join(rest.withColumnRenamed("indicator_id", "center"), "center").select("center", "mask", "document_id"), _with_bits(rest, "indicator_id", bits, "bits"), "document_id")
-    met = around.filter("indicator_id <> center AND (mask & bits) = 0").select("center", "indicator_id").distinct().groupBy("center").agg(F.count(F.lit(1)).alias("outside"))
-    joined = marked.join(met, "center", "left").join(F.broadcast(unions), "mask", "left")
+    marked = cut(named.join(centers, "indicator_id").select(F.col("indicator_id").alias("center"), "no", F.col("bits").alias("mask")))
+    own = rows.join(marked.select("no"), "no", "left_semi").select("document_id", F.col("no").alias("own"), F.col("bits").alias("mask"))
+    around = meet(own, rows, "document_id").filter("own <> no AND (mask & bits) = 0")
+    met = around.select("own", "no").distinct().groupBy(F.col("own").alias("no")).agg(F.count(F.lit(1)).alias("outside"))
+    joined = marked.join(met, "no", "left").join(F.broadcast(unions), "mask", "left")
     # the union of a center's large documents holds the center itself
     size = F.coalesce("outside", F.lit(0)) + F.when(F.col("mask") != 0, F.col("inside")).otherwise(1)
     return joined.select("center", size.alias("size")).filter(F.col("size") >= smallest).orderBy(F.desc("size"), "center").limit(limit)
