@@ -76,6 +76,8 @@ def meet(left: DataFrame, right: DataFrame, basket: str) -> DataFrame:
     parts = [F.ceil(F.col(c) / BLOCK).cast("int") for c in ("n_left", "n_right")]
     # only baskets of more than one block; a table with its real size
     many = cut(sizes.filter(F.greatest("n_left", "n_right") > BLOCK).select(basket, parts[0].alias("parts_left"), parts[1].alias("parts_right")))
+    if many.isEmpty():
+        return left.join(right, basket)
     ones = F.coalesce("parts_left", F.lit(1)), F.coalesce("parts_right", F.lit(1))
 
     def placed(rows: DataFrame, own: Column, other: Column, own_name: str, other_name: str) -> DataFrame:
