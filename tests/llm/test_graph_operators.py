@@ -1,6 +1,7 @@
 from collections import defaultdict
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from inkspan.llm.components import connected_groups, related_links
@@ -195,6 +196,35 @@ def test_a_hot_region_is_divided_and_its_askers_are_spread(spark, monkeypatch):
     assert sizes["part"].max() > 0 and sizes["shard"].str.contains(".", regex=False).any()
 
 
+def test_a_vector_is_stored_once_and_shards_are_answered_in_parts(spark, monkeypatch):
+    from pathlib import Path
+
+    from inkspan.llm import neighbours as V
+
+    monkeypatch.setattr(V, "PER_CENTRE", 100)
+    x = vectors(900, 256, seed=8).astype(np.float16).astype(np.float32)
+    x[:5] += np.float32(1e-5)  # not all in half precision
+    names = [f"v{i:05d}" for i in range(len(x))]
+    frame = spark.createDataFrame([(n, [float(y) for y in v]) for n, v in zip(names, x)], "id string, vector array<float>").repartition(4)
+    sizes, cut = [], V.cut
+
+    def measured(df, **how):
+        table = cut(df, **how)
+        sizes.append(sum(f.stat().st_size for f in Path(table._written_at.removeprefix("file:")).glob("*.parquet")))
+        return table
+
+    monkeypatch.setattr(V, "cut", measured)
+    found = []
+    for wave in (1 << 19, 300):
+        monkeypatch.setattr(V, "WAVE", wave, raising=False)
+        found.append({r["id"]: [tuple(n) for n in r["neighbours"]] for r in nearest_vectors(frame).collect()})
+    assert max(sizes) < len(x) * (2 * 256 + 64) + 20_000  # two bytes a number, once, with the names of the shards
+    assert found[0] == found[1]
+    true = brute_neighbours(names, x, 10)
+    assert np.mean([len({i for _, i in found[0][n]} & set(true[n])) / 10 for n in names]) > 0.9
+    assert np.array_equal(V._unpack(pd.Series(V._pack(x)), 256), x)
+
+
 def test_hot_roots_are_not_shuffled_by(spark, monkeypatch):
     from inkspan.llm import components as C
 
