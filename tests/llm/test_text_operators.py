@@ -65,6 +65,21 @@ def test_stuffed_sentences_are_list_text():
     assert P.list_share(SENTENCE * 8 + "\n\n" + " ".join(STUFFED))[0] < 0.5
 
 
+def test_automaton_begins_anew_at_pairs_met_once():
+    alone = "a b a c a d b c b d c d a".split()  # no pair is met twice
+    assert len(P.Repeats(alone).length) == 1 + 4  # a state for each word and none for longer strings
+    rng = np.random.default_rng(2)
+    for size in (3, 8, 20):
+        words = [f"w{k}" for k in rng.integers(0, size, 60)] + alone + ["x", "y", "z", "x", "y", "v", "y"]
+        repeats = P.Repeats(words)
+        assert repeats.ends() == brute_repeats(words)
+        for end, state in enumerate(repeats.at):
+            while state:
+                string = words[end + 1 - repeats.length[state] : end + 1]
+                assert repeats.places[state] == sum(words[k : k + len(string)] == string for k in range(len(words)))
+                state = repeats.link[state]
+
+
 def test_places_of_substrings_are_counted():
     words = "a b a b a c b a a b".split()
     repeats = P.Repeats(words)
